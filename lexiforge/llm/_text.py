@@ -17,8 +17,8 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
-#: Bytes of text handled at once.
-CHUNK = 4_000_000
+#: Bytes of text, and rows, handled at once.
+CHUNK, ROWS = 4_000_000, 8192
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,13 +95,13 @@ def lowered(text: bytes) -> bytes:
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with at most about CHUNK bytes of text, at least a row each; a null text is empty."""
+    """Slices of the batches with at most about CHUNK bytes of text and ROWS rows, at least a row each; a null text is empty."""
     for batch in batches:
         texts = batch.column(column).cast(pa.large_binary())
         at, size = 0, 0
         lengths = [0 if x is None else x for x in pa.compute.binary_length(texts).to_pylist()]
         for k, n in enumerate(lengths):
-            if k > at and size + n > CHUNK:
+            if k > at and (size + n > CHUNK or k - at >= ROWS):
                 yield batch.slice(at, k - at), [x or b"" for x in texts.slice(at, k - at).to_pylist()]
                 at, size = k, 0
             size += n

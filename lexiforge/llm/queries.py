@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _io, quality_lm
+from . import _io, quality_lm, superminhash
 
 
 def op4_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lm.judged(_io.table(spark, sf_dir, "documents"))
 
 
+def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.grouped(_io.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_perplexity": op4_ngram_perplexity,
+    "op8_superminhash": op8_superminhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
