@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _io, quality_lm, superminhash
+from . import _io, line_runs, mixing, quality_lm, superminhash
 
 
 def op4_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +17,21 @@ def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.grouped(_io.table(spark, sf_dir, "documents"))
 
 
+def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_runs.digest(_io.table(spark, sf_dir, "documents"))
+
+
+def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.placed(_io.table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_perplexity": op4_ngram_perplexity,
+    "op7_line_runs": op7_line_runs,
     "op8_superminhash": op8_superminhash,
+    "op10_temperature_mix": op10_temperature_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_line_runs": line_runs.ORACLE,
+}
