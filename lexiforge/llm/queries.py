@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _io, line_runs, mixing, packing, quality_lm, superminhash
+from . import _io, line_runs, mixing, packing, ppm_lang, quality_lm, superminhash
 
 
 def op4_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return superminhash.grouped(_io.table(spark, sf_dir, "documents"))
 
 
+def op5_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_lang.predicted(_io.table(spark, sf_dir, "documents"))
+
+
 def op6_linear_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_io.table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,7 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_ngram_perplexity": op4_ngram_perplexity,
+    "op5_ppm_language": op5_ppm_language,
     "op6_linear_grouping": op6_linear_grouping,
     "op7_line_runs": op7_line_runs,
     "op8_superminhash": op8_superminhash,
