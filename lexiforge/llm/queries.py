@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _io, line_runs, mixing, packing, ppm_lang, quality_lm, superminhash
+from . import _io, line_runs, mixing, packing, pii_votes, ppm_lang, quality_lm, superminhash
 
 
 def op4_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op7_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_runs.digest(_io.table(spark, sf_dir, "documents"))
 
 
+def op9_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_votes.spans(_io.table(spark, sf_dir, "documents"))
+
+
 def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.placed(_io.table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_linear_grouping": op6_linear_grouping,
     "op7_line_runs": op7_line_runs,
     "op8_superminhash": op8_superminhash,
+    "op9_weak_supervision_pii": op9_weak_supervision_pii,
     "op10_temperature_mix": op10_temperature_mix,
 }
 
