@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _io, line_runs, mixing, packing, pii_votes, ppm_lang, quality_lm, superminhash
+from . import _io, line_runs, mixing, packing, pii_votes, posting_ann, ppm_lang, quality_lm, superminhash
+
+
+def op3_balanced_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_ann.neighbours(_io.table(spark, sf_dir, "embeddings"))
 
 
 def op4_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +42,7 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_balanced_postings": op3_balanced_postings,
     "op4_ngram_perplexity": op4_ngram_perplexity,
     "op5_ppm_language": op5_ppm_language,
     "op6_linear_grouping": op6_linear_grouping,
