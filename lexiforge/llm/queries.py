@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _io, line_runs, mixing, packing, pii_votes, posting_ann, ppm_lang, quality_lm, superminhash
+from . import _io, line_runs, mixing, packing, pii_votes, posting_ann, ppm_lang, quality_lm, superminhash, toolcalls
+
+
+def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.linked(_io.table(spark, sf_dir, "conversations"))
 
 
 def op3_balanced_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +46,7 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_tool_call_linking": op1_tool_call_linking,
     "op3_balanced_postings": op3_balanced_postings,
     "op4_ngram_perplexity": op4_ngram_perplexity,
     "op5_ppm_language": op5_ppm_language,
