@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _io, line_runs, mixing, packing, pii_votes, posting_ann, ppm_lang, quality_lm, superminhash, toolcalls
+from . import _io, line_runs, mixing, packing, passages, pii_votes, posting_ann, ppm_lang, quality_lm, superminhash, toolcalls
 
 
 def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toolcalls.linked(_io.table(spark, sf_dir, "conversations"))
 
 
+def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated(_io.table(spark, sf_dir, "documents"))
+
+
 def op3_balanced_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posting_ann.neighbours(_io.table(spark, sf_dir, "embeddings"))
 
@@ -47,6 +51,7 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tool_call_linking": op1_tool_call_linking,
+    "op2_compact_windows": op2_compact_windows,
     "op3_balanced_postings": op3_balanced_postings,
     "op4_ngram_perplexity": op4_ngram_perplexity,
     "op5_ppm_language": op5_ppm_language,
