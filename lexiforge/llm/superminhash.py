@@ -5,10 +5,10 @@ permutation plus a fraction, drawn step by step, and a set stops as soon as no l
 Equal sets become one class at once. Bands of signature slots propose pairs of classes, every proposed pair is
 confirmed on the full sets, and union-find (alternating large and small stars) groups what is linked.
 
-No bucket is expanded into its pairs. A bucket first compares its members with one pivot; only where its
-members then belong to several components, those outside its largest component are compared with the others, some
-at a time, until nothing is left to compare. With BANDS x ROWS a pair at similarity 0.85 shares no bucket with
-a probability below 1e-6, one at 0.8 below 3e-4.
+No bucket is expanded into its pairs. A bucket compares its members with one pivot. Members of buckets that then still
+hold several components go through an exact prefix-filter join, which proposes every similar pair among them that
+is not connected yet. With BANDS x ROWS a pair at similarity 0.85 shares no bucket with a probability below 1e-6,
+one at 0.8 below 3e-4.
 
 Defined cases: null and empty texts and texts without words have an empty set, no links and are kept; with
 fewer than five words the whole sequence is the one shingle. Rows that share a doc_id are one vertex. A row
@@ -32,8 +32,6 @@ SLOTS = BANDS * ROWS
 _STEP = 0x9E3779B97F4A7C15
 #: Elements whose permutations are held at once.
 _BLOCK = 100_000
-#: Members outside a bucket's largest component that are compared in the second round; four times as many in each further one.
-PIVOTS = 16
 
 
 def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -185,39 +183,59 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
-def _with_component(rows: DataFrame, comp: DataFrame) -> DataFrame:
-    return rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("component"))
-
-
-def links(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between classes, enough of them to join all that is connected. classes: rep, n (set size), bands."""
+def _spell_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch, texts in _text.chunks(batches):
+        gram, first = shingle_sets(texts)
+        rep = np.repeat(batch.column("doc_id").to_numpy(), np.diff(first))
+        for at in range(0, len(gram), 500_000):
+            yield pa.record_batch({"rep": pa.array(rep[at : at + 500_000]), "h": pa.array(gram[at : at + 500_000].view(np.int64))})
+
+
+def prefix_pairs(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among which are all that reach the similarity: prefix filtering. members: rep, n, component.
+
+    Shingles are ordered from rare to frequent among the members. Two sets can only be similar enough if they share
+    one of their first n - ceil(similarity * n) + 1 shingles, with enough behind it. Shingles of one member only
+    come first and match nothing: sets that differ from all others in too many shingles drop out without a comparison.
+    In each shingle's bucket those outside its most frequent component are compared with the others.
+    """
+    own = texts.join(members.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_spell_out, "rep long, h long")
+    own, _ = _io.stored(own, "shingles")
+    shared = own.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    order = Window.partitionBy("rep").orderBy("df", "h")
+    ranked = own.join(shared, "h").withColumns({"at": F.row_number().over(order), "c": F.count("*").over(Window.partitionBy("rep"))})
+    entries = ranked.join(members, "rep").withColumn("pos", F.col("n") - F.col("c") + F.col("at") - 1)
+    entries = entries.where(f"pos <= n - cast(ceil({percent} * n / 100) as long)").select("h", "rep", "n", "component", "pos")
+    entries, _ = _io.stored(entries, "prefixes")
+    share = entries.groupBy("h", "component").agg(F.count("*").alias("k"))
+    main = share.groupBy("h").agg(F.max(F.struct("k", "component")).alias("t"), F.count("*").alias("several")).where("several > 1").select("h", F.col("t.component").alias("main"))
+    some = entries.join(main, "h")
+    left = some.where("component <> main").select("h", *(F.col(c).alias(f"{c}_x") for c in ("rep", "n", "component", "pos")))
+    enough = f"100 * least(n, n_x) >= {percent} * greatest(n, n_x) and {100 + percent} * least(n - pos, n_x - pos_x) >= {percent} * (n + n_x)"
+    return left.join(some, on=[left["h"] == some["h"], F.expr("component <> component_x"), F.expr(enough)]).select(F.greatest("rep", "rep_x").alias("a"), F.least("rep", "rep_x").alias("b")).distinct()
+
+
+def joined(classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """node, component of all classes that are linked with another. classes: rep, n (set size), bands."""
     near = f"100 * least(n, pn) >= {percent} * greatest(n, pn)"
-    rows = classes.select("rep", "n", F.explode("bands").alias("key"))
+    rows = classes.select("rep", F.explode("bands").alias("key"))
     several = rows.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("other")).where("pivot <> other").select("key", "pivot")
-    rows, _ = _io.stored(rows.join(several, "key").select("key", "rep", "n", "pivot"), "buckets")
-    sizes = classes.select(F.col("rep").alias("pivot"), F.col("n").alias("pn"))
-    pairs, _ = _io.stored(rows.where("rep <> pivot").select("rep", "n", "pivot").distinct().join(sizes, "pivot").where(near).select(F.col("rep").alias("a"), F.col("pivot").alias("b")), "pairs")
+    rows, _ = _io.stored(rows.join(several, "key").select("key", "rep", "pivot"), "buckets")
+    sizes = classes.select("rep", "n")
+    pairs = rows.where("rep <> pivot").select("rep", "pivot").distinct().join(sizes, "rep").join(sizes.select(F.col("rep").alias("pivot"), F.col("n").alias("pn")), "pivot").where(near)
+    pairs, _ = _io.stored(pairs.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), "pairs")
     found = confirmed(pairs, texts, percent)
-    rows = rows.where("rep <> pivot").select("key", "rep", "n")  # a pivot has been compared with its whole bucket
-    most = PIVOTS
-    while True:
-        comp, _ = _io.stored(components(found), "components")
-        rows = _with_component(rows, comp)
-        spread = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        rows, _ = _io.stored(rows.join(spread, "key", "left_semi"), "buckets")
-        if rows.isEmpty():
-            return found
-        share = rows.groupBy("key", "component").agg(F.count("*").alias("c"))
-        top = share.groupBy("key").agg(F.max(F.struct("c", "component")).alias("t")).select("key", F.col("t.component").alias("largest"))
-        outside = rows.join(top, "key").where("component <> largest")
-        # the first outsiders of each bucket: Spark limits them within each task before it shuffles
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-        heads = outside.withColumn("at", rank).where(F.col("at") <= most)
-        heads, _ = _io.stored(heads.select("key", F.col("rep").alias("pivot"), F.col("n").alias("pn"), F.col("component").alias("pc")), "pivots")
-        pairs, _ = _io.stored(rows.join(heads, "key").where("component <> pc and rep <> pivot").where(near).select(F.greatest("rep", "pivot").alias("a"), F.least("rep", "pivot").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-        found, _ = _io.stored(found.union(confirmed(pairs, texts, percent)), "links")
-        rows = rows.select("key", "rep", "n").join(heads.select("key", F.col("pivot").alias("rep")), ["key", "rep"], "left_anti")
-        most *= 4
+    comp, _ = _io.stored(components(found), "components")
+    # buckets whose members aren't all of one component now
+    told = rows.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    spread = told.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    members, _ = _io.stored(told.join(spread, "key", "left_semi").select("rep", "component").distinct().join(sizes, "rep"), "members")
+    if members.isEmpty():
+        return comp
+    more, _ = _io.stored(prefix_pairs(members, texts, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
+    if more.isEmpty():
+        return comp
+    return components(found.union(confirmed(more, texts, percent)))
 
 
 def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -227,8 +245,7 @@ def grouped(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = told.where("n_shingles > 0 and doc_id is not null").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep"))
     classes, _ = _io.stored(classes, "classes")
     reps = told.join(classes.select(F.col("rep").alias("doc_id"), "fp1", "fp2"), ["doc_id", "fp1", "fp2"], "left_semi")
-    found = links(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands"), docs, percent)
-    comp = components(found)
+    comp = joined(reps.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands"), docs, percent)
     owner = classes.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component"))
     out = told.select("doc_id", "n_shingles", "fp1", "fp2").join(owner, ["fp1", "fp2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.least("doc_id", "component")).otherwise(F.col("doc_id"))
