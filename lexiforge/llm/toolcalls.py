@@ -163,7 +163,8 @@ def linked(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
         .when(result & (at != F.col("result_at")), "duplicate_result")
         .otherwise("ok")
     )
-    plain = (F.col("kind") == "message") | F.col("anchor").isNull()
+    first = F.when(call, F.col("call_at")).otherwise(F.col("result_at"))
+    plain = F.col("anchor").isNull() | (at != first)
     anchor = F.when(plain, F.col("turn")).when(result, F.greatest("turn", "anchor")).otherwise(F.col("anchor"))
     depth = F.when(plain, 0).when(result, F.col("depth") + 1).otherwise(F.col("depth"))
     joined = rows.select("conv_id", "turn", "item", "kind", "call_id", status.alias("status"), anchor.alias("anchor"), depth.cast("int").alias("depth"), "json")
