@@ -9,6 +9,8 @@ documents within each block.
 Only the block in which a source's budget ends is ranked document by document. Blocks are hash slices of a
 source, BLOCKS each, so a source with a third of all rows is worked on in many tasks.
 
+A row a source comes to the driver, for the weights depend on all of them; sources are expected to number thousands, not millions.
+
 Defined cases: a null source is a source of its own, named "". A document without words costs nothing and comes in each
 pass its block is in. Repeated rows are documents of their own; ties in order go to the smaller doc_id.
 A row without doc_id is placed like any other. An empty table, or one without words, gives an empty result.
@@ -94,14 +96,14 @@ def placed(docs: DataFrame, share: float = BUDGET, target_entropy: float = TARGE
     goal = budgets(tokens, round(share * sum(tokens.values())), target_entropy, max_repeats)
     plan = spark.createDataFrame([(s, b, b // tokens[s], b % tokens[s]) for s, b in sorted(goal.items())] or [], "source string, goal long, passes long, rest long")
     # each pass is a permutation of the blocks; in the last pass they are taken until the rest of the budget is used up
-    per_pass = blocks.join(F.broadcast(plan), "source").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("passes").cast("int"))))
+    per_pass = blocks.join(plan, "source").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("passes").cast("int"))))
     order = Window.partitionBy("source", "copy").orderBy(F.xxhash64(F.lit(SEED), "source", "copy", "block"), "block")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     per_pass = per_pass.withColumns({"block_place": F.row_number().over(order), "before": F.sum("n").over(upto) - F.col("n")})
     left = F.when(F.col("copy") < F.col("passes"), F.col("n")).otherwise(F.col("rest") - F.col("before"))
     chosen = per_pass.withColumn("left", left).where("copy < passes or left > 0").select("source", "block", "copy", "block_place", "n", "left")
-    # at most BLOCKS rows for each source and pass
-    rows = counted.join(F.broadcast(chosen), ["source", "block"]).withColumn("draw", F.xxhash64(F.lit(SEED), "copy", "doc_id"))
+    # a block is a small part of its source, so the join deals even one large source out evenly
+    rows = counted.join(chosen, ["source", "block"]).withColumn("draw", F.xxhash64(F.lit(SEED), "copy", "doc_id"))
     whole = rows.where("left >= n")
     inner = Window.partitionBy("source", "copy", "block").orderBy("draw", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     part = rows.where("left < n").withColumn("upto", F.sum("n_tokens").over(inner)).where("upto <= left").drop("upto")
