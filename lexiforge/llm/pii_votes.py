@@ -53,6 +53,8 @@ CONTEXT = {
 LABELERS = ("shape", "checksum", "gazetteer", "context", "boundary")
 #: Length classes of the classifier: up to 12, 16, 24, 40 code points, or longer.
 LENGTHS = (12, 16, 24, 40)
+#: Weight, in candidates, of the prior belief in a labeler, and its chances to vote against, not at all, and for what is true.
+BELIEF, _AGREES = 20, {-1: 0.05, 0: 0.35, 1: 0.6}
 _BLOCK = 256
 
 
@@ -116,7 +118,10 @@ def found(docs: DataFrame) -> DataFrame:
 
 
 def voted(candidates: DataFrame) -> DataFrame:
-    """Candidates (start, text, before, after) with their kind, length class and a vote (-1, 0 or 1) of each labeler."""
+    """Candidates (start, text, before, after) with their kind, length class and a vote (-1, 0 or 1) of each labeler.
+
+    A labeler abstains on what the candidate pattern asks for anyway.
+    """
     text, before, after = F.col("text"), F.lower("before"), F.col("after")
     kind = F.when(text.rlike("^[0-9]+$"), "card").when(text.rlike(r"[\[(]at[\])]"), "email").when(text.rlike("^[+(]"), "phone").otherwise("secret")
     df = candidates.withColumn("kind", kind)
@@ -127,11 +132,11 @@ def voted(candidates: DataFrame) -> DataFrame:
     starts = lambda words: F.lit(False) if not words else F.coalesce(*(F.when(text.startswith(w), True) for w in words), F.lit(False))
     speaks = lambda words: F.coalesce(*(F.when(before.contains(w), True) for w in words), F.lit(False))
     votes = {
-        "shape": by_kind(card=vote(F.length(digits).isin(15, 16), F.length(digits).isin(12, 17, 18, 19)), phone=vote(text.startswith("+"), F.lit(False)), email=vote(~text.contains("  "), F.lit(False)), secret=vote(mixed, ~mixed)),
+        "shape": by_kind(card=vote(F.lit(False), ~F.length(digits).isin(15, 16)), phone=vote(text.startswith("+"), F.lit(False)), email=vote(~text.contains("  "), F.lit(False)), secret=vote(mixed, ~mixed)),
         "checksum": by_kind(card=vote(_luhn(digits), ~_luhn(digits)), phone=vote(F.length(digits).between(9, 15), ~F.length(digits).between(9, 15)), secret=vote(F.length(F.regexp_replace(text, "[^0-9]", "")) >= 3, F.length(digits) == 0)),
         "gazetteer": by_kind(card=vote(starts(CARD_STARTS), ~starts(CARD_STARTS)), phone=vote(starts(CALLING_CODES), F.lit(False)), email=vote(text.rlike(f"(?:{'|'.join(DOMAIN_ENDS)})$"), F.lit(False)), secret=vote(text.startswith("AKIA") | text.rlike("^(?:password|token|secret)"), F.lit(False))),
         "context": by_kind(**{k: vote(speaks(w), before.rlike("[0-9][ .-]?$") & (F.col("kind") != "secret")) for k, w in CONTEXT.items()}),
-        "boundary": vote((F.col("before") == "") | F.col("before").rlike(r"[\s(\"':,;]$"), F.col("before").rlike("[A-Za-z0-9_=-]$") | after.rlike("^[A-Za-z0-9_]")),
+        "boundary": vote(F.lit(False), F.col("before").rlike("[A-Za-z0-9_=-]$") | after.rlike("^[A-Za-z0-9_]")),
     }
     size = F.lit(len(LENGTHS))
     for j in reversed(range(len(LENGTHS))):
@@ -153,8 +158,8 @@ def reliabilities(tally: dict[tuple, int], rounds: int = 40) -> tuple[float, lis
             for x in (-1, 0, 1):
                 yes = sum(n * post[v] for v, n in tally.items() if v[j] == x)
                 no = sum(n * (1 - post[v]) for v, n in tally.items() if v[j] == x)
-                # a weak prior belief that labelers are better than chance keeps the two classes from changing places
-                c[x, 1], c[x, 0] = (yes + 1 + (x > 0)) / (true + 4), (no + 1 + (x < 0)) / (whole - true + 4)
+                # a prior belief that labelers are better than chance: it keeps the classes from changing places, and a rare class from being taken over
+                c[x, 1], c[x, 0] = (yes + BELIEF * _AGREES[x]) / (true + BELIEF), (no + BELIEF * _AGREES[-x]) / (whole - true + BELIEF)
             chance.append(c)
         for v in tally:
             odds = math.log(prior / (1 - prior)) + sum(math.log(chance[j][x, 1] / chance[j][x, 0]) for j, x in enumerate(v))
@@ -171,15 +176,17 @@ N_FEATURES = 2 * len(LABELERS) + len(LENGTHS) + 2
 
 
 def classifier(rows: dict[tuple[tuple, int], int], post: dict[tuple, float], rounds: int = 300) -> list[float]:
-    """Weights of a logistic classifier trained on the posteriors as soft labels."""
-    w, whole = [0.0] * N_FEATURES, sum(rows.values())
+    """Weights of a logistic classifier trained on the posteriors as soft labels, both classes of equal weight, so that rare ones are learnt too."""
+    w = [0.0] * N_FEATURES
+    yes = 0.5 / (1 + sum(n * post[v] for (v, _), n in rows.items()))
+    no = 0.5 / (1 + sum(n * (1 - post[v]) for (v, _), n in rows.items()))
     for _ in range(rounds):
         slope = [-0.001 * x for x in w]
         for (votes, size), n in rows.items():
             on = _features(votes, size)
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(w[f] for f in on)))))
             for f in on:
-                slope[f] += n / whole * (post[votes] - p)
+                slope[f] += n * (yes * post[votes] * (1 - p) - no * (1 - post[votes]) * p)
         w = [x + 2.0 * s for x, s in zip(w, slope, strict=True)]
     return w
 
