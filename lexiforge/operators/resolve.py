@@ -34,13 +34,16 @@ def resolved(docs: DataFrame, dictionary: DataFrame, synonym_map: DataFrame | No
     clean = docs.select(key, text.clean_tokens(F.col(tokens)).alias("text"))
     found = segment.longest(clean, dictionary, key, "text", most_words)
     items = without_redundant(ordered_distinct(found, key, "term"), key, "term")
-    in_order = lambda rows, value, name: rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", value))), lambda x: x[value]).alias(name))
-    out = docs.select(key).join(in_order(items, "term", "ingredients"), key, "left")
     empty = F.array().cast("array<string>")
     if synonym_map is None:
-        return out.select(key, F.coalesce("ingredients", empty).alias("ingredients"), empty.alias("pollutants"))
-    bad = canonicals(items, synonym_map, key, "term")
-    return out.join(in_order(bad, "canonical", "pollutants"), key, "left").select(key, F.coalesce("ingredients", empty).alias("ingredients"), F.coalesce("pollutants", empty).alias("pollutants"))
+        named = items.withColumn("canonical", F.lit(None).cast("string"))
+    else:
+        known = synonym_map.select(F.col("synonym").alias("named"), "canonical")
+        named = items.join(known, text.strip(F.col("term")) == F.col("named"), "left")
+    lists = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "term", "canonical"))).alias("x"))
+    bad = F.array_distinct(F.filter(F.col("x.canonical"), lambda c: c.isNotNull()))
+    out = docs.select(key).join(lists, key, "left")
+    return out.select(key, F.coalesce(F.col("x.term"), empty).alias("ingredients"), F.coalesce(bad, empty).alias("pollutants"))
 
 
 def response(resolved_docs: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -11,18 +11,29 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 
-def _greedy(starts: Column) -> Column:
-    """Of (pos, n) matches in order of pos those that a left-to-right scan takes: each begins at or after the end of the one before."""
-    begin = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<pos:int,n:int>>").alias("out"))
+def _greedy(matches: Column) -> Column:
+    """Of (pos, n, term) matches in order of pos the terms that a left-to-right scan takes: each begins at or after the end of the one before."""
+    begin = F.struct(F.lit(0).alias("free"), F.array().cast("array<string>").alias("out"))
 
     def step(state: Column, m: Column) -> Column:
         take = m["pos"] >= state["free"]
         return F.struct(
             F.when(take, m["pos"] + m["n"]).otherwise(state["free"]).alias("free"),
-            F.when(take, F.concat(state["out"], F.array(F.struct(m["pos"].alias("pos"), m["n"].alias("n"))))).otherwise(state["out"]).alias("out"),
+            F.when(take, F.concat(state["out"], F.array(m["term"]))).otherwise(state["out"]).alias("out"),
         )
 
-    return F.aggregate(starts, begin, step, lambda s: s["out"])
+    return F.aggregate(matches, begin, step, lambda s: s["out"])
+
+
+def ngrams(words: Column, most: int) -> Column:
+    """(pos, n, term) of all runs of up to `most` words."""
+
+    def at(pos: Column) -> Column:
+        lengths = F.sequence(F.lit(1), F.least(F.lit(most), F.size(words) - pos))
+        return F.transform(lengths, lambda n: F.struct(pos.alias("pos"), n.alias("n"), F.array_join(F.slice(words, pos + 1, n), " ").alias("term")))
+
+    places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(places, at))
 
 
 def longest(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", column: str = "text", most_words: int = 8) -> DataFrame:
@@ -32,14 +43,11 @@ def longest(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", column:
     a text takes the longest of each place from left to right. most_words: n-grams of up to so many words are tried.
     """
     split = docs.select(key, text.words(F.col(column)).alias("w"))
-    places = split.select(key, "w", F.explode(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1))).alias("pos"))
-    grams = places.select(key, "pos", F.explode(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - F.col("pos")))).alias("n"), "w")
-    grams = grams.select(key, "pos", "n", F.array_join(F.slice("w", F.col("pos") + 1, F.col("n")), " ").alias("term"))
+    grams = split.select(key, F.explode(ngrams(F.col("w"), most_words)).alias("g")).select(key, "g.*")
     hits = grams.join(dictionary.select("term").distinct(), "term")
-    best = hits.groupBy(key, "pos").agg(F.max("n").alias("n"))
-    taken = best.groupBy(key).agg(_greedy(F.array_sort(F.collect_list(F.struct("pos", "n")))).alias("m"))
-    out = taken.select(key, F.posexplode("m").alias("seq", "m")).select(key, "seq", "m.pos", "m.n")
-    return out.join(hits, [key, "pos", "n"]).select(key, "seq", "term").distinct()
+    best = hits.groupBy(key, "pos").agg(F.max(F.struct("n", "term")).alias("b"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", F.col("b.n").alias("n"), F.col("b.term").alias("term"))))
+    return best.groupBy(key).agg(_greedy(ordered).alias("m")).select(key, F.posexplode("m").alias("seq", "term"))
 
 
 class PrefixTree:
