@@ -18,7 +18,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
 #: Bytes of text, and rows, handled at once.
-CHUNK, ROWS = 4_000_000, 8192
+CHUNK, ROWS = 1_500_000, 8192
 
 
 def mix(x: np.ndarray) -> np.ndarray:
