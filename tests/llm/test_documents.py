@@ -1,6 +1,7 @@
 """Operators over documents against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexiforge.llm import line_runs, mixing, packing, passages, pii_votes, ppm_lang, quality_lm, superminhash
 
-from .helpers import DOCS, WORD, corpus, frame, union_find, words
+from .helpers import DOCS, WORD, corpus, frame, prose, union_find, words
 
 
 @pytest.fixture(scope="module")
@@ -382,3 +383,12 @@ def test_compact_windows_against_all_subsequences():
         while right + 1 < first[d + 1] and rank[right + 1] > rank[c]:
             right += 1
         assert (lo, hi) == (left, right)
+
+
+def test_passages_far_into_a_long_text(spark):
+    rnd = random.Random(12)
+    shared = prose(rnd, 60)
+    long = " ".join([*(f"w{k}" for k in range((1 << 20) + 500)), shared, *(f"v{k}" for k in range(100))])
+    other = " ".join([*(f"u{k}" for k in range(30)), shared, *(f"t{k}" for k in range(30))])
+    got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in passages.repeated(frame(spark, [(1, other, "en", "s", 0), (2, long, "en", "s", 0)])).collect()}
+    assert got == {(1, 30, 90), (2, (1 << 20) + 500, (1 << 20) + 560)}
