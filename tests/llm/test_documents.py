@@ -392,3 +392,17 @@ def test_passages_far_into_a_long_text(spark):
     other = " ".join([*(f"u{k}" for k in range(30)), shared, *(f"t{k}" for k in range(30))])
     got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in passages.repeated(frame(spark, [(1, other, "en", "s", 0), (2, long, "en", "s", 0)])).collect()}
     assert got == {(1, 30, 90), (2, (1 << 20) + 500, (1 << 20) + 560)}
+
+
+def test_passages_equal_to_a_near_copy_only(spark):
+    rnd = random.Random(21)
+    rows = []
+    for k in range(0, 180, 3):
+        one = prose(rnd, 100).split()
+        two = [*one[:50], f"changed{k}", *one[51:]]
+        rows += [(k, " ".join(one), "en", "s", 0), (k + 1, " ".join(two), "en", "s", 0)]
+        rows.append((k + 2, " ".join([prose(rnd, 40), *two[22:78], prose(rnd, 40)]), "en", "s", 0))
+    got = defaultdict(set)
+    for r in passages.repeated(frame(spark, rows)).collect():
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    assert [k for k in range(2, 180, 3) if not set(range(40, 96)) <= got[k]] == []
