@@ -406,3 +406,32 @@ def test_passages_equal_to_a_near_copy_only(spark):
     for r in passages.repeated(frame(spark, rows)).collect():
         got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
     assert [k for k in range(2, 180, 3) if not set(range(40, 96)) <= got[k]] == []
+
+
+def covered(df):
+    got = defaultdict(set)
+    for r in df.collect():
+        got[r["doc_id"]].update(range(r["start_word"], r["end_word"]))
+    return got
+
+
+def test_near_passages_are_all_found(spark):
+    rows = []
+    for k in range(200):
+        w = [f"p{k}x{x}" for x in range(50)]
+        near = [*w[: k % 50], f"changed{k}", *w[k % 50 + 1 :]]
+        for d, own in ((2 * k, w), (2 * k + 1, near)):
+            rows.append((d, " ".join([*(f"a{d}x{x}" for x in range(30)), *own, *(f"z{d}x{x}" for x in range(30))]), "en", "s", 0))
+    got = covered(passages.repeated(frame(spark, rows)))
+    assert [d for d in range(400) if not set(range(30, 80)) <= got[d]] == []
+
+
+def test_near_copies_unlike_the_first_text(spark):
+    rows = []
+    for k in range(0, 80, 4):
+        w = [f"p{k}x{x}" for x in range(60)]
+        for d, own in enumerate((w[:29], w[31:], w, [*w[:30], f"changed{k}", *w[31:]])):
+            rows.append((k + d, " ".join([*(f"a{k + d}x{x}" for x in range(40)), *own, *(f"z{k + d}x{x}" for x in range(40))]), "en", "s", 0))
+    got = covered(passages.repeated(frame(spark, rows)))
+    assert [d for d in range(80) if set(range(40, 100)) <= got[d]] == [d for d in range(80) if d % 4 > 1]
+    assert not any(got[d] for d in range(80) if d % 4 < 2)
