@@ -34,7 +34,7 @@ BASE = {
 }
 #: What a text must hold for a pattern to match at all.
 _NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-_SECRET = r"(?<![A-Za-z])(?:password|passwd|token|secret|api_?key)[ \t]{0,3}[=:][ \t]{0,3}\"?[A-Za-z0-9_-]{8,80}\"?|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
+_SECRET = r"(?<![A-Za-z])(?:password|passwd|token|secret|api_?key)[ \t]{0,3}[=:][ \t]{0,3}\"?[A-Za-z0-9_-]{8,}+\"?|(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
 _PHONE = r"(?<![0-9+])(?:\+[0-9]{1,3} ?)?\([0-9]{2,4}\) ?[0-9]{3,4}-[0-9]{3,4}(?![0-9])"
 _CARD = r"(?<![0-9A-Za-z])[0-9]{12,19}(?![0-9A-Za-z])"
 _EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)) ?[A-Za-z0-9-]{1,63} ?(?:\[dot\]|\(dot\)|\.) ?[A-Za-z]{2,24}"

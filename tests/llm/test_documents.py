@@ -435,3 +435,9 @@ def test_near_copies_unlike_the_first_text(spark):
     got = covered(passages.repeated(frame(spark, rows)))
     assert [d for d in range(80) if set(range(40, 100)) <= got[d]] == [d for d in range(80) if d % 4 > 1]
     assert not any(got[d] for d in range(80) if d % 4 < 2)
+
+
+def test_long_secrets_are_whole(spark):
+    rows = [(k, f"user login: token={'aB3' * (5 + k)} end", "en", "s", 0) for k in range(60)]
+    got = {r["doc_id"]: r["spans"] for r in pii_votes.spans(frame(spark, rows)).collect()}
+    assert [k for k in range(60) if got[k] != f"secret:12:{18 + 3 * (5 + k)}"] == []
