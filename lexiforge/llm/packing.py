@@ -3,14 +3,15 @@
 Texts are tokenised where they lie and cut into pieces of at most CAPACITY tokens; only the lengths go on. How
 many pieces there are of each length is all that the plan needs, and that is at most CAPACITY numbers however
 large the corpus is. Large lengths are dealt into groups of equal cardinality and rounded up to their group's
-largest; column generation finds the configurations of these few sizes; actual lengths are substituted for the rounded
-ones; then small pieces, and large ones left over from rounding the configurations down, go best-fit into the
-gaps, longest first. The plan is a list of rules of the form "pieces of length L and ranks r to r + n go
-to sequences from b on, at offset o"; a piece finds its place by its length and its rank among pieces of that length.
+largest; column generation finds the configurations of these few sizes; actual pieces are substituted, each the longest
+that leaves room for the slots still to come, so that what rounding leaves free in one slot goes to the next; then small
+pieces, and large ones left over from rounding the configurations down, go best-fit into the gaps, longest first.
+The plan is a list of rules of the form "pieces of length L and ranks r to r + n go to sequences from b on, at offset o"; a
+piece finds its place by its length and its rank among pieces of that length.
 
-Ids are those of byte_bpe_50k.json. Its vocabulary is handed to tiktoken, which gives the same ids as the tokenizers
-library several times faster; a text that tiktoken refuses goes to tokenizers itself. The strings of
-special tokens are ordinary text.
+Ids are those of byte_bpe_50k.json as the tokenizers library gives them with add_special_tokens=False: the string of an added
+token in a text is that token. Its vocabulary is handed to tiktoken, which gives the same ids several times faster; a
+text that tiktoken refuses, and a vocabulary whose added tokens swallow blanks or want whole words, goes to tokenizers itself.
 
 Defined cases: a null or empty text has the one id 0. Repeated rows are packed each for itself. A null doc_id stays
 null. An empty table gives an empty result. Extra columns are ignored.
@@ -31,10 +32,10 @@ from . import _io, _text
 
 CAPACITY = 2048
 END = 0
-#: Lengths above a share of the capacity are large; they are rounded up within a number of groups. Each (share, number) is tried on the tally of lengths, and the fewest sequences win.
-SETTINGS = ((1 / 2, 64), (1 / 3, 64), (1 / 4, 32))
-#: Slices in which the pieces of one length are ranked.
-SLICES = 256
+#: Lengths above a share of the capacity are large; they are rounded up within a number of groups. Sequences hold two large pieces, or up to three. Both are tried on the tally of lengths, and the fewer sequences win.
+SETTINGS = ((1 / 3, 256), (1 / 4, 128))
+#: Pieces of one length that are ranked in a task.
+SLICE = 65_536
 _ENCODERS: dict[str, tuple] = {}
 
 
@@ -55,21 +56,22 @@ def encoder(path: str | None = None):
     if path not in _ENCODERS:
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
-        letters, special = _byte_letters(), {x["content"] for x in made["added_tokens"]}
-        ranks = {bytes(letters[c] for c in t): i for t, i in made["model"]["vocab"].items() if t not in special}
-        fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        slow = Tokenizer.from_file(path)
-        slow.encode_special_tokens = True
-        _ENCODERS[path] = fast, slow
+        letters, added = _byte_letters(), {x["content"]: x["id"] for x in made["added_tokens"]}
+        plain = not any(x.get(k) for x in made["added_tokens"] for k in ("lstrip", "rstrip", "single_word", "normalized"))
+        ranks = {bytes(letters[c] for c in t): i for t, i in made["model"]["vocab"].items() if t not in added}
+        fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added) if plain else None
+        _ENCODERS[path] = fast, Tokenizer.from_file(path)
     fast, slow = _ENCODERS[path]
 
     def encode(text: str) -> np.ndarray:
-        try:
-            return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), dtype=np.uint32)
-        except (KeyboardInterrupt, SystemExit, MemoryError):
-            raise
-        except BaseException:  # a panic of the library's regular expressions isn't an Exception
-            return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        if fast is not None:
+            try:
+                return np.asarray(fast.encode_to_numpy(text, allowed_special="all"), dtype=np.uint32)
+            except (KeyboardInterrupt, SystemExit, MemoryError):
+                raise
+            except BaseException:  # a panic of the library's regular expressions isn't an Exception
+                pass
+        return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
     return encode
 
@@ -99,32 +101,53 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cutter(path, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 600) -> list[tuple[np.ndarray, float]]:
+def _priciest(worth: np.ndarray, sizes: np.ndarray, room: np.ndarray, fits: np.ndarray) -> tuple[float, list[int]]:
+    """The worth and the sizes (by index) of the best configuration: a knapsack, filled one slot after another. room: capacity left by each size at each capacity."""
+    every, c = np.arange(len(room)), len(room) - 1
+    best, picks = np.zeros(len(room)), []
+    for _ in range(int(c // sizes.min()) - 1):
+        value = np.where(fits, worth + best[room], -1.0)
+        g = value.argmax(axis=1)
+        more = value[every, g] > best
+        best, pick = np.where(more, value[every, g], best), np.where(more, g, -1)
+        picks.append(pick)
+    value = np.where(fits[c], worth + best[room[c]], -1.0)  # the last slot is of use at full capacity only
+    top, slots = int(value.argmax()), []
+    if value[top] > best[c]:
+        slots.append(top)
+        c -= sizes[top]
+    for pick in reversed(picks):
+        if pick[c] >= 0:
+            slots.append(int(pick[c]))
+            c -= sizes[pick[c]]
+    return max(float(best[-1]), float(value[top])), slots
+
+
+def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, float]]:
     """Configurations of a few sizes, and how often to use each (not whole numbers), that cover the counts: column generation on the linear programme."""
     k = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
-    for _ in range(rounds):
-        use = np.linalg.solve(basis, counts.astype(float))
-        worth = np.linalg.solve(basis.T, np.ones(k))
-        best = np.zeros(capacity + 1)
-        pick = np.full(capacity + 1, -1)
-        for c in range(int(sizes.min()), capacity + 1):
-            fits = sizes <= c
-            value = np.where(fits, best[np.where(fits, c - sizes, 0)] + worth, -1.0)
-            g = int(value.argmax())
-            best[c], pick[c] = (value[g], g) if value[g] > best[c - 1] else (best[c - 1], -1)
-        if best[capacity] <= 1 + 1e-7:
+    inverse = np.linalg.inv(basis)
+    use = inverse @ counts
+    left = np.arange(capacity + 1)[:, None] - sizes
+    fits, room = left >= 0, np.maximum(left, 0)
+    for step in range(rounds):
+        if step % 64 == 63:
+            inverse = np.linalg.inv(basis)
+            use = inverse @ counts
+        worth, slots = _priciest(inverse.sum(axis=0), sizes, room, fits)
+        if worth <= 1 + 1e-6:
             break
-        column, c = np.zeros(k), capacity
-        while c > 0:
-            if pick[c] < 0:
-                c -= 1
-            else:
-                column[pick[c]] += 1
-                c -= sizes[pick[c]]
-        step = np.linalg.solve(basis, column)
-        ratio = np.where(step > 1e-9, use / np.where(step > 1e-9, step, 1), np.inf)
-        basis[:, int(ratio.argmin())] = column
+        column = np.bincount(slots, minlength=k).astype(float)
+        change = inverse @ column
+        ratio = np.where(change > 1e-9, use / np.where(change > 1e-9, change, 1), np.inf)
+        j = int(ratio.argmin())
+        basis[:, j] = column
+        row = inverse[j] / change[j]
+        inverse -= np.outer(change, row)
+        inverse[j] = row
+        use = np.maximum(use - ratio[j] * change, 0)
+        use[j] = ratio[j]
     use = np.linalg.solve(basis, counts.astype(float))
     return [(basis[:, j].astype(int), float(use[j])) for j in range(k) if use[j] > 1e-9]
 
@@ -136,7 +159,7 @@ class Plan:
         """counts: of each length from 0 to capacity."""
         self.capacity, self.left = capacity, [int(x) for x in counts]
         self.next = [0] * (capacity + 1)
-        self.bins = 0
+        self.bins, self.configured = 0, 0  # sequences, and pieces that a configuration placed
         self.rules: list[tuple[int, int, int, int, int, int]] = []  # length, rank, n, bin, offset, each
         self.gaps: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]  # by free tokens: first bin and number of bins
         if self.left[capacity]:
@@ -159,57 +182,44 @@ class Plan:
         total = sum(self.left[x] for x in lengths)
         if not total:
             return
-        # runs (length, n) of each group, longest first; a length may straddle groups
-        runs: list[list[list[int]]] = [[] for _ in range(min(groups, total))]
-        at = 0
+        groups, at = min(groups, total), 0
+        rounded: dict[int, int] = {}  # pieces by their group's largest length; a length may straddle groups
+        largest: dict[int, int] = {}
         for x in lengths:
             n = self.left[x]
             while n:
-                g = at * len(runs) // total
-                take = min(n, -(-(g + 1) * total // len(runs)) - at)
-                runs[g].append([x, take])
+                g = at * groups // total
+                take = min(n, -(-(g + 1) * total // groups) - at)
+                size = largest.setdefault(g, x)
+                rounded[size] = rounded.get(size, 0) + take
                 at, n = at + take, n - take
-        by_size: dict[int, list[list[int]]] = {}
-        for r in runs:  # groups of the same largest length are one size
-            by_size.setdefault(r[0][0], []).extend(r)
-        sizes = np.array(list(by_size))
-        counts = np.array([sum(n for _, n in r) for r in by_size.values()])
-        stock = list(by_size.values())
+        sizes, counts = np.array(list(rounded)), np.array(list(rounded.values()))
         for column, use in sorted(configurations(sizes, counts, self.capacity), key=lambda x: -x[1]):
-            many = int(use + 1e-9)
-            slots = [g for g in range(len(sizes)) for _ in range(column[g])]
-            while many:
-                live = [g for g in slots if stock[g]]
-                if not live:
-                    break
-                # as many sequences as have the same actual lengths in all slots
-                need: dict[int, int] = {}
-                for g in live:
-                    need[g] = need.get(g, 0) + 1
-                n, content = many, []
-                for g, m in need.items():
-                    first = stock[g][0]
-                    if first[1] >= m:  # all slots of this group from one run
-                        n = min(n, first[1] // m)
-                        content.append((g, [(0, m)]))
-                    else:  # one sequence across runs
-                        n, parts, want = 1, [], m
-                        for j, (_, c) in enumerate(stock[g]):
-                            if not want:
-                                break
-                            parts.append((j, min(c, want)))
-                            want -= min(c, want)
-                        content.append((g, parts))
-                bin_, offset = self._open(n), 0
-                for g, parts in content:
-                    for j, m in parts:
-                        length = stock[g][j][0]
-                        self._put(length, n * m, bin_, offset, m)
-                        stock[g][j][1] -= n * m
-                        offset += m * length
-                    stock[g] = [r for r in stock[g] if r[1]]
-                self.gaps[self.capacity - offset].append((bin_, n))
-                many -= n
+            slots = [int(sizes[g]) for g in np.flatnonzero(column) for _ in range(column[g])]
+            self._substitute(slots, int(use + 1e-6), above)
+
+    def _substitute(self, slots: list[int], many: int, above: int) -> None:
+        """Fills a configuration so many times with actual pieces, as many sequences at once as can have the same lengths."""
+        while many:
+            room, rest, taken = self.capacity, sum(slots), dict[int, int]()
+            for size in slots:
+                rest -= size
+                x = room - rest  # at least the slot's size
+                while x > above and self.left[x] <= taken.get(x, 0):
+                    x -= 1
+                if x > above:
+                    taken[x] = taken.get(x, 0) + 1
+                    room -= x
+            if not taken:
+                return
+            n = min(many, *(self.left[x] // m for x, m in taken.items()))
+            first, offset = self._open(n), 0
+            for x, m in sorted(taken.items(), reverse=True):
+                self._put(x, n * m, first, offset, m)
+                offset += x * m
+                self.configured += n * m
+            self.gaps[room].append((first, n))
+            many -= n
 
     def _best_fit(self, length: int) -> None:
         free = length
@@ -264,15 +274,17 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece."""
     spark = docs.sparkSession
     cut_up, _ = _io.stored(pieces(docs, path, capacity), "pieces")
-    cut_up = cut_up.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)).cast("int"))
-    tally, _ = _io.stored(cut_up.groupBy("length", "slice").agg(F.count("*").alias("n")), "lengths")
     counts = np.zeros(capacity + 1, dtype=np.int64)
-    for r in tally.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
+    for r in cut_up.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most capacity rows
         counts[r["length"]] = r["n"]
     rules = spark.sparkContext.broadcast(best_plan(counts, capacity).arrays())
-    before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # at most SLICES rows a length
+    # pieces of one length are ranked in slices, as many as keep a slice small
+    slices = max(16, -(-int(counts.max()) // SLICE))
+    cut_up = cut_up.withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(slices)).cast("int"))
+    tally = cut_up.groupBy("length", "slice").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     base = tally.select("length", "slice", (F.sum("n").over(before) - F.col("n")).alias("base"))
-    within = Window.partitionBy("length", "slice").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "start", "ids_crc32")
     ranked = cut_up.withColumn("rank", F.row_number().over(within)).join(base, ["length", "slice"]).withColumn("rank", F.col("rank") - 1 + F.col("base"))
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
     return ranked.mapInArrow(_placer(rules), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

@@ -135,13 +135,12 @@ def test_language(spark):
     assert all((got[k]["lang_pred"], got[k]["score"]) == ("und", 0.0) for k in (1000, 1001, 1002))
 
 
-@pytest.mark.parametrize("text", ["hello world", "", "<|endoftext|> x", " " * 5000, "a" * 3000, "naïve 東京 🎉 \u0085  it's", "\n\n\t x"])
+@pytest.mark.parametrize("text", ["hello world", "", "a <|endoftext|> x", "<|endoftext|><|endoftext|>y<|endoftext", "  <|endoftext|>  ", " " * 5000, "a" * 3000, "naïve 東京 🎉 \u0085  it's", "\n\n\t x"])
 def test_ids_are_those_of_tokenizers(text):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     assert packing.encoder()(text).tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
@@ -183,6 +182,17 @@ def test_plan_uses_every_piece_once(seed):
     assert best.bins <= 1.01 * len(room) + 1
 
 
+def test_configurations_place_the_large_pieces():
+    rng = np.random.default_rng(3)
+    counts = np.bincount(rng.integers(1, 2049, 40_000), minlength=2049)
+    plan, alone = packing.best_plan(counts), packing.Plan(counts, groups=1, large=1.0)
+    large = counts[2048 // 3 + 1 : 2048].sum()
+    assert plan.configured >= 0.97 * large and alone.configured == 0
+    assert plan.bins <= 1.005 * alone.bins  # best-fit decreasing
+    several = [r for r in plan.rules if r[4] > 0 and r[0] > 2048 // 3]  # large pieces behind a large one
+    assert sum(r[2] for r in several) >= 0.2 * large
+
+
 def test_no_pieces():
     assert packing.best_plan(np.zeros(65, dtype=int), 64).bins == 0
 
