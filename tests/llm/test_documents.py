@@ -451,3 +451,34 @@ def test_long_secrets_are_whole(spark):
     rows = [(k, f"user login: token={'aB3' * (5 + k)} end", "en", "s", 0) for k in range(60)]
     got = {r["doc_id"]: r["spans"] for r in pii_votes.spans(frame(spark, rows)).collect()}
     assert [k for k in range(60) if got[k] != f"secret:12:{18 + 3 * (5 + k)}"] == []
+
+
+def test_near_passages_in_other_text(spark):
+    """Recall at a similarity of 0.8 and more, with substitutions, insertions and deletions amid unlike text."""
+    rnd = random.Random(4)
+    own = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    sets = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, want = [], []
+    while len(want) < 300:
+        one = own(rnd.choice([60, 75, 110, 200]))
+        two = list(one)
+        for _ in range(rnd.randint(1, max(1, len(one) // 50))):
+            at = rnd.randrange(1, len(two) - 1)
+            two[at : at + rnd.randint(0, 1)] = own(rnd.randint(0, 1))
+        a, b = sets(one), sets(two)
+        if one == two or len(a & b) < 0.8 * len(a | b):
+            continue
+        for w in (one, two):
+            before = own(rnd.randint(0, 80))
+            want.append((len(rows), len(before), len(before) + len(w)))
+            rows.append((len(rows), " ".join([*before, *w, *own(rnd.randint(0, 80))]), "en", "s", 0))
+    got = covered(passages.repeated(frame(spark, rows)))
+    found = sum(len(got[d] & set(range(a, b))) >= max(50, 0.9 * (b - a)) for d, a, b in want)
+    assert found >= 0.95 * len(want)
+
+
+def test_passages_of_rows_that_share_a_doc_id(spark):
+    w = [" ".join(f"{x}{k}" for k in range(60)) for x in "abc"]
+    rows = [(1, w[0], "en", "s", 0), (1, w[1], "en", "s", 0), (1, w[1], "en", "s", 0), (1, w[1] + " more", "en", "s", 0), (2, "x y " + w[0], "en", "s", 0), (3, w[2], "en", "s", 0), (3, w[2] + " z", "en", "s", 0)]
+    got = sorted((r["doc_id"], r["start_word"], r["end_word"], r["other_doc"]) for r in passages.repeated(frame(spark, rows)).collect())
+    assert got == [(1, 0, 60, 2), (2, 2, 62, 1)]
