@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Predicted and labelled names that are at least so alike (0 to 100) match.
@@ -37,9 +37,11 @@ def exact(predicted: DataFrame, truth: DataFrame, key: str = "image_id", value:
 def fuzzy_best(predicted: DataFrame, truth: DataFrame, key: str = "image_id", value: str = "item", score=ratio) -> DataFrame:
     """key, item, best, score: each distinct prediction with its most similar label, ties to the first in order of the alphabet."""
     p, t = predicted.select(key, value).distinct(), truth.select(key, F.col(value).alias("best")).distinct()
-    pairs = p.join(t, key).withColumn("score", score(F.col(value), F.col("best")))
-    first = F.row_number().over(Window.partitionBy(key, value).orderBy(F.desc("score"), "best"))
-    return pairs.withColumn("at", first).where(F.col("at") == 1).drop("at")
+    pairs = p.join(t, key)
+    # the same two names meet in many images and are compared once
+    scored = pairs.select(value, "best").distinct().withColumn("score", score(F.col(value), F.col("best")))
+    found = pairs.join(scored, [value, "best"]).groupBy(key, value).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("best"))).alias("m"))
+    return found.select(key, value, F.col("m.best").alias("best"), (-F.col("m.s")).alias("score"))
 
 
 def metrics(predicted: DataFrame, truth: DataFrame, method: str = "exact", key: str = "image_id", value: str = "item", threshold: int = THRESHOLD, score=ratio) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -48,23 +50,38 @@ def thresholds(boxes: DataFrame, factor: float = FACTOR, k: int = NEAREST) -> Da
     return stats.withColumn("threshold", (F.col("mean") + F.col("std")) * F.lit(factor))
 
 
-def edges(boxes: DataFrame, factor: float = FACTOR) -> DataFrame:
-    """image_id, box_id, other_id: boxes joined with their nearest one if it is near enough."""
-    near = nearest(boxes).join(thresholds(boxes, factor).select("image_id", "box_id", "threshold"), ["image_id", "box_id"])
-    return near.where("distance <= threshold").select("image_id", "box_id", "other_id")
+def _linked(boxes: DataFrame, factor: float = FACTOR, k: int = NEAREST) -> DataFrame:
+    """A row an image, with arrays in order of box: ids, cx, cy, and near, the place of the box that each is joined with (-1: none). An image holds a few hundred boxes, so its distances stay within the row."""
+    cx, cy = centre(F.col("polygon"))
+    m = midpoints(boxes).select("image_id", F.struct("box_id", "lx", "ly", "rx", "ry", cx.alias("cx"), cy.alias("cy")).alias("b"))
+    rows = m.groupBy("image_id").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    away = lambda x, y: F.sqrt(F.pow(x["rx"] - y["lx"], F.lit(2)) + F.pow(x["ry"] - y["ly"], F.lit(2)))
+    ranked = F.transform("b", lambda x: F.slice(F.array_sort(F.transform("b", lambda y, j: F.struct(away(x, y).alias("d"), j.alias("j")))), 1, k))
 
+    def near(r: Column) -> Column:
+        add = lambda a, f: F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x)) / F.size(a)
+        mean = add(r, lambda x: x["d"])
+        limit = (mean + F.sqrt(add(r, lambda x: F.pow(x["d"] - mean, F.lit(2))))) * F.lit(factor)
+        return F.when(r[0]["d"] <= limit, r[0]["j"]).otherwise(-1)
 
-def lines(boxes: DataFrame, factor: float = FACTOR) -> DataFrame:
-    """image_id, box_id, line_id: the smallest box of the line that each box is on. One image is a task's unit; an image holds a few hundred boxes."""
-    linked = boxes.select("image_id", "box_id").join(edges(boxes, factor), ["image_id", "box_id"], "left")
-    ddl = f"image_id {boxes.schema['image_id'].dataType.simpleString()}, box_id {boxes.schema['box_id'].dataType.simpleString()}, line_id {boxes.schema['box_id'].dataType.simpleString()}"
-
-    def components(table: pa.Table) -> pa.Table:
-        box, other = table.column("box_id").to_numpy(), table.column("other_id").to_numpy(zero_copy_only=False)
-        ids, at = np.unique(box, return_inverse=True)
-        has = ~np.isnan(other.astype(float))
-        a, b = at[has], np.searchsorted(ids, other[has].astype(ids.dtype))
-        label = np.arange(len(ids))
+    return rows.withColumn("r", ranked).select("image_id", F.col("b.box_id").alias("ids"), F.col("b.cx").alias("cx"), F.col("b.cy").alias("cy"), F.transform("r", near).alias("near"))
+
+
+def edges(boxes: DataFrame, factor: float = FACTOR) -> DataFrame:
+    """image_id, box_id, other_id: boxes joined with their nearest one if it is near enough."""
+    each = _linked(boxes, factor).select("image_id", "ids", F.posexplode("near").alias("at", "j")).where("j >= 0")
+    return each.select("image_id", F.col("ids")[F.col("at")].alias("box_id"), F.col("ids")[F.col("j")].alias("other_id"))
+
+
+def _order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, near, cx, cy = (batch.column(k) for k in ("ids", "near", "cx", "cy"))
+        size = np.diff(ids.offsets.to_numpy())
+        row = np.repeat(np.arange(len(size)), size)
+        base = np.cumsum(size) - size
+        near, cx, cy = (x.flatten().to_numpy(zero_copy_only=False) for x in (near, cx, cy))
+        a = np.flatnonzero(near >= 0)
+        b, label = base[row[a]] + near[a], np.arange(len(row))
         while True:  # the least label of each component spreads along its edges, and labels are followed to their ends
             now = label.copy()
             np.minimum.at(now, a, label[b])
@@ -73,19 +90,26 @@ def lines(boxes: DataFrame, factor: float = FACTOR) -> DataFrame:
             if (now == label).all():
                 break
             label = now
-        image = table.column("image_id").combine_chunks()
-        return pa.table({"image_id": image.take(pa.array([0] * len(ids), pa.int64())), "box_id": pa.array(ids), "line_id": pa.array(ids[label])})
-
-    return linked.groupBy("image_id").applyInArrow(components, ddl)
+        by_line = np.lexsort((np.arange(len(row)), cx, label))
+        first = by_line[np.concatenate([[True], label[by_line][1:] != label[by_line][:-1]])] if len(row) else by_line
+        line_y = np.zeros(len(row), dtype=np.int64)
+        line_y[label[first]] = cy[first]
+        order = np.lexsort((np.arange(len(row)), cx, label, line_y[label], row))
+        position = np.empty(len(row), dtype=np.int32)
+        position[order] = np.arange(len(row)) - base[row[order]]
+        flat = ids.flatten()
+        yield pa.record_batch({"image_id": batch.column("image_id").take(pa.array(row)), "box_id": flat, "line_id": flat.take(pa.array(label)), "position": pa.array(position)})
 
 
 def reading_order(boxes: DataFrame, factor: float = FACTOR) -> DataFrame:
     """image_id, box_id, line_id, position (from 0): lines by the height of their leftmost box, boxes within by their centre; ties to the smaller id."""
-    cx, cy = centre(F.col("polygon"))
-    placed = boxes.select("image_id", "box_id", cx.alias("cx"), cy.alias("cy")).join(lines(boxes, factor), ["image_id", "box_id"])
-    top = F.first("cy").over(Window.partitionBy("image_id", "line_id").orderBy("cx", "box_id"))
-    order = Window.partitionBy("image_id").orderBy("line_y", "line_id", "cx", "box_id")
-    return placed.withColumn("line_y", top).withColumn("position", F.row_number().over(order) - 1).select("image_id", "box_id", "line_id", "position")
+    kind = {k: boxes.schema[k].dataType.simpleString() for k in ("image_id", "box_id")}
+    return _linked(boxes, factor).mapInArrow(_order, f"image_id {kind['image_id']}, box_id {kind['box_id']}, line_id {kind['box_id']}, position int")
+
+
+def lines(boxes: DataFrame, factor: float = FACTOR) -> DataFrame:
+    """image_id, box_id, line_id: the smallest box of the line that each box is on."""
+    return reading_order(boxes, factor).drop("position")
 
 
 def token_lists(boxes: DataFrame, factor: float = FACTOR) -> DataFrame:

@@ -15,12 +15,21 @@ def content_key(df: DataFrame) -> str:
     return f"{got['n']}-{got['s']}-{got['x'] & (1 << 64) - 1:x}".replace("--", "-m")
 
 
-def ensured(source: DataFrame, build: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
-    """build(source), from the snapshot of equal content if there is one. Snapshots are never overwritten, so readers keep theirs."""
+def ensured(source: DataFrame, build: Callable[[DataFrame], DataFrame], folder: str, *also: DataFrame) -> DataFrame:
+    """build(source), from the snapshot of equal content if there is one. also: other tables that build reads. Snapshots are never overwritten, so readers keep theirs."""
     spark = source.sparkSession
-    path = f"{folder.rstrip('/')}/{content_key(source)}"
+    path = f"{folder.rstrip('/')}/{'_'.join(content_key(x) for x in (source, *also))}"
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
         build(source).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def vector_index(tokens: DataFrame, column: str, folder: str, name: str, encoder=None) -> DataFrame:
+    """id (the token) and embedding of each distinct token, from the snapshot of the same tokens and encoder if there is one, else encoded and saved."""
+    from . import vector_join
+
+    kind = type(encoder).__name__ if encoder is not None else "default"
+    distinct = tokens.select(F.col(column).alias("token")).where("token is not null").distinct()
+    return ensured(distinct, lambda t: vector_join.encoded(t, "token", encoder), f"{folder.rstrip('/')}/{name}-{kind}")

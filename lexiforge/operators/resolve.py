@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from . import segment
+from . import dictionary as dictionaries
+from . import segment, vector_join
 
 
 def ordered_distinct(items: DataFrame, key: str, value: str, order: str = "seq") -> DataFrame:
@@ -29,10 +30,20 @@ def canonicals(items: DataFrame, synonym_map: DataFrame, key: str, value: str, o
     return hits.groupBy(key, "canonical").agg(F.min(order).alias(order))
 
 
-def resolved(docs: DataFrame, dictionary: DataFrame, synonym_map: DataFrame | None, key: str = "doc_id", tokens: str = "tokens", most_words: int = 8) -> DataFrame:
-    """key, ingredients, pollutants (arrays, in order) of each document with at least one ingredient or not: documents without get empty arrays. synonym_map None: no pollutants are looked for."""
+def resolved(docs: DataFrame, dictionary: DataFrame, synonym_map: DataFrame | None, key: str = "doc_id", tokens: str = "tokens", most_words: int | None = None,
+             correct: bool = True, word_threshold: float = 0.8, token_threshold: float = 0.8, encoder=None, word_index: DataFrame | None = None, token_index: DataFrame | None = None) -> DataFrame:
+    """key, ingredients, pollutants (arrays, in order) of each document with at least one ingredient or not: documents without get empty arrays. synonym_map None: no pollutants are looked for.
+
+    Words are corrected by the nearest word of the dictionary before the text is segmented. Terms are then verified
+    against token_index (id, embedding; see vector_join.encoded); without one the dictionary itself would be the
+    index, and each term its own nearest token, so the step is left out. word_index: vectors of the dictionary's words, if at hand.
+    """
     clean = docs.select(key, text.clean_tokens(F.col(tokens)).alias("text"))
+    if correct:
+        clean = vector_join.corrected_texts(clean, dictionaries.vocabulary(dictionary), key, "text", word_threshold, encoder, word_index)
     found = segment.longest(clean, dictionary, key, "text", most_words)
+    if token_index is not None:
+        found = vector_join.verified(found, "term", token_index, token_threshold, encoder)
     items = without_redundant(ordered_distinct(found, key, "term"), key, "term")
     empty = F.array().cast("array<string>")
     if synonym_map is None:

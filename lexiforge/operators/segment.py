@@ -25,25 +25,36 @@ def _greedy(matches: Column) -> Column:
     return F.aggregate(matches, begin, step, lambda s: s["out"])
 
 
-def ngrams(words: Column, most: int) -> Column:
-    """(pos, n, term) of all runs of up to `most` words."""
+def term_lengths(dictionary: DataFrame) -> list[int]:
+    """The numbers of words that the terms have, in order; a term has few words, so there are few of them."""
+    n = F.size(text.words(F.col("term"))).alias("n")
+    return sorted(r["n"] for r in dictionary.select(n).where("n > 0").distinct().collect())
+
+
+def ngrams(words: Column, lengths: list[int]) -> Column:
+    """(pos, n, term) of all runs of so many words."""
+    tried = F.array(*(F.lit(n) for n in lengths)).cast("array<int>")
 
     def at(pos: Column) -> Column:
-        lengths = F.sequence(F.lit(1), F.least(F.lit(most), F.size(words) - pos))
-        return F.transform(lengths, lambda n: F.struct(pos.alias("pos"), n.alias("n"), F.array_join(F.slice(words, pos + 1, n), " ").alias("term")))
+        fit = F.filter(tried, lambda n: n <= F.size(words) - pos)
+        return F.transform(fit, lambda n: F.struct(pos.alias("pos"), n.alias("n"), F.array_join(F.slice(words, pos + 1, n), " ").alias("term")))
 
     places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
     return F.flatten(F.transform(places, at))
 
 
-def longest(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", column: str = "text", most_words: int = 8) -> DataFrame:
+def longest(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", column: str = "text", most_words: int | None = None) -> DataFrame:
     """key, seq, term: the dictionary terms of each text from left to right, whole words, the longest at each place, without overlaps.
 
     Each place proposes its n-grams, an equi-join with the dictionary keeps those that are terms, and one fold
-    a text takes the longest of each place from left to right. most_words: n-grams of up to so many words are tried.
+    a text takes the longest of each place from left to right. N-grams have as many words as some term has;
+    most_words asks for an error if a term has more.
     """
+    lengths = term_lengths(dictionary)
+    if most_words is not None and lengths and lengths[-1] > most_words:
+        raise ValueError(f"the dictionary has terms of {lengths[-1]} words, more than {most_words}")
     split = docs.select(key, text.words(F.col(column)).alias("w"))
-    grams = split.select(key, F.explode(ngrams(F.col("w"), most_words)).alias("g")).select(key, "g.*")
+    grams = split.select(key, F.explode(ngrams(F.col("w"), lengths)).alias("g")).select(key, "g.*")
     hits = grams.join(dictionary.select("term").distinct(), "term")
     best = hits.groupBy(key, "pos").agg(F.max(F.struct("n", "term")).alias("b"))
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.col("b.n").alias("n"), F.col("b.term").alias("term"))))

@@ -24,22 +24,25 @@ def _best(q: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray,
     """For each query the key of the largest inner product, ties to the smaller id; ids ascend."""
     at, score = np.zeros(len(q), dtype=np.int64), np.zeros(len(q))
     for k in range(0, len(q), 1024):
-        s = np.round(q[k : k + 1024] @ keys.T, 12)
+        s = np.round(q[k : k + 1024] @ keys.T, 11)
         at[k : k + 1024] = s.argmax(axis=1)
         score[k : k + 1024] = s.max(axis=1)
     return ids[at], score
 
 
 def top1(queries: DataFrame, keys: DataFrame) -> DataFrame:
-    """query_id, key_id, score: the key with the largest inner product for each query, ties to the smaller key. queries: id, embedding; keys: id, embedding (same dimension).
+    """query_id, key_id, score: the key with the largest inner product for each query, ties to the smaller key. queries: id, embedding; keys: id, embedding (same dimension: others are an error). Vectors that are null, empty or hold null or NaN take no part.
 
     Keys up to BLOCK_BYTES are broadcast. More are dealt into blocks: every query meets every block, and the best of
     the blocks' bests is taken. Equal queries should be made distinct before.
     """
     spark = queries.sparkSession
     kinds = {"q": queries.schema["id"].dataType.simpleString(), "k": keys.schema["id"].dataType.simpleString()}
-    queries, keys = queries.where("embedding is not null").select("id", "embedding"), keys.where("embedding is not null").select("id", "embedding")
-    size = keys.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    whole = lambda df: df.where(F.coalesce(F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x)) & (F.size("embedding") > 0), F.lit(False))).select("id", "embedding")
+    queries, keys = whole(queries), whole(keys)
+    size = keys.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("d"), F.min(F.size("embedding")).alias("least")).first()
+    if size["n"] and size["d"] != size["least"]:
+        raise ValueError(f"keys of {size['least']} and of {size['d']} dimensions")
     if not size["n"]:
         return spark.createDataFrame([], _SCHEMA.format(**kinds))
     blocks = -(-size["n"] * size["d"] * 8 // BLOCK_BYTES)
@@ -97,6 +100,14 @@ class NgramEncoder:
         return out
 
 
+class LetterEncoder:
+    """Texts as unit vectors of how often each letter from a to z occurs."""
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        out = np.array([[t.count(chr(97 + k)) for k in range(26)] for t in texts], dtype=np.float64).reshape(-1, 26)
+        return out / np.maximum(1e-300, np.sqrt((out * out).sum(axis=1, keepdims=True)))
+
+
 def encoded(words: DataFrame, column: str, encoder=None) -> DataFrame:
     """id (the text) and embedding of each distinct text."""
     encoder = encoder or NgramEncoder()
@@ -105,16 +116,40 @@ def encoded(words: DataFrame, column: str, encoder=None) -> DataFrame:
         for batch in batches:
             texts = batch.column("id").to_pylist()
             vectors = encoder.encode(texts) if texts else []
-            yield pa.record_batch({"id": batch.column("id"), "embedding": pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float32()))})
+            yield pa.record_batch({"id": batch.column("id"), "embedding": pa.array([list(map(float, v)) for v in vectors], pa.list_(pa.float64()))})
+
+    return words.select(F.col(column).alias("id")).where("id is not null").distinct().mapInArrow(run, "id string, embedding array<double>")
 
-    return words.select(F.col(column).alias("id")).where("id is not null").distinct().mapInArrow(run, "id string, embedding array<float>")
 
+def corrected(words: DataFrame, column: str, vocabulary: DataFrame, threshold: float = 0.8, encoder=None, index: DataFrame | None = None) -> DataFrame:
+    """word, corrected for each distinct word: its nearest word of the vocabulary if that is near enough, else itself; known misreadings of oil become oil.
 
-def corrected(words: DataFrame, column: str, vocabulary: DataFrame, threshold: float = 0.8, encoder=None) -> DataFrame:
-    """word, corrected for each distinct word: its nearest word of the vocabulary if that is near enough, else itself; known misreadings of oil become oil."""
+    A word of the vocabulary is its own nearest word, so only the others are searched for. index: the vocabulary's vectors, if they are at hand (see encoded).
+    """
     from ..functions import text
 
-    near = above(top1(encoded(words, column, encoder), encoded(vocabulary, "word", encoder)), threshold)
     every = words.select(F.col(column).alias("word")).where("word is not null").distinct()
+    unknown = every.join(vocabulary.select("word").distinct(), "word", "left_anti")
+    near = above(top1(encoded(unknown, "word", encoder), encoded(vocabulary, "word", encoder) if index is None else index), threshold)
     both = every.join(near, every["word"] == near["query_id"], "left")
     return both.select("word", text.fix_oil(F.coalesce("key_id", "word")).alias("corrected"))
+
+
+def corrected_texts(docs: DataFrame, vocabulary: DataFrame, key: str, column: str = "text", threshold: float = 0.8, encoder=None, index: DataFrame | None = None) -> DataFrame:
+    """key, column: the texts with each word corrected, joined by single blanks. Each distinct word is corrected once; keys must be unique."""
+    from ..functions import text
+
+    places = docs.select(key, F.posexplode(text.words(F.col(column))).alias("pos", "word"))
+    fixed = corrected(places, "word", vocabulary, threshold, encoder, index).where("word <> corrected")
+    changed = places.join(fixed, "word", "left").select(key, F.struct("pos", F.coalesce("corrected", "word").alias("w")).alias("p"))
+    lists = changed.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["w"]), " ").alias(column))
+    return docs.select(key).join(lists, key, "left").select(key, F.coalesce(column, F.lit("")).alias(column))
+
+
+def verified(items: DataFrame, value: str, index: DataFrame, threshold: float = 0.8, encoder=None) -> DataFrame:
+    """The items whose nearest token of the index is near enough, with that token in their place; all others go. An item that is itself a token stays as it is."""
+    near = above(top1(encoded(items, value, encoder), index), threshold).select(F.col("query_id").alias("asked"), F.col("key_id").alias("token"))
+    same = index.select(F.col("id").alias("known"))
+    told = items.select(F.col(value).alias("asked")).distinct().join(near, "asked", "left").join(same, F.col("asked") == F.col("known"), "left")
+    told = told.select("asked", F.coalesce("known", "token").alias("token")).where("token is not null")
+    return items.join(told, items[value] == told["asked"]).select(*(told["token"].alias(value) if c == value else items[c] for c in items.columns))

@@ -263,11 +263,7 @@ def str2bool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- segmentation and resolving -----------------------------------------------------------------------------------------
 
-# every third order starts with half a name, so that names don't fall on even places
-_SEGMENTED = f"""{_TERMS}, {_ITEMS},
-d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unknown ' ELSE '' END || string_agg(item, ' ' ORDER BY seq) AS text FROM items GROUP BY doc_id),
-w AS (SELECT doc_id, string_split(text, ' ') AS a FROM d),
-p AS (SELECT doc_id, unnest(range(len(a))) AS pos, a FROM w),
+_SCAN = """p AS (SELECT doc_id, unnest(range(len(a))) AS pos, a FROM w),
 g AS (SELECT doc_id, pos, n, array_to_string(a[pos + 1 : pos + n], ' ') AS term FROM (SELECT *, unnest([1, 2]) AS n FROM p) WHERE pos + n <= len(a)),
 b AS (SELECT doc_id, pos, max(n) AS n FROM g JOIN terms USING (term) GROUP BY 1, 2),
 step AS (SELECT p.doc_id, p.pos, coalesce(b.n, 0) AS n FROM p LEFT JOIN b ON p.doc_id = b.doc_id AND p.pos = b.pos),
@@ -275,6 +271,12 @@ f AS (SELECT doc_id, pos, n FROM step WHERE pos = 0
   UNION ALL SELECT s.doc_id, s.pos, s.n FROM f JOIN step s ON s.doc_id = f.doc_id AND s.pos = f.pos + greatest(f.n, 1)),
 found AS (SELECT f.doc_id, row_number() OVER (PARTITION BY f.doc_id ORDER BY f.pos) - 1 AS seq, g.term FROM f JOIN g ON f.doc_id = g.doc_id AND f.pos = g.pos AND f.n = g.n WHERE f.n > 0)"""
 
+# every third order starts with half a name, so that names don't fall on even places
+_SEGMENTED = f"""{_TERMS}, {_ITEMS},
+d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'unknown ' ELSE '' END || string_agg(item, ' ' ORDER BY seq) AS text FROM items GROUP BY doc_id),
+w AS (SELECT doc_id, string_split(text, ' ') AS a FROM d), {_SCAN}"""
+
+
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.when(F.col("doc_id") % 3 == 0, "unknown ").otherwise("")
@@ -283,7 +285,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_SEGMENTED} SELECT doc_id, seq::INT AS seq, term FROM found")
 def segment_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.longest(_texts(spark, sf_dir), part_terms(spark, sf_dir), most_words=2)
+    return segment.longest(_texts(spark, sf_dir), part_terms(spark, sf_dir))
 
 
 @query(None)
@@ -314,10 +316,34 @@ SELECT w.doc_id, coalesce((SELECT string_agg(item, '|' ORDER BY seq) FROM slim s
   coalesce((SELECT string_agg(canonical, '|' ORDER BY seq) FROM bad b WHERE b.doc_id = w.doc_id), '') AS pollutants FROM w""")
 def resolve_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _texts(spark, sf_dir).select("doc_id", F.split("text", " ").alias("tokens"))
-    found = resolve.resolved(docs, part_terms(spark, sf_dir), part_synonyms(spark, sf_dir), most_words=2)
+    found = resolve.resolved(docs, part_terms(spark, sf_dir), part_synonyms(spark, sf_dir))
     return found.select("doc_id", F.array_join("ingredients", "|").alias("ingredients"), F.array_join("pollutants", "|").alias("pollutants"))
 
 
+# the fourth character of every third item is lost
+_LOSSY = "CASE WHEN l_partkey % 3 = 0 THEN left(p_name, 3) || substr(p_name, 5) ELSE p_name END"
+
+
+@query(f"""WITH RECURSIVE {_TERMS}, {_ITEMS.replace("p_name AS item", _LOSSY + " AS item")},
+d AS (SELECT doc_id, string_split(string_agg(item, ' ' ORDER BY seq), ' ') AS a FROM items GROUP BY doc_id),
+seen AS (SELECT doc_id, unnest(a) AS word, generate_subscripts(a, 1) AS pos FROM d),
+vocab AS (SELECT DISTINCT unnest(string_split(term, ' ')) AS word FROM terms),
+vec AS (SELECT word, known, [(length(word) - length(replace(word, c, '')))::DOUBLE FOR c IN string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' ')] AS v
+  FROM (SELECT word, true AS known FROM vocab UNION SELECT word, false FROM seen WHERE word NOT IN (SELECT word FROM vocab))),
+near AS (SELECT u.word, k.word AS fix, round(list_inner_product(u.v, k.v) / sqrt(list_inner_product(u.v, u.v)) / sqrt(list_inner_product(k.v, k.v)), 11) AS s FROM vec u JOIN vec k ON k.known AND NOT u.known),
+fixed AS (SELECT word, fix FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY s DESC, fix) AS nth FROM near) WHERE nth = 1 AND s >= 0.8),
+w AS (SELECT doc_id, list(coalesce(fix, word) ORDER BY pos) AS a FROM seen LEFT JOIN fixed USING (word) WHERE length(word) > 1 GROUP BY doc_id), {_SCAN}
+SELECT w.doc_id, coalesce((SELECT string_agg(term, '|' ORDER BY seq) FROM (SELECT doc_id, term, min(seq) AS seq FROM found GROUP BY 1, 2) f WHERE f.doc_id = w.doc_id), '') AS terms FROM w""")
+def resolve_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lossy = F.when(F.col("place.l_partkey") % 3 == 0, F.concat(F.left("item", F.lit(3)), F.substr("item", F.lit(5)))).otherwise(F.col("item"))
+    terms = part_terms(spark, sf_dir)
+    clean = listed(spark, sf_dir, lossy).select("doc_id", text.clean_tokens(F.col("tokens")).alias("text"))
+    fixed = vector_join.corrected_texts(clean, dictionary.vocabulary(terms), "doc_id", encoder=vector_join.LetterEncoder())
+    found = resolve.ordered_distinct(segment.longest(fixed, terms), "doc_id", "term")
+    lists = found.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "term"))), lambda x: x["term"]), "|").alias("terms"))
+    return clean.select("doc_id").join(lists, "doc_id", "left").select("doc_id", F.coalesce("terms", F.lit("")).alias("terms"))
+
+
 @query(f"""WITH {_ITEMS} SELECT doc_id, doc_id::VARCHAR AS image_name, string_agg(item, '|' ORDER BY seq) AS ingredients, 1::INT AS n_lists FROM items GROUP BY doc_id""")
 def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = listed(spark, sf_dir).select("doc_id", F.col("tokens").alias("ingredients"), F.array().cast("array<string>").alias("pollutants"))
@@ -341,7 +367,7 @@ def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 _PAIRS = """pairs AS (SELECT q.vec_id AS query_id, k.vec_id AS key_id, list_inner_product(q.embedding::DOUBLE[], k.embedding::DOUBLE[]) AS s
   FROM embeddings q JOIN embeddings k ON q.vec_id % 2 = 0 AND k.vec_id % 2 = 1),
-best AS (SELECT query_id, key_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 12) DESC, key_id) AS nth FROM pairs)"""
+best AS (SELECT query_id, key_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 11) DESC, key_id) AS nth FROM pairs)"""
 
 
 @query(f"WITH {_PAIRS} SELECT query_id, key_id, score FROM best WHERE nth = 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +20,26 @@ class Settings:
     method: str = "levenshtein"
     threshold: int = 80
     simple_grammar: bool = True
-    most_words: int = 8
+    correct_words: bool = True
+    word_threshold: float = 0.8
+    token_threshold: float = 0.8
 
     def __post_init__(self) -> None:
         if self.detection not in ("both", "pollutants", "ingredients"):
             raise ValueError(f"no such detection: {self.detection}")
 
+    @classmethod
+    def read(cls, path: str) -> Settings:
+        """The settings of a YAML file, a flat mapping; what it doesn't name has its default, and what isn't a setting is an error."""
+        import yaml
+
+        with open(path, encoding="utf-8") as f:
+            told = yaml.safe_load(f) or {}
+        unknown = set(told) - {x.name for x in fields(cls)}
+        if unknown:
+            raise ValueError(f"no such settings: {', '.join(sorted(unknown))}")
+        return cls(**told)
+
 
 def tables(spark: SparkSession, dictionary_sheet: str, pollutant_sheet: str, folder: str, existing: str | None = None, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
     """The combined dictionary (term) and the synonym map (synonym, canonical) of the two sheets. Both are kept as snapshots by content: a changed sheet is built anew, an unchanged one isn't."""
@@ -33,11 +47,12 @@ def tables(spark: SparkSession, dictionary_sheet: str, pollutant_sheet: str, fol
     raw = readers.dictionary_sheet(spark, dictionary_sheet)
     sheet = readers.pollutant_sheet(spark, pollutant_sheet)
 
+    also = [readers.json_terms(spark, existing)] if existing else []
+
     def build_terms(source: DataFrame) -> DataFrame:
-        named = dictionary.expanded(dictionary.terms(source), settings.simple_grammar)
-        return dictionary.merged(named, readers.json_terms(spark, existing)) if existing else named.distinct()
+        return dictionary.merged(dictionary.expanded(dictionary.terms(source), settings.simple_grammar), *also)
 
-    terms = refresh.ensured(raw, build_terms, f"{folder}/dictionary-{settings.simple_grammar}")
+    terms = refresh.ensured(raw, build_terms, f"{folder}/dictionary-{settings.simple_grammar}", *also)
     synonyms = refresh.ensured(sheet, lambda s: dictionary.synonym_map(dictionary.exploded_synonyms(s)), f"{folder}/synonyms")
     if settings.detection == "ingredients":
         return terms, synonyms
@@ -48,7 +63,7 @@ def tables(spark: SparkSession, dictionary_sheet: str, pollutant_sheet: str, fol
 def results(docs: DataFrame, terms: DataFrame, synonyms: DataFrame, settings: Settings | None = None) -> DataFrame:
     """doc_id, ingredients, pollutants of token lists (doc_id, tokens)."""
     settings = settings or Settings()
-    return resolve.resolved(docs, terms, None if settings.detection == "ingredients" else synonyms, most_words=settings.most_words)
+    return resolve.resolved(docs, terms, None if settings.detection == "ingredients" else synonyms, correct=settings.correct_words, word_threshold=settings.word_threshold, token_threshold=settings.token_threshold)
 
 
 def scores(found: DataFrame, truth: DataFrame, settings: Settings | None = None) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-DICTIONARY_RAW = "row int, name string"
-POLLUTANTS_RAW = "row int, canonical string, synonyms string"
+DICTIONARY_RAW = "row long, name string"
+POLLUTANTS_RAW = "row long, canonical string, synonyms string"
 TERMS = "term string"
 SYNONYMS = "seq long, synonym_raw string"
 SYNONYM_MAP = "synonym string, canonical string"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -96,8 +96,9 @@ def _columns(spark: SparkSession, path: str, places: list[tuple[int, str]], sche
         rows = [(k, *(None if pd.isna(v[p]) else str(v[p]) for p, _ in places)) for k, v in enumerate(frame.itertuples(index=False, name=None))]
         return spark.createDataFrame(rows, schema)
     raw = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
-    numbered = raw.select(F.monotonically_increasing_id().cast("int").alias("row"), *(F.col(f"`{raw.columns[p]}`").alias(n) for p, n in places))
-    return numbered
+    kept = raw.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), *(F.col(f"`{raw.columns[p]}`").alias(n) for p, n in places))
+    # rows by file and place in it, however the files were dealt out; sheets are of bounded size, so one task may number them
+    return kept.withColumn("row", (F.row_number().over(Window.orderBy("file", "at")) - 1).cast("long")).select("row", *(n for _, n in places))
 
 
 def with_fallback(first: DataFrame, second: DataFrame, wanted: DataFrame, key: str, value: str) -> DataFrame:

@@ -24,7 +24,8 @@ def without_repeats(rows: DataFrame, key: str, order: list[str], *values: str) -
 
 
 def _drop_repeats(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last = state.get[0] if state.exists else None
+    seen = state.exists  # a key without rows so far has no last value, not even a null
+    last = state.get[0] if seen else None
     for frame in frames:
         frame = frame.sort_values("ts", kind="stable")
         before = frame["value"].shift(1)
@@ -32,7 +33,11 @@ def _drop_repeats(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -
         if len(frame):
             last = frame["value"].iloc[-1]
             state.update((last,))
-        yield frame[frame["value"] != before]
+        same = (frame["value"] == before) | (frame["value"].isna() & before.isna())
+        if len(frame) and not seen:
+            same.iloc[0] = False
+        seen = seen or len(frame) > 0
+        yield frame[~same]
 
 
 def stream_without_repeats(stream: DataFrame) -> DataFrame:

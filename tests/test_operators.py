@@ -188,3 +188,35 @@ def test_snapshots_follow_content(spark, tmp_path):
     assert len(built) == 1
     refresh.ensured(terms(spark, ["new"]), build, str(tmp_path))
     assert len(built) == 2
+
+
+def test_long_terms_are_found_and_limits_are_errors(spark):
+    nine = " ".join(f"w{k}" for k in range(9))
+    terms = spark.createDataFrame([(nine,), ("aqua",)], "term string")
+    docs = spark.createDataFrame([(1, f"x {nine} aqua")], "doc_id long, text string")
+    assert [r["term"] for r in segment.longest(docs, terms).orderBy("seq").collect()] == [nine, "aqua"]
+    with pytest.raises(ValueError, match="more than 8"):
+        segment.longest(docs, terms, most_words=8)
+
+
+def test_resolving_corrects_words(spark):
+    terms = spark.createDataFrame([("glycerin",), ("sodium chloride",), ("aqua",), ("olive oil",)], "term string")
+    docs = spark.createDataFrame([(1, ["Glycerim,", "sodiun", "chloride", "aqua", "olive 0il", "zzzz"]), (2, None)], "doc_id long, tokens array<string>")
+    found = lambda **x: {r["doc_id"]: r["ingredients"] for r in resolve.resolved(docs, terms, None, **x).collect()}
+    assert found(word_threshold=0.5) == {1: ["glycerin", "sodium chloride", "aqua", "olive oil"], 2: []}
+    assert found(correct=False) == {1: ["aqua"], 2: []}
+
+
+def test_terms_are_verified(spark):
+    index = vector_join.encoded(spark.createDataFrame([("glycerin",), ("glycerol",)], "t string"), "t")
+    items = spark.createDataFrame([(1, "glycerin"), (2, "glycerins"), (3, "zzz")], "k long, term string")
+    assert sorted(map(tuple, vector_join.verified(items, "term", index, 0.5).collect())) == [(1, "glycerin"), (2, "glycerin")]
+
+
+def test_vector_index_is_kept_by_content(spark, tmp_path):
+    tokens = spark.createDataFrame([("aqua",), ("aqua",), (None,)], "t string")
+    build = lambda t: refresh.vector_index(t, "t", str(tmp_path), "words")
+    assert [r["id"] for r in build(tokens).collect()] == ["aqua"]
+    build(tokens)
+    assert len(list((tmp_path / "words-default").iterdir())) == 1
+    assert build(tokens.union(spark.createDataFrame([("oil",)], "t string"))).count() == 2

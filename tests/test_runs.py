@@ -28,3 +28,26 @@ def test_a_whole_run(spark, tmp_path):
 def test_settings_are_checked():
     with pytest.raises(ValueError, match="no such detection"):
         runs.Settings(detection="all")
+
+
+def test_settings_of_a_file(tmp_path):
+    (tmp_path / "a.yml").write_text("method: exact\nword_threshold: 0.7\n")
+    assert runs.Settings.read(str(tmp_path / "a.yml")) == runs.Settings(method="exact", word_threshold=0.7)
+    (tmp_path / "b.yml").write_text("colour: red\n")
+    with pytest.raises(ValueError, match="colour"):
+        runs.Settings.read(str(tmp_path / "b.yml"))
+
+
+def test_tables_follow_all_that_they_are_made_of(spark, tmp_path):
+    for k, names in enumerate((["Aqua", "Oil"], ["Glycerin"], ["Sodium"])):
+        (tmp_path / "sheets").mkdir(exist_ok=True)
+        (tmp_path / "sheets" / f"{k}.csv").write_text("n,name\n" + "".join(f"{j},{x}\n" for j, x in enumerate(names)))
+    (tmp_path / "p.csv").write_text('n,canonical,synonyms\n1,Polyamid,Nylon 6\n')
+    known = tmp_path / "known.json"
+    terms = lambda: {r["term"] for r in runs.tables(spark, str(tmp_path / "sheets"), str(tmp_path / "p.csv"), str(tmp_path / "snapshots"), str(known))[0].collect()}
+    all_ = {"aqua", "oil", "glycerin", "sodium", "nylon 6"}
+    assert terms() == all_
+    known.write_text('["new term"]')
+    assert terms() == all_ | {"new term"}
+    known.write_text('["newer term"]')
+    assert terms() == all_ | {"newer term"}
