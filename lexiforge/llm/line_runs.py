@@ -117,8 +117,8 @@ def digest(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 def keep_first_lines(docs: DataFrame) -> DataFrame:
     """The documents with their repeated lines gone from text, and n_chars to match; all other columns as they are."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    out = with_kept(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in rest), F.lit(1).alias("one")).alias("rest")))
-    back = {c: F.col(f"rest.`{c}`") for c in rest} | {"doc_id": F.col("doc_id"), "text": F.when(F.col("text").isNotNull(), F.col("kept_text"))}
+    out = with_kept(docs.select("doc_id", "text", F.struct(F.lit(1).alias("one"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(rest))).alias("rest")))
+    back = {c: F.col(f"rest.c{k}") for k, c in enumerate(rest)} | {"doc_id": F.col("doc_id"), "text": F.when(F.col("text").isNotNull(), F.col("kept_text"))}
     if "n_chars" in rest:
         back["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(back["n_chars"])
     return out.select(*(back[c].alias(c) for c in docs.columns))

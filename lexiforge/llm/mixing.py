@@ -7,7 +7,7 @@ passes over the source and the beginning of one more; each pass is a permutation
 documents within each block.
 
 Only the block in which a source's budget ends is ranked document by document. Blocks are hash slices of a
-source, BLOCKS each, so a source with a third of all rows is worked on in many tasks.
+source, at least BLOCKS each and more as the table grows, so that a block of any source holds about BLOCK_ROWS documents at most.
 
 A row a source comes to the driver, for the weights depend on all of them; sources are expected to number thousands, not millions.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from . import _io
 
-BLOCKS = 256
+BLOCKS, BLOCK_ROWS = 256, 65_536
 #: Of the entropy of equal weights.
 TARGET_ENTROPY = 0.97
 #: Passes over any one source at most.
@@ -88,9 +88,10 @@ def budgets(tokens: dict[str, int], budget: int, target_entropy: float = TARGET_
 def placed(docs: DataFrame, share: float = BUDGET, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS) -> DataFrame:
     """doc_id, source, n_tokens, copy (from 0), block_place (of its block in that pass) and draw (its order in the block) of each placing of a document."""
     spark = docs.sparkSession
-    block = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(BLOCKS)).cast("int")
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), n_tokens(F.col("text")).alias("n_tokens"), block.alias("block"))
+    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("source"), n_tokens(F.col("text")).alias("n_tokens"))
     counted, _ = _io.stored(counted, "mix-tokens")
+    n_blocks = max(BLOCKS, -(-counted.count() // BLOCK_ROWS))
+    counted = counted.withColumn("block", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(n_blocks)).cast("int"))
     blocks, _ = _io.stored(counted.groupBy("source", "block").agg(F.sum("n_tokens").alias("n")), "mix-blocks")
     tokens = {r["source"]: r["n"] for r in blocks.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # a row a source
     goal = budgets(tokens, round(share * sum(tokens.values())), target_entropy, max_repeats)
@@ -113,6 +114,8 @@ def placed(docs: DataFrame, share: float = BUDGET, target_entropy: float = TARGE
 def mixed(docs: DataFrame, share: float = BUDGET, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS) -> DataFrame:
     """The documents as often as they are placed, with the columns of docs. Rows that share a doc_id are placed together."""
     times = placed(docs.select("doc_id", "source", "text"), share, target_entropy, max_repeats)
-    times = times.groupBy(F.col("doc_id").alias("placed_id"), "copy").agg(F.lit(1)).groupBy("placed_id").agg(F.count("*").cast("int").alias("placed_times"))
-    rows = docs.join(times, docs["doc_id"].eqNullSafe(times["placed_id"]))
-    return rows.withColumn("placed_times", F.explode(F.sequence(F.lit(1), F.col("placed_times")))).select(*(docs[c] for c in docs.columns))
+    times = times.groupBy("doc_id", "copy").agg(F.lit(1)).groupBy("doc_id").agg(F.count("*").cast("int").alias("n"))
+    # the row is one column of the join, so that its names can't clash
+    rows = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    placed_rows = rows.join(times, F.col("own_id").eqNullSafe(F.col("doc_id"))).select("row", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return placed_rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))

@@ -8,8 +8,9 @@ lengths of all languages are resolved when the model is built and kept side by s
 of the context with its byte, and of shorter ones only where no language knows it. The language with the shortest
 code for the whole text wins; the score is its posterior under equal priors.
 
-The sample is bounded: at most SAMPLE_DOCS texts a language, of at most SAMPLE_BYTES each, chosen by a hash of doc_id.
-Every whole text is scored.
+The sample is bounded: the first SAMPLE_CHARS code points of at most SAMPLE_DOCS texts a language, chosen by a hash of doc_id.
+Every language with a labelled text is learnt; languages are held in blocks of BLOCK, which are fitted one after the
+other. Every whole text is scored under all of them.
 
 Defined cases: a null text, and one without a letter, is `und` with score 0. Ties go to the smaller name. Texts without
 lang are predicted but not learnt from. With nothing to learn from all texts are `und`. Rows that share a doc_id
@@ -25,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import _text
+from . import _io, _text
 
 ORDER = 4
-SAMPLE_DOCS, SAMPLE_BYTES = 400, 32_768
-#: Languages that can be learnt: the most frequent ones.
-MAX_LANGUAGES = 64
+SAMPLE_DOCS, SAMPLE_CHARS = 400, 8192
+#: Languages whose code lengths lie side by side.
+BLOCK = 64
 #: Bytes scored at once.
 _PART = 1_000_000
 _UNIFORM = np.log(256.0)
@@ -104,8 +105,8 @@ class Tables:
         todo, step = np.arange(len(key)), 0
         while len(todo):
             place = home[todo] + step
-            if step == 64:
-                raise OverflowError("more than 64 contexts share a slot")
+            if step == 64:  # the few that find no slot are looked for among the rare ones, which gives the same code lengths
+                break
             free = self.slot_row[place] == len(key)
             self.slot_row[place[free]] = todo[free]  # of several for one slot the last stays
             won = self.slot_row[place] == todo
@@ -169,19 +170,21 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def train(docs: DataFrame) -> Tables | None:
-    """Learns from the rows with a lang that aren't held out. What comes to the driver is bounded by the module's parameters."""
-    good = docs.where(F.col("lang").isNotNull() & ~held_out() & F.col("doc_id").isNotNull())
-    top = [r["lang"] for r in good.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
-    good = good.where(F.col("lang").isin(top) & (F.octet_length("text").between(1, SAMPLE_BYTES))).select("doc_id", "lang")
+def train(docs: DataFrame) -> list[Tables]:
+    """Learns from the rows with a lang that aren't held out, a block of languages after the other. What comes to the driver at once is bounded by the module's parameters."""
+    good = docs.where(F.col("lang").isNotNull() & ~held_out() & F.col("doc_id").isNotNull() & (F.octet_length("text") > 0)).select("doc_id", "lang")
     # Spark limits each task to the first SAMPLE_DOCS of a language before it shuffles
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     ids = good.withColumn("at", rank).where(F.col("at") <= SAMPLE_DOCS).select("doc_id", "lang").distinct()
-    rows = docs.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").where(F.octet_length("text") <= SAMPLE_BYTES).select("doc_id", "lang", "text").collect()
-    samples: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        samples.setdefault(r["lang"], []).append(r["text"].encode())
-    return Tables(samples) if samples else None
+    chosen, _ = _io.stored(docs.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("doc_id", "lang", F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).where("octet_length(text) > 0"), "language-sample")
+    known = sorted(r["lang"] for r in chosen.select("lang").distinct().collect())  # a row a language
+    out = []
+    for k in range(0, len(known), BLOCK):
+        samples: dict[str, list[bytes]] = {}
+        for r in sorted(chosen.where(F.col("lang").isin(known[k : k + BLOCK])).collect(), key=lambda r: (r["lang"], r["doc_id"], r["text"])):
+            samples.setdefault(r["lang"], []).append(r["text"].encode())
+        out.append(Tables(samples))
+    return out
 
 
 def has_letter(text: bytes) -> bool:
@@ -190,18 +193,19 @@ def has_letter(text: bytes) -> bool:
 
 def _judge(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = held.value
-        if tables is not None:
-            tables.slots()
+        blocks = held.value
+        languages = [g for t in blocks for g in t.languages]
+        for t in blocks:
+            t.slots()
         for batch, texts in _text.chunks(batches):
             pred, score = ["und"] * len(texts), np.zeros(len(texts))
-            if tables is not None:
-                lengths = tables.code_lengths(texts)
+            if blocks:
+                lengths = np.hstack([t.code_lengths(texts) for t in blocks])
                 best = lengths.argmin(axis=1)
                 odds = np.exp(-(lengths - lengths.min(axis=1, keepdims=True))).sum(axis=1)
                 for k, t in enumerate(texts):
                     if t and has_letter(t):
-                        pred[k], score[k] = tables.languages[best[k]], 1 / odds[k]
+                        pred[k], score[k] = languages[best[k]], 1 / odds[k]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "lang_pred": pa.array(pred, pa.string()), "score": pa.array(score)})
 
     return run

@@ -68,6 +68,75 @@ def test_quality_counts(docs, rows):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_every_language_is_learnt(spark):
+    """More languages than lie side by side or than a worker holds; one has only long texts."""
+    rnd = random.Random(7)
+    rows, n = [], ppm_lang.BLOCK + 6
+    for g in range(n):
+        own = [f"{chr(97 + g % 26)}{chr(97 + g // 26)}{x}" for x in ("ka", "lo", "mi")]
+        rows += [(g * 12 + k, prose(rnd, 20000 if g == 3 else 40, own), f"l{g:02d}", "s", 0) for k in range(12)]
+    got = {r["doc_id"]: r for r in ppm_lang.predicted(frame(spark, rows)).collect()}
+    assert [k for k in got if got[k]["lang_pred"] != f"l{k // 12:02d}"] == []
+    judged = quality_lm.judged(frame(spark, [r for r in rows if r[2] != "l03"])).collect()
+    assert sum(r["perplexity"] is None for r in judged) == 0
+
+
+def test_clashing_names(spark):
+    """Columns that carry names from inside the operators stay as they are."""
+    rnd = random.Random(9)
+    rows = [(k, prose(rnd, 60), "en", f"s{k % 3}", 0) for k in range(30)]
+    names = ["judged_id", "judged_kept", "good", "kept", "placed_times", "n", "row", "own_id", "copy", "mark", "lost", "rest", "one", "component", "a", "b"]
+    docs = frame(spark, rows).withColumns({n: F.lit(n) for n in names})
+    for operator in (quality_lm.keep_good, mixing.mixed, line_runs.keep_first_lines, superminhash.keep_first):
+        out = operator(docs)
+        assert out.columns == docs.columns
+        assert {tuple(r[n] for n in names) for r in out.collect()} == {tuple(names)}
+
+
+def plain_kneser_ney(texts):
+    """Interpolated modified Kneser-Ney over byte classes, from dictionaries of tuples."""
+    n_grams = defaultdict(lambda: defaultdict(int))
+    for t in texts:
+        c = [int(quality_lm.CLASS[x]) for x in b"\n\n\n" + t]
+        for i in range(3, len(c)):
+            n_grams[4][tuple(c[i - 3 : i + 1])] += 1
+    for n in (3, 2, 1):
+        for g in n_grams[n + 1]:
+            n_grams[n][g[1:]] += 1
+
+    def cuts(n):
+        k = [max(1, sum(v == x for v in n_grams[n].values())) for x in (1, 2, 3, 4)]
+        y = k[0] / (k[0] + 2 * k[1])
+        raw = (1 - 2 * y * k[1] / k[0], 2 - 3 * y * k[2] / k[1], 3 - 4 * y * k[3] / k[2])
+        return [0, *(min(max(d, 0.05), most) for d, most in zip(raw, (0.95, 1.95, 2.95), strict=True))]
+
+    cut = {n: cuts(n) for n in (1, 2, 3, 4)}
+
+    def p(g):
+        if not g:
+            return 1 / quality_lm.N_CLASSES
+        same = {h: v for h, v in n_grams[len(g)].items() if h[:-1] == g[:-1]}
+        if not same:
+            return p(g[1:])
+        total, d = sum(same.values()), cut[len(g)]
+        v = same.get(g, 0)
+        return (v - d[min(v, 3)]) / total + sum(d[min(x, 3)] for x in same.values()) / total * p(g[1:])
+
+    return p
+
+
+def test_perplexity_against_a_plain_model():
+    rnd = random.Random(2)
+    texts = [prose(rnd, 12).encode() for _ in range(3)]
+    model = quality_lm.fit(*quality_lm._tally(quality_lm.ngrams(texts)[0]))
+    asked = [texts[0][:40], b"Zebra? 7", prose(rnd, 4).encode()]
+    got = quality_lm.Scorer({"": model}).log_perplexities(asked, [""] * 3)
+    p = plain_kneser_ney(texts)
+    for t, x in zip(asked, got, strict=True):
+        c = [int(quality_lm.CLASS[y]) for y in b"\n\n\n" + t]
+        assert abs(x + sum(np.log(p(tuple(c[i - 3 : i + 1]))) for i in range(3, len(c))) / len(t)) < 1e-5
+
+
 def test_kneser_ney_sums_to_one():
     rng = np.random.default_rng(0)
     key, count = np.unique(rng.integers(0, quality_lm.N_CLASSES, (400, 4)) @ quality_lm.N_CLASSES ** np.arange(3, -1, -1), return_counts=True)
