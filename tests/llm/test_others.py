@@ -70,12 +70,24 @@ def test_graph_walk_finds_the_nearest():
     rng = np.random.default_rng(2)
     cents = posting_ann.Centroids(posting_ann.lift(rng.normal(size=(2000, 12)), 10.0), 200)
     q = posting_ann.direction(rng.normal(size=(100, 12)))
-    at, d = cents.walk(q, 10)
+    at, d, _ = cents.walk(q, 40)
+    at = at[:, :10]
     true = np.argsort(np.linalg.norm(q[:, None] - cents.c, axis=2), axis=1)[:, :10]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(at, true, strict=True)]) > 0.9
     assert (np.diff(d, axis=1) >= 0).all()
 
 
+def test_graph_walk_sees_few_of_many_centroids():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 24))[rng.integers(0, 60, 6000)] + 0.5 * rng.normal(size=(6000, 24))
+    cents = posting_ann.Centroids(posting_ann.lift(x, np.linalg.norm(x, axis=1).max()), 2048)
+    q = posting_ann.direction(x[:200])
+    at, _, worked = cents.walk(q, 64)
+    assert worked / len(q) < 0.4 * len(cents.c)
+    true = np.argsort(np.linalg.norm(q[:, None] - cents.c, axis=2), axis=1)[:, :10]
+    assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(at, true, strict=True)]) > 0.9
+
+
 def turn(*calls, content=None):
     return json.dumps({"content": content, "tool_calls": list(calls)})
 
