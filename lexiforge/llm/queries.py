@@ -10,7 +10,8 @@ from . import _io, line_runs, mixing, packing, passages, pii_votes, posting_ann,
 
 
 def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toolcalls.linked(_io.table(spark, sf_dir, "conversations"))
+    """The table holds prose only: calls and results are derived from its turns, all of which stay (see with_calls)."""
+    return toolcalls.linked(toolcalls.with_calls(_io.table(spark, sf_dir, "conversations")))
 
 
 def op2_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

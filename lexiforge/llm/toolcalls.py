@@ -15,7 +15,7 @@ itself by others). Dependencies on calls that don't exist are ignored.
 
 Defined cases: a null text is an empty message, a null role the role "unknown"; text that is no JSON of these forms is a message
 (or, of role "tool", a result without identifier: an orphan). Rows with equal conv_id and turn are told apart by
-their content; equal rows are one row. Rows without conv_id form one conversation. An empty table gives an
+their content; equal rows are one row. Rows without conv_id form one conversation, apart from all others. An empty table gives an
 empty result. Extra columns are ignored.
 """
 
@@ -113,7 +113,7 @@ def _splitter(schemas: dict):
             rows = []
             for conv_id, turn, role, text in zip(*(batch.column(k).to_pylist() for k in ("conv_id", "turn", "role", "text")), strict=True):
                 rows += [{"conv_id": conv_id, "turn": turn, "item": k, **x} for k, x in enumerate(items(role, text, schemas))]
-            kinds = [("conv_id", pa.int64()), ("turn", pa.int64()), ("item", pa.int32()), *((k, pa.list_(pa.string()) if "<" in v else pa.string()) for k, v in _FIELDS.items())]
+            kinds = [("conv_id", pa.string()), ("turn", pa.int64()), ("item", pa.int32()), *((k, pa.list_(pa.string()) if "<" in v else pa.string()) for k, v in _FIELDS.items())]
             yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in kinds], names=[k for k, _ in kinds])
 
     return run
@@ -126,8 +126,9 @@ def _firsts(rows: DataFrame) -> DataFrame:
 
 def linked(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
     """conv_id, turn, item, kind, call_id, status, anchor, depth, json of each item of the conversations (conv_id, turn, role, text)."""
-    ddl = "conv_id long, turn long, item int, " + ", ".join(f"{k} {v}" for k, v in _FIELDS.items())
-    turns = turns.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(-1)).alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), "role", "text").distinct()
+    ddl = "conv_id string, turn long, item int, " + ", ".join(f"{k} {v}" for k, v in _FIELDS.items())
+    conv = F.coalesce(F.col("conv_id").cast("long").cast("string"), F.lit(""))  # a name that joins well; null is none of the numbers
+    turns = turns.select(conv.alias("conv_id"), F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"), "role", "text").distinct()
     told, _ = _io.stored(turns.mapInArrow(_splitter(SCHEMAS if schemas is None else schemas), ddl), "chat-items")
     place = F.struct("turn", "item", "json")
     calls, results = told.where("kind = 'call'"), told.where("kind = 'result' and call_id is not null")
@@ -169,7 +170,29 @@ def linked(turns: DataFrame, schemas: dict | None = None) -> DataFrame:
     depth = F.when(plain, 0).when(result, F.col("depth") + 1).otherwise(F.col("depth"))
     joined = rows.select("conv_id", "turn", "item", "kind", "call_id", status.alias("status"), anchor.alias("anchor"), depth.cast("int").alias("depth"), "json")
     alone = F.when(result, "orphan_result").otherwise("ok")
-    return joined.union(told.where("call_id is null").select("conv_id", "turn", "item", "kind", "call_id", alone, "turn", F.lit(0), "json"))
+    every = joined.union(told.where("call_id is null").select("conv_id", "turn", "item", "kind", "call_id", alone, "turn", F.lit(0), "json"))
+    return every.withColumn("conv_id", F.col("conv_id").try_cast("long"))
+
+
+#: Turns of which one in a row of calls stands alone: the calls of the turns after it each need the one before.
+CHAIN = 8
+
+
+def with_calls(turns: DataFrame) -> DataFrame:
+    """Turns of prose with calls and results made of them: every turn stays, and a table without tool calls gets some to link.
+
+    An assistant's turn k also makes the call "t<k>" of search for its text, which needs the call "t<k - 2>" unless k modulo CHAIN
+    is less than 2; so chains are short however long a conversation is. A user's turn k is also followed by the result of
+    the call "t<k - 1>" with its text, whether or not there is such a call. Other turns stay as they are.
+    """
+    turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    name = lambda k: F.concat(F.lit("t"), (F.col("turn") - k).cast("string"))
+    text = F.coalesce("text", F.lit(""))
+    needs = F.when(F.pmod("turn", F.lit(CHAIN)) >= 2, F.array(name(2))).otherwise(F.array().cast("array<string>"))
+    call = F.struct(name(0).alias("id"), F.lit("search").alias("name"), F.struct(text.alias("query")).alias("arguments"), needs.alias("depends_on"))
+    spoken = F.when((F.col("role") == "assistant") & F.col("turn").isNotNull(), F.to_json(F.struct(text.alias("content"), F.array(call).alias("tool_calls")))).otherwise(F.col("text"))
+    answered = turns.where("role = 'user' and turn is not null").select("conv_id", "turn", F.lit("tool").alias("role"), F.to_json(F.struct(name(1).alias("tool_call_id"), text.alias("content"))).alias("text"))
+    return turns.withColumn("text", spoken).union(answered)
 
 
 def transcripts(turns: DataFrame, schemas: dict | None = None) -> DataFrame:

@@ -82,10 +82,10 @@ def test_graph_walk_sees_few_of_many_centroids():
     x = rng.normal(size=(60, 24))[rng.integers(0, 60, 6000)] + 0.5 * rng.normal(size=(6000, 24))
     cents = posting_ann.Centroids(posting_ann.lift(x, np.linalg.norm(x, axis=1).max()), 2048)
     q = posting_ann.direction(x[:200])
-    at, _, worked = cents.walk(q, 64)
-    assert worked / len(q) < 0.4 * len(cents.c)
+    at, _, worked = cents.walk(q, 128)
+    assert worked / len(q) < 0.3 * len(cents.c)
     true = np.argsort(np.linalg.norm(q[:, None] - cents.c, axis=2), axis=1)[:, :10]
-    assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(at, true, strict=True)]) > 0.9
+    assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(at, true, strict=True)]) > 0.88
 
 
 def turn(*calls, content=None):
@@ -118,7 +118,7 @@ def test_tool_calls(spark):
     assert [s for k, c, s in one if c == "a"] == ["ok", "ok", "duplicate_result", "duplicate_call"]
     assert sum(s == "orphan_result" for _, _, s in one) == 1
     assert [(r["status"]) for r in got if r["conv_id"] == 2] == ["orphan_result"]
-    assert [r["json"] for r in got if r["conv_id"] == -1] == ['{"content":"","role":"unknown"}']
+    assert [r["json"] for r in got if r["conv_id"] is None] == ['{"content":"","role":"unknown"}']
     assert next(r["json"] for r in got if r["call_id"] == "b" and r["kind"] == "result") == '{"content":{"a":2,"z":1},"role":"tool","tool_call_id":"b"}'
 
 
@@ -160,3 +160,43 @@ def test_pipeline(spark, tmp_path):
     last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select(key).collect())) == sorted(map(tuple, last.select(key).collect()))
+
+
+def test_links_of_derived_calls_against_a_plain_linker(spark):
+    """Every turn of a table of prose is kept, and the calls and results derived from it are linked and ordered."""
+    import random
+
+    rnd = random.Random(6)
+    rows = [(c if c else None, k, ("user", "assistant")[k % 2] if rnd.random() < 0.9 else "user", f"text {c} {k}") for c in range(12) for k in range(rnd.randint(1, 30))]
+    rows += [(-1, 0, "user", None), (-1, 1, "assistant", None), (3, 1, "assistant", "another"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = toolcalls.with_calls(df).collect()
+    got = toolcalls.linked(toolcalls.with_calls(df)).collect()
+    calls, results, expected = {}, {}, {}
+    for r in sorted(made, key=lambda r: (str(r["conv_id"]), r["turn"] or 0, r["text"] or "")):
+        for k, x in enumerate(toolcalls.items(r["role"], r["text"], toolcalls.SCHEMAS)):
+            at = (r["conv_id"], -1 if r["turn"] is None else r["turn"], k, x["json"])
+            if x["kind"] == "message":
+                expected[at] = ("message", "ok")
+            else:
+                (calls if x["kind"] == "call" else results).setdefault((r["conv_id"], x["call_id"]), []).append((at[1], k, x["json"], x))
+    depth = {}
+    for key, found in calls.items():
+        for nth, (turn, k, text, _) in enumerate(sorted(found, key=lambda f: f[:3])):
+            expected[key[0], turn, k, text] = ("call", "duplicate_call" if nth else "ok" if key in results else "no_result")
+    for key, found in results.items():
+        for nth, (turn, k, text, _) in enumerate(sorted(found, key=lambda f: f[:3])):
+            expected[key[0], turn, k, text] = ("result", "orphan_result" if key not in calls else "duplicate_result" if nth else "ok")
+
+    def layers(key):
+        needs = [(key[0], n) for n in sorted(calls[key], key=lambda f: f[:3])[0][3]["needs"] if (key[0], n) in calls]
+        return max((layers(n) + 2 for n in needs), default=0)
+
+    for key in calls:
+        depth[key] = layers(key)
+    assert {(r["conv_id"], r["turn"], r["item"], r["json"]): (r["kind"], r["status"]) for r in got} == expected and len(got) == len(expected)
+    assert sum(s == ("result", "ok") for s in expected.values()) > 30
+    for r in got:
+        if r["kind"] == "call" and r["status"] != "duplicate_call":
+            assert r["depth"] == depth[r["conv_id"], r["call_id"]]
+    assert max(depth.values()) >= 4
