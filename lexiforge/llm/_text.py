@@ -6,6 +6,7 @@ the word only, and are the same in every process.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -94,6 +95,14 @@ def lowered(text: bytes) -> bytes:
     return text.lower()
 
 
+def release() -> None:
+    """Hands memory that is free back to the system: a Python worker lives on after its task, and what it keeps counts for the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with at most about CHUNK bytes of text and ROWS rows, at least a row each; a null text is empty."""
     for batch in batches:
@@ -107,3 +116,4 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
             size += n
         if at < batch.num_rows:
             yield batch.slice(at), [x or b"" for x in texts.slice(at).to_pylist()]
+    release()
