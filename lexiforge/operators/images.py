@@ -1,7 +1,8 @@
-"""Images before recognition, and the recogniser's interface. Kernels are numpy; decoding and recognition are plug-ins."""
+"""Images before recognition, and the recogniser's interface. Kernels are numpy; recognition is a plug-in."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -72,22 +73,57 @@ def preprocess(image: np.ndarray, steps: dict[str, bool] | None = None, max_pixe
 
 
 class Recogniser(Protocol):
-    """What finds text in an image: (polygon of four (x, y) corners, text, level or None) for each box."""
+    """What finds text in an image: (polygon of four (x, y) corners, text, level or None) for each box. image: pixels, where images come decoded, else the file's bytes."""
 
-    def recognise(self, content: bytes) -> list[tuple[list[tuple[float, float]], str, float | None]]: ...
+    def recognise(self, image: bytes | np.ndarray) -> list[tuple[list[tuple[float, float]], str, float | None]]: ...
 
 
-def boxes(images: DataFrame, make: Callable[[], Recogniser]) -> DataFrame:
-    """The text boxes of images (image_id, content). make: builds the recogniser, once in each task."""
-    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+_BOX = "box_id int, polygon array<struct<x:double,y:double>>, text string, level double"
+_POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+_BOXES = pa.list_(pa.struct([("box_id", pa.int32()), ("polygon", pa.list_(_POINT)), ("text", pa.string()), ("level", pa.float64())]))
+
+
+def _pixels(row: dict) -> np.ndarray:
+    if row["pixels"] is None or not row["height"] or row["height"] < 0:
+        raise ValueError("not an image")
+    image = np.frombuffer(row["pixels"], dtype=np.uint8).reshape(row["height"], row["width"], row["channels"])
+    return image[..., 0] if row["channels"] == 1 else image[..., :3]
+
+
+def recognised(images: DataFrame, make: Callable[[], Recogniser], steps: dict[str, bool] | None = None, max_pixels: int = MAX_PIXELS) -> DataFrame:
+    """image_id, boxes, error: a row an image. images: image_id and content, or what readers.decoded_images gives, whose pixels are preprocessed first.
+
+    make builds the recogniser, once in each task. An image that can't be read or recognised has null boxes and an
+    error, and the others go on; one without text has an empty array.
+    """
+    decoded = "pixels" in images.columns
+    columns = ["height", "width", "channels", "pixels"] if decoded else ["content"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = make()
         for batch in batches:
-            rows = []
-            for image, content in zip(batch.column("image_id").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows += [(image, k, [{"x": x, "y": y} for x, y in p], t, c) for k, (p, t, c) in enumerate(reader.recognise(content))]
-            kinds = [pa.string(), pa.int32(), pa.list_(point), pa.string(), pa.float64()]
-            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["image_id", "box_id", "polygon", "text", "level"])
-
-    return images.select(F.col("image_id").cast("string").alias("image_id"), "content").mapInArrow(run, "image_id string, box_id int, polygon array<struct<x:double,y:double>>, text string, level double")
+            found, errors = [], []
+            for k in range(batch.num_rows):  # a row at a time, for images are large
+                row = {c: batch.column(c)[k].as_py() for c in columns}
+                try:
+                    boxes = reader.recognise(preprocess(_pixels(row), steps, max_pixels) if decoded else row["content"])
+                    found.append([{"box_id": n, "polygon": [{"x": x, "y": y} for x, y in p], "text": t, "level": c} for n, (p, t, c) in enumerate(boxes)])
+                    errors.append(None)
+                except Exception as e:  # noqa: BLE001 - whatever a plug-in raises becomes the row's error
+                    found.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.record_batch({"image_id": batch.column("image_id"), "boxes": pa.array(found, _BOXES), "error": pa.array(errors, pa.string())})
+
+    rows = images.select(F.col("image_id").cast("string").alias("image_id"), *columns)
+    return rows.mapInArrow(run, f"image_id string, boxes array<struct<{re.sub(r'(^|, )([a-z_]+) ', r'\1\2:', _BOX)}>>, error string")
+
+
+def exploded(rows: DataFrame) -> DataFrame:
+    """The boxes of recognised images, a row each."""
+    return rows.select("image_id", F.inline("boxes"))
+
+
+def boxes(images: DataFrame, make: Callable[[], Recogniser], steps: dict[str, bool] | None = None, max_pixels: int = MAX_PIXELS) -> DataFrame:
+    """The text boxes of images, a row each. An image's error fails the job; recognised() keeps it as a value."""
+    rows = recognised(images, make, steps, max_pixels)
+    return exploded(rows.withColumn("boxes", F.when(F.col("error").isNull(), F.col("boxes")).otherwise(F.raise_error(F.col("error")))))

@@ -566,6 +566,14 @@ def downscale_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", h.alias("h"), w.alias("w")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT p_partkey, w || ' ' || a || ' x, ' || w || ' ' || b || ' x' AS names
+FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS w, split_part(p_name, ' ', 2) AS a, lower(p_brand) AS b FROM part)""")
+def entry_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = F.split("p_name", " ")
+    name = F.concat(w[0], F.lit(" ("), w[1], F.lit(" / "), F.lower("p_brand"), F.lit(") x"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(grammar.inside_parentheses(F.array(name)), ", ").alias("names"))
+
+
 # --- paths, rows and streams --------------------------------------------------------------------------------------------
 
 
@@ -599,6 +607,11 @@ def image_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.image_files(table(spark, sf_dir, "pages").select("page_id", F.concat("url", ends).alias("path")), "path")
 
 
+@query("SELECT regexp_replace(url, '/[^/]*$', '') AS folder, min(url) AS url FROM pages GROUP BY 1")
+def first_of_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.first_of_folder(table(spark, sf_dir, "pages").select("url"), "url")
+
+
 @query("""SELECT o_custkey, o_orderkey, o_custkey::VARCHAR || CASE WHEN count(*) OVER (PARTITION BY o_custkey) > 1
   THEN '_' || (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::VARCHAR ELSE '' END || '.jpg' AS file_name FROM orders""")
 def image_naming(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import dictionary, evaluate, refresh, resolve
+from ..operators import dictionary, evaluate, images, layout, refresh, resolve
 from ..sources import readers, sinks
 
 
 @dataclass(frozen=True)
 class Settings:
-    """What a run can be told. detection: pollutants and dictionary terms (both), or dictionary terms alone (ingredients)."""
+    """What a run can be told. detection: pollutants and dictionary terms (both), or dictionary terms alone (ingredients). steps: of preparing images, by name."""
 
     detection: str = "both"
     method: str = "levenshtein"
@@ -23,10 +24,14 @@ class Settings:
     correct_words: bool = True
     word_threshold: float = 0.8
     token_threshold: float = 0.8
+    max_pixels: int = images.MAX_PIXELS
+    steps: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
         if self.detection not in ("both", "pollutants", "ingredients"):
             raise ValueError(f"no such detection: {self.detection}")
+        if not set(self.steps) <= set(images.STEPS):
+            raise ValueError(f"no such steps: {', '.join(sorted(set(self.steps) - set(images.STEPS)))}")
 
     @classmethod
     def read(cls, path: str) -> Settings:
@@ -66,6 +71,23 @@ def results(docs: DataFrame, terms: DataFrame, synonyms: DataFrame, settings: Se
     return resolve.resolved(docs, terms, None if settings.detection == "ingredients" else synonyms, correct=settings.correct_words, word_threshold=settings.word_threshold, token_threshold=settings.token_threshold)
 
 
+def from_images(pictures: DataFrame, make: Callable[[], images.Recogniser], terms: DataFrame, synonyms: DataFrame, folder: str, settings: Settings | None = None) -> DataFrame:
+    """doc_id, ingredients, pollutants, error: a row for each image (readers.images or readers.decoded_images; each image_id once).
+
+    Recognition is the costly part, so it runs once: what it finds is written below `folder`, and layout and resolving
+    read that. An image with an error has null lists, one without text empty ones.
+    """
+    settings = settings or Settings()
+    path = f"{folder}/recognised"
+    images.recognised(pictures, make, dict.fromkeys(settings.steps, True), settings.max_pixels).write.mode("overwrite").parquet(path)
+    rows = pictures.sparkSession.read.parquet(path)
+    docs = layout.token_lists(images.exploded(rows)).withColumnRenamed("image_id", "doc_id")
+    found = results(docs, terms, synonyms, settings)
+    empty = F.array().cast("array<string>")
+    lists = [F.when(F.col("error").isNull(), F.coalesce(c, empty)).alias(c) for c in ("ingredients", "pollutants")]
+    return rows.select(F.col("image_id").alias("doc_id"), "error").join(found, "doc_id", "left").select("doc_id", *lists, "error")
+
+
 def scores(found: DataFrame, truth: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Metrics of each labelled product (id, inci_list) against the results of the same name. Products without a result count as found empty; results without a product are left out."""
     settings = settings or Settings()

@@ -65,6 +65,18 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
     return image_files(files, "path").select("path", F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1).alias("image_id"), "content")
 
 
+def decoded_images(spark: SparkSession, folder: str) -> DataFrame:
+    """path, image_id, height, width, channels and pixels (rows of blue, green, red) of the images below a folder. A file that can't be decoded has a height of -1."""
+    raw = spark.read.format("image").option("recursiveFileLookup", "true").load(folder).select("image.*")
+    rows = raw.select(F.col("origin").alias("path"), F.regexp_extract("origin", r"([^/]+)\.[^.]+$", 1).alias("image_id"), "height", "width", F.col("nChannels").alias("channels"), F.col("data").alias("pixels"))
+    return image_files(rows, "path")
+
+
+def first_of_folder(files: DataFrame, column: str = "path") -> DataFrame:
+    """folder, and the first of its paths in order of characters."""
+    return files.groupBy(F.regexp_replace(column, "/[^/]*$", "").alias("folder")).agg(F.min(column).alias(column))
+
+
 def image_files(files: DataFrame, column: str) -> DataFrame:
     """Rows whose path ends as an image's."""
     some = F.lit(False)

@@ -53,3 +53,8 @@ def image_names(images: DataFrame, key: str, order: str, ending: str = "ending")
 def gigabytes(n_bytes: Column) -> Column:
     """Bytes as gigabytes with two digits."""
     return F.format_number(n_bytes / F.lit(1024**3), 2)
+
+
+def barcodes(rows: DataFrame, column: str, path: str) -> None:
+    """The values there are, one a line."""
+    rows.where(F.col(column).isNotNull()).select(F.col(column).cast("string")).write.mode("overwrite").text(path)

@@ -174,6 +174,10 @@ def test_recogniser_plugs_in(spark):
     rows = spark.createDataFrame([("a", b"hi"), ("b", b"")], "image_id string, content binary")
     got = images.boxes(rows, Fake).collect()
     assert [(r["image_id"], r["text"], r["polygon"][2]["x"]) for r in got] == [("a", "hi", 1.0)]
+    bad = spark.createDataFrame([("a", None)], "image_id string, content binary").withColumn("content", F.lit(b"\xff"))
+    assert images.recognised(bad, Fake).first()["error"].startswith("UnicodeDecodeError")
+    with pytest.raises(Exception, match="UnicodeDecodeError"):
+        images.boxes(bad, Fake).collect()
 
 
 def test_snapshots_follow_content(spark, tmp_path):

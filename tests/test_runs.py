@@ -1,3 +1,6 @@
+import struct
+import zlib
+
 import pytest
 
 from lexiforge.plans import runs
@@ -51,3 +54,49 @@ def test_tables_follow_all_that_they_are_made_of(spark, tmp_path):
     assert terms() == all_ | {"new term"}
     known.write_text('["newer term"]')
     assert terms() == all_ | {"newer term"}
+
+
+def _png(path, value, size=(4, 6)):
+    """An image file of one gray level."""
+    h, w = size
+    rows = b"".join(b"\x00" + bytes([value]) * 3 * w for _ in range(h))
+    part = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    head = part(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0))
+    path.write_bytes(b"\x89PNG\r\n\x1a\n" + head + part(b"IDAT", zlib.compress(rows)) + part(b"IEND", b""))
+
+
+def test_from_images_to_results(spark, tmp_path):
+    class Levels:
+        """Says what an image of each gray level shows, and shape and kind of what it was given."""
+
+        def recognise(self, image):
+            box = lambda y: [(0, y), (1, y), (1, y + 1), (0, y + 1)]
+            assert image.ndim == 2 and image.size <= 8
+            if image.max() == 30:
+                raise RuntimeError("unreadable")
+            return {10: [(box(90), "Nylon 12", None), (box(0), "Ingredients: Aqua,", 0.9)], 20: []}[image.max()]
+
+    folder = tmp_path / "images"
+    folder.mkdir()
+    for name, level in (("a", 10), ("b", 20), ("c", 30)):
+        _png(folder / f"{name}.png", level)
+    (folder / "d.png").write_bytes(b"no image")
+    (folder / "e.txt").write_bytes(b"no image either")
+    terms = spark.createDataFrame([("aqua",), ("nylon 12",)], "term string")
+    synonyms = spark.createDataFrame([("nylon 12", "Polyamid")], "synonym string, canonical string")
+    pictures = runs.readers.decoded_images(spark, str(folder))
+    found = runs.from_images(pictures, Levels, terms, synonyms, str(tmp_path / "out"), runs.Settings(steps=("gray",), max_pixels=8))
+    got = {r["doc_id"]: (r["ingredients"], r["pollutants"], r["error"]) for r in found.collect()}
+    assert got == {
+        "a": (["aqua", "nylon 12"], ["Polyamid"], None),
+        "b": ([], [], None),
+        "c": (None, None, "RuntimeError: unreadable"),
+        "d": (None, None, "ValueError: not an image"),
+    }
+    none = runs.from_images(pictures.limit(0), Levels, terms, synonyms, str(tmp_path / "none"))
+    assert none.collect() == []
+
+
+def test_steps_are_checked():
+    with pytest.raises(ValueError, match="rotate"):
+        runs.Settings(steps=("gray", "rotate"))
