@@ -74,3 +74,11 @@ def test_resolve_stream(spark, tmp_path):
     streams.resolve_stream(tokens, tables, str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
     row = spark.read.parquet(str(tmp_path / "out")).first()
     assert (row["ingredients"], row["pollutants"]) == (["aqua"], ["Water"])
+
+
+def test_barcodes(spark, tmp_path):
+    rows = spark.createDataFrame([("4012",), (None,), ("0083",)], "code string")
+    sinks.barcodes(rows, "code", str(tmp_path / "codes"))
+    assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "codes")).collect()) == ["0083", "4012"]
+    sinks.barcodes(rows.limit(0), "code", str(tmp_path / "codes"))
+    assert spark.read.text(str(tmp_path / "codes")).count() == 0
