@@ -123,23 +123,43 @@ def _priciest(worth: np.ndarray, sizes: np.ndarray, room: np.ndarray, fits: np.n
     return max(float(best[-1]), float(value[top])), slots
 
 
+def _times(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """a @ x without BLAS, whose threads may never wake in a driver that has started other processes."""
+    return np.einsum("ij,j->i", a, x)
+
+
+def _inverse(basis: np.ndarray) -> np.ndarray:
+    """The inverse by elimination with row pivots; without BLAS, as above."""
+    k = len(basis)
+    a = np.hstack([basis, np.eye(k)])
+    for j in range(k):
+        p = j + int(np.abs(a[j:, j]).argmax())
+        if p != j:
+            a[[j, p]] = a[[p, j]]
+        a[j] /= a[j, j]
+        rows = np.flatnonzero(a[:, j])
+        rows = rows[rows != j]
+        a[rows] -= a[rows, j, None] * a[j]
+    return a[:, k:]
+
+
 def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, float]]:
     """Configurations of a few sizes, and how often to use each (not whole numbers), that cover the counts: column generation on the linear programme."""
     k = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
-    inverse = np.linalg.inv(basis)
-    use = inverse @ counts
+    inverse = np.diag(1 / basis.diagonal())
+    use = _times(inverse, counts.astype(float))
     left = np.arange(capacity + 1)[:, None] - sizes
     fits, room = left >= 0, np.maximum(left, 0)
     for step in range(rounds):
         if step % 64 == 63:
-            inverse = np.linalg.inv(basis)
-            use = inverse @ counts
+            inverse = _inverse(basis)
+            use = _times(inverse, counts.astype(float))
         worth, slots = _priciest(inverse.sum(axis=0), sizes, room, fits)
         if worth <= 1 + 1e-6:
             break
         column = np.bincount(slots, minlength=k).astype(float)
-        change = inverse @ column
+        change = _times(inverse, column)
         ratio = np.where(change > 1e-9, use / np.where(change > 1e-9, change, 1), np.inf)
         j = int(ratio.argmin())
         basis[:, j] = column
@@ -148,7 +168,7 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int, rounds:
         inverse[j] = row
         use = np.maximum(use - ratio[j] * change, 0)
         use[j] = ratio[j]
-    use = np.linalg.solve(basis, counts.astype(float))
+    use = _times(_inverse(basis), counts.astype(float))
     return [(basis[:, j].astype(int), float(use[j])) for j in range(k) if use[j] > 1e-9]
 
 
