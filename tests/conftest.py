@@ -1,3 +1,5 @@
+import lexiforge  # noqa: F401, I001  before numpy: caps the threads of numeric libraries
+
 import pytest
 from pyspark.sql import SparkSession
 
