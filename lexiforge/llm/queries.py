@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import _io, line_runs, mixing, packing, passages, pii_votes, posting_ann, ppm_lang, quality_lm, superminhash, toolcalls
+from . import _io, curve_packing, line_runs, mixing, packing, passages, pii_votes, posting_ann, ppm_lang, quality_lm, spelling, superminhash, toolcalls, vector_codes
 
 
 def op1_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,18 @@ def op10_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.placed(_io.table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_io.table(spark, sf_dir, "documents"))
+
+
+def op12_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_packing.packed(_io.table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(_io.table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_tool_call_linking": op1_tool_call_linking,
     "op2_compact_windows": op2_compact_windows,
@@ -61,8 +73,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_superminhash": op8_superminhash,
     "op9_weak_supervision_pii": op9_weak_supervision_pii,
     "op10_temperature_mix": op10_temperature_mix,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_curve_packing": op12_curve_packing,
+    "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_line_runs": line_runs.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 }
