@@ -1,6 +1,6 @@
 """Packing along a space-filling curve, so that documents alike in words share sequences.
 
-Texts are tokenised where they lie. A document's vector counts its tokens and pairs of tokens, hashed into BUCKETS buckets, with logarithmic
+Texts are tokenised where they lie. A document's vector counts its tokens, hashed into BUCKETS buckets, with logarithmic
 weights and length one; a fixed random matrix projects it to DIMENSIONS numbers. Over all documents each of these is brought to mean zero
 and deviation one and, by the normal distribution, spread over BITS bits. The place of these coordinates on a Hilbert curve is the document's
 key. Documents are sorted by key in ranges, copies next to one another, and laid end to end along the curve; sequences are cut from that line at
@@ -30,8 +30,6 @@ CAPACITY = 1024
 DIMENSIONS = 4
 BITS = 15
 BUCKETS = 1 << 16
-#: Ids of a stretch whose pairs are hashed at once.
-STRETCH = 1 << 20
 _NAMES = [f"p{k}" for k in range(DIMENSIONS)]
 _COLUMNS = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -43,32 +41,33 @@ def projection() -> np.ndarray:
     return ((a >> np.uint64(11)).astype(np.float64) / 2.0**52 - 1).reshape(BUCKETS, DIMENSIONS)
 
 
-def projected(ids: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """The hashed vector of some token ids, projected."""
-    counts = np.zeros(BUCKETS)
-    for at in range(0, len(ids), STRETCH):
-        x = ids[at : at + STRETCH + 1].astype(np.uint64) + np.uint64(1)
-        one = _text.mix(x[:STRETCH]) >> np.uint64(48)
-        two = _text.mix(x[:-1] * np.uint64(0xD6E8FEB86659FD93) + x[1:]) >> np.uint64(48)
-        for h in (one, two):
-            where, n = np.unique(h, return_counts=True)
-            counts[where] += n
-    some = np.flatnonzero(counts)
-    weight = np.log1p(counts[some])
-    length = np.sqrt((weight * weight).sum())
-    return (weight[:, None] * matrix[some]).sum(axis=0) / (length or 1.0)
+class Projector:
+    """Hashed vectors of token ids, projected. A token's bucket and its row of the matrix are looked up in a table that grows with the ids seen."""
+
+    def __init__(self) -> None:
+        self.matrix, self.rows = projection(), np.zeros((0, DIMENSIONS))
+
+    def __call__(self, ids: np.ndarray) -> np.ndarray:
+        seen, counts = np.unique(ids, return_counts=True)
+        if len(seen) and seen[-1] >= len(self.rows):
+            every = np.arange(1, max(int(seen[-1]) + 1, BUCKETS) + 1, dtype=np.uint64)
+            self.rows = self.matrix[_text.mix(every) % np.uint64(BUCKETS)]
+        weight = np.log1p(counts)
+        length = np.sqrt((weight * weight).sum())
+        return np.einsum("i,ij->j", weight, self.rows[seen]) / (length or 1.0)
 
 
 def _tokeniser(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, matrix = packing.encoder(path), projection()
+        encode, project = packing.encoder(path), Projector()
         for batch, texts in _text.chunks(batches):
             held, points, sizes = [], [], []
             for text in texts:
                 ids = encode(text.decode())
-                points.append(projected(ids, matrix))
-                held.append(np.append(ids, np.uint32(packing.END)).astype("<u4").tobytes())
-                sizes.append(len(ids) + 1)
+                points.append(project(ids))
+                ids = np.append(ids, np.uint32(packing.END))
+                held.append(ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes())  # the width shows in the length
+                sizes.append(len(ids))
             points = np.array(points)
             yield pa.record_batch([batch.column("doc_id"), *(pa.array(points[:, k]) for k in range(DIMENSIONS)), pa.array(sizes, pa.int64()), pa.array(held, pa.binary())], names=["doc_id", *_NAMES, "doc_tokens", "ids"])
 
@@ -146,15 +145,14 @@ def _cutter(total: int, capacity: int):
         kinds = [pa.int64()] * 7
         for batch in batches:
             rows = []
-            for doc_id, ids, place in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("place").to_pylist(), strict=True):
-                held = memoryview(ids.as_buffer())
-                n = len(held) // 4
+            for doc_id, ids, n, place in zip(batch.column("doc_id").to_pylist(), batch.column("ids"), batch.column("doc_tokens").to_pylist(), batch.column("place").to_pylist(), strict=True):
+                held = np.frombuffer(ids.as_buffer(), dtype=f"<u{len(ids.as_buffer()) // n}").astype("<u4")
                 first = np.arange(place // capacity + 1, min(full, place + n - 1) // capacity + 1) * capacity
                 cuts = [place, *first.tolist(), *(int(x) for x in tail if max(place, full) < x < place + n), place + n]
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     k = int(np.searchsorted(tail, a, side="right")) - 1
                     sequence, begin = (full // capacity + k, int(tail[k])) if k >= 0 else (a // capacity, a // capacity * capacity)
-                    rows.append((doc_id, a - place, b - a, zlib.crc32(held[4 * (a - place) : 4 * (b - place)]), n, sequence, a - begin))
+                    rows.append((doc_id, a - place, b - a, zlib.crc32(held[a - place : b - place]), n, sequence, a - begin))
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
@@ -184,4 +182,4 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
         begin[k], total = total, total + sums[k]
     starts = spark.createDataFrame(list(begin.items()), "range int, begin long")
     placed = line.join(F.broadcast(starts), "range").select("row", (F.col("begin") + F.col("before")).alias("place"))
-    return tokens.select("row", "doc_id", "ids").join(placed, "row").select("doc_id", "ids", "place").mapInArrow(_cutter(total, capacity), _COLUMNS)
+    return tokens.select("row", "doc_id", "doc_tokens", "ids").join(placed, "row").select("doc_id", "doc_tokens", "ids", "place").mapInArrow(_cutter(total, capacity), _COLUMNS)
