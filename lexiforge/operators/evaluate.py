@@ -2,49 +2,45 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import fuzzy
+
 #: Predicted and labelled names that are at least so alike (0 to 100) match.
 THRESHOLD = 80
 
 
-def lcs_length(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence, a row of the usual table at a time."""
-    start = F.array_repeat(F.lit(0), F.length(b) + 1)
-
-    def row(above: Column, c: Column) -> Column:
-        def cell(left: Column, i: Column) -> Column:
-            best = F.when(F.substr(b, i, F.lit(1)) == c, F.get(above, i - 1) + 1).otherwise(F.greatest(F.get(above, i), F.element_at(left, -1)))
-            return F.concat(left, F.array(best))
-
-        return F.when(F.length(b) == 0, above).otherwise(F.aggregate(F.sequence(F.lit(1), F.length(b)), F.array(F.lit(0)), cell))
-
-    return F.element_at(F.aggregate(F.filter(F.split(a, ""), lambda c: c != ""), start, row), -1)
-
-
-def ratio(a: Column, b: Column) -> Column:
-    """Similarity of two texts from 0 to 100: twice their longest common subsequence over their lengths, rounded half to even."""
-    whole = F.length(a) + F.length(b)
-    return F.when(whole == 0, F.lit(100)).otherwise(F.bround(200 * lcs_length(a, b) / F.greatest(whole, F.lit(1)), 0)).cast("int")
-
-
 def exact(predicted: DataFrame, truth: DataFrame, key: str = "image_id", value: str = "item") -> DataFrame:
     """Predictions, doubles kept, that are in the truth of their image."""
     return predicted.join(truth.select(key, value).distinct(), [key, value], "left_semi")
 
 
-def fuzzy_best(predicted: DataFrame, truth: DataFrame, key: str = "image_id", value: str = "item", score=ratio) -> DataFrame:
-    """key, item, best, score: each distinct prediction with its most similar label, ties to the first in order of the alphabet."""
-    p, t = predicted.select(key, value).distinct(), truth.select(key, F.col(value).alias("best")).distinct()
-    pairs = p.join(t, key)
-    # the same two names meet in many images and are compared once
-    scored = pairs.select(value, "best").distinct().withColumn("score", score(F.col(value), F.col("best")))
-    found = pairs.join(scored, [value, "best"]).groupBy(key, value).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("best"))).alias("m"))
+def fuzzy_best(predicted: DataFrame, truth: DataFrame, key: str = "image_id", value: str = "item", score: Callable[[Column, Column], Column] | None = None, least: int | None = None) -> DataFrame:
+    """key, item, best, score: each distinct prediction with its most similar label, ties to the first in order of the alphabet.
+
+    score: of two columns, in place of the common subsequence's. least: predictions whose best label scores less are left out, and only the
+    pairs that can reach it are compared (see fuzzy.alike); without it each prediction meets all labels of its image.
+    """
+    p, t = predicted.select(key, value).where(F.col(value).isNotNull()).distinct(), truth.select(key, F.col(value).alias("best")).where("best is not null").distinct()
+    if least is not None and least > 0 and score is None:
+        named = lambda df, c: df.select(F.col(key).alias("key"), F.col(c).alias("name"))
+        pairs = fuzzy.alike(named(p, value), named(t, "best"), least).select(F.col("key").alias(key), F.col("a").alias(value), F.col("b").alias("best"), "score")
+    else:
+        pairs = p.join(t, key)
+        if score:
+            pairs = pairs.withColumn("score", score(F.col(value), F.col("best")))
+        else:
+            pairs = fuzzy.scored(pairs.toDF("key", "a", "b")).toDF(key, value, "best", "score")
+        if least is not None:
+            pairs = pairs.where(F.col("score") >= least)
+    found = pairs.groupBy(key, value).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("best"))).alias("m"))
     return found.select(key, value, F.col("m.best").alias("best"), (-F.col("m.s")).alias("score"))
 
 
-def metrics(predicted: DataFrame, truth: DataFrame, method: str = "exact", key: str = "image_id", value: str = "item", threshold: int = THRESHOLD, score=ratio) -> DataFrame:
+def metrics(predicted: DataFrame, truth: DataFrame, method: str = "exact", key: str = "image_id", value: str = "item", threshold: int = THRESHOLD, score: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """key, tp, fp, fn, precision, recall, f1, tp_rate of each image of the truth.
 
     A missed label counts by exact comparison, for the fuzzy method too; tp_rate may exceed 1, as predictions count
@@ -53,7 +49,7 @@ def metrics(predicted: DataFrame, truth: DataFrame, method: str = "exact", key:
     if method == "exact":
         good = truth.select(key, value).distinct()
     elif method == "levenshtein":
-        good = fuzzy_best(predicted, truth, key, value, score).where(F.col("score") >= threshold).select(key, value)
+        good = fuzzy_best(predicted, truth, key, value, score, least=threshold).select(key, value)
     else:
         raise ValueError(f"no such method: {method}")
     hit = predicted.join(good.withColumn("hit", F.lit(1)), [key, value], "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from . import dictionary as dictionaries
-from . import segment, vector_join
+from . import refresh, segment, vector_join
 
 
 def ordered_distinct(items: DataFrame, key: str, value: str, order: str = "seq") -> DataFrame:
@@ -16,8 +16,8 @@ def ordered_distinct(items: DataFrame, key: str, value: str, order: str = "seq")
 
 
 def without_redundant(items: DataFrame, key: str, value: str, order: str = "seq") -> DataFrame:
-    """Items that aren't a word of the item before them. The first and the last item of a group stay, and so do all after an item of one word."""
-    along = Window.partitionBy(key).orderBy(order)
+    """Items that aren't a word of the item before them. The first and the last item of a group stay, and so do all after an item of one word. Null items stand apart and stay."""
+    along = Window.partitionBy(key, F.col(value).isNull()).orderBy(order)
     before = text.words(F.lag(value).over(along))
     drop = F.lead(value).over(along).isNotNull() & (F.size(before) > 1) & F.array_contains(before, F.col(value))
     return items.withColumn("drop_item", F.coalesce(drop, F.lit(False))).where("not drop_item").drop("drop_item")
@@ -32,29 +32,38 @@ def canonicals(items: DataFrame, synonym_map: DataFrame, key: str, value: str, o
 
 def resolved(docs: DataFrame, dictionary: DataFrame, synonym_map: DataFrame | None, key: str = "doc_id", tokens: str = "tokens", most_words: int | None = None,
              correct: bool = True, word_threshold: float = 0.8, token_threshold: float = 0.8, encoder=None, word_index: DataFrame | None = None, token_index: DataFrame | None = None) -> DataFrame:
-    """key, ingredients, pollutants (arrays, in order) of each document with at least one ingredient or not: documents without get empty arrays. synonym_map None: no pollutants are looked for.
+    """key, ingredients, pollutants (arrays, in order) of each document with at least one ingredient or not: documents without get empty arrays. Keys must be unique. synonym_map None: no pollutants are looked for.
 
     Words are corrected by the nearest word of the dictionary before the text is segmented. Terms are then verified
-    against token_index (id, embedding; see vector_join.encoded); without one the dictionary itself would be the
+    against token_index (id, features, weights; see nearest.sparse and refresh.vector_index); without one the dictionary itself would be the
     index, and each term its own nearest token, so the step is left out. word_index: vectors of the dictionary's words, if at hand.
+
+    A document stays in its rows from the first grouping by key on, as a null term where it has none, so that documents are read once for
+    the distinct words and once for all else.
     """
     clean = docs.select(key, text.clean_tokens(F.col(tokens)).alias("text"))
     if correct:
         clean = vector_join.corrected_texts(clean, dictionaries.vocabulary(dictionary), key, "text", word_threshold, encoder, word_index)
-    found = segment.longest(clean, dictionary, key, "text", most_words)
+    found = segment.term_lists(clean, dictionary, key, "text", most_words).select(key, F.posexplode_outer("terms").alias("seq", "term"))
     if token_index is not None:
-        found = vector_join.verified(found, "term", token_index, token_threshold, encoder)
+        found = vector_join.verified(found, "term", token_index, token_threshold, encoder, keep=True)
     items = without_redundant(ordered_distinct(found, key, "term"), key, "term")
-    empty = F.array().cast("array<string>")
     if synonym_map is None:
         named = items.withColumn("canonical", F.lit(None).cast("string"))
     else:
         known = synonym_map.select(F.col("synonym").alias("named"), "canonical")
         named = items.join(known, text.strip(F.col("term")) == F.col("named"), "left")
-    lists = named.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "term", "canonical"))).alias("x"))
-    bad = F.array_distinct(F.filter(F.col("x.canonical"), lambda c: c.isNotNull()))
-    out = docs.select(key).join(lists, key, "left")
-    return out.select(key, F.coalesce(F.col("x.term"), empty).alias("ingredients"), F.coalesce(bad, empty).alias("pollutants"))
+    item = F.when(F.col("term").isNotNull(), F.struct("seq", "term", "canonical"))
+    lists = named.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("x"))
+    return lists.select(key, F.col("x.term").alias("ingredients"), F.array_distinct(F.filter(F.col("x.canonical"), lambda c: c.isNotNull())).alias("pollutants"))
+
+
+def indexes(dictionary: DataFrame, folder: str, encoder=None) -> dict[str, DataFrame]:
+    """word_index and token_index of a dictionary for resolved(), from the folder's versions: only what is new in the dictionary is encoded."""
+    return {
+        "word_index": refresh.vector_index(dictionaries.vocabulary(dictionary), "word", folder, "words", encoder),
+        "token_index": refresh.vector_index(dictionary, "term", folder, "tokens", encoder),
+    }
 
 
 def response(resolved_docs: DataFrame, key: str = "doc_id") -> DataFrame:

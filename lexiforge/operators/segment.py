@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,90 +47,35 @@ def longest(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", column:
     a text takes the longest of each place from left to right. N-grams have as many words as some term has;
     most_words asks for an error if a term has more.
     """
-    lengths = term_lengths(dictionary)
-    if most_words is not None and lengths and lengths[-1] > most_words:
-        raise ValueError(f"the dictionary has terms of {lengths[-1]} words, more than {most_words}")
+    lengths = _lengths(dictionary, most_words)
     split = docs.select(key, text.words(F.col(column)).alias("w"))
     grams = split.select(key, F.explode(ngrams(F.col("w"), lengths)).alias("g")).select(key, "g.*")
     hits = grams.join(dictionary.select("term").distinct(), "term")
-    best = hits.groupBy(key, "pos").agg(F.max(F.struct("n", "term")).alias("b"))
-    ordered = F.array_sort(F.collect_list(F.struct("pos", F.col("b.n").alias("n"), F.col("b.term").alias("term"))))
-    return best.groupBy(key).agg(_greedy(ordered).alias("m")).select(key, F.posexplode("m").alias("seq", "term"))
-
-
-class PrefixTree:
-    """Terms by their characters; a node is a dict, and None in it marks the end of a term."""
-
-    def __init__(self, terms) -> None:
-        self.root: dict = {}
-        for term in terms:
-            node = self.root
-            for c in term:
-                node = node.setdefault(c, {})
-            node[None] = True
-
-    def walk(self, s: str, at: int) -> tuple[int, int, bool]:
-        """From place at: characters walked, length of the longest term on the way, and whether the walk ended with the text."""
-        node, longest_, k = self.root, 0, at
-        while k < len(s) and s[k] in node:
-            node, k = node[s[k]], k + 1
-            if None in node:
-                longest_ = k - at
-        return k - at, longest_, k == len(s)
-
-    def scan(self, s: str) -> list[tuple[str, bool]]:
-        """The pieces of s and whether each is a term, character by character without regard to words.
-
-        A term takes the one character after it along. A walk that meets the end of the text short of a term
-        gives nothing and goes on at the next character. Text that begins no term is gathered: first its first word, then all
-        that is walked, up to the next term.
-        """
-        out: list[tuple[str, bool]] = []
-        at = 0
-        while at < len(s):
-            walked, term, ended = self.walk(s, at)
-            if ended:
-                if term == walked and term:
-                    out.append((s[at:], True))
-                    break
-                at += 1
-            elif term:
-                found = s[at : at + term].strip()
-                out.append((found, True))
-                at += len(found) + 1
-            else:
-                seen = s[at : at + walked + 1]
-                if out and not out[-1][1]:
-                    out[-1] = (out[-1][0] + seen, False)
-                    at += len(seen)
-                elif seen.strip():
-                    first = seen.split()[0]
-                    out.append((first, False))
-                    at += len(first)
-                else:
-                    at += 1
-        return [(p.strip(), t) for p, t in out]
-
-
-#: Characters of terms that a prefix tree is built from on every executor; longest() serves beyond it.
-TREE_LIMIT = 50_000_000
-
-
-def by_characters(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """key, seq, piece, is_term: the pieces of a character-wise scan (see PrefixTree.scan). The dictionary is broadcast, up to TREE_LIMIT characters."""
-    size = dictionary.agg(F.coalesce(F.sum(F.length("term")), F.lit(0)).alias("n")).first()["n"]
-    if size > TREE_LIMIT:
-        raise ValueError(f"the dictionary has {size} characters, more than {TREE_LIMIT}; use longest()")
-    held = docs.sparkSession.sparkContext.broadcast([r["term"] for r in dictionary.select("term").distinct().collect()])
-    kind = docs.schema[key].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = PrefixTree(held.value)
-        for batch in batches:
-            found = [tree.scan(t or "") for t in batch.column("t").to_pylist()]
-            keys = batch.column("k").take(pa.array([k for k, f in enumerate(found) for _ in f], pa.int64()))
-            flat = [(j, *x) for f in found for j, x in enumerate(f)]
-            yield pa.record_batch({"k": keys, "seq": pa.array([x[0] for x in flat], pa.int32()), "piece": pa.array([x[1] for x in flat], pa.string()), "is_term": pa.array([x[2] for x in flat], pa.bool_())})
-
-    out = docs.select(F.col(key).alias("k"), F.col(column).alias("t")).mapInArrow(run, f"k {kind.simpleString()}, seq int, piece string, is_term boolean")
-    return out.withColumnRenamed("k", key)
+    return hits.groupBy(key).agg(_found().alias("m")).select(key, F.posexplode("m").alias("seq", "term"))
+
+
+def term_lists(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", column: str = "text", most_words: int | None = None) -> DataFrame:
+    """key, terms: what longest() finds, as an array for each document, empty ones too. Keys must be unique.
+
+    A null n-gram keeps a document without hits in its group, so documents aren't joined again.
+    """
+    lengths = _lengths(dictionary, most_words)
+    split = docs.select(key, text.words(F.col(column)).alias("w"))
+    marked = F.concat(F.coalesce(ngrams(F.col("w"), lengths), F.array()), F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("n"), F.lit(None).cast("string").alias("term"))))
+    grams = split.select(key, F.explode(marked).alias("g")).select(key, "g.*")
+    known = dictionary.select("term").distinct().withColumn("known", F.lit(True))
+    hits = grams.join(known, "term", "left").where("known or pos is null")
+    return hits.groupBy(key).agg(_found().alias("terms"))
+
+
+def _lengths(dictionary: DataFrame, most_words: int | None) -> list[int]:
+    lengths = term_lengths(dictionary)
+    if most_words is not None and lengths and lengths[-1] > most_words:
+        raise ValueError(f"the dictionary has terms of {lengths[-1]} words, more than {most_words}")
+    return lengths
+
+
+def _found() -> Column:
+    """The terms that a scan takes of a group's hits (pos, n, term): sorted by place, the longest first, so that shorter ones of a place overlap it."""
+    hit = F.when(F.col("pos").isNotNull(), F.struct("pos", (-F.col("n")).alias("less"), "n", "term"))
+    return _greedy(F.array_sort(F.collect_list(hit)))

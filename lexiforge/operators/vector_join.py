@@ -1,4 +1,4 @@
-"""Nearest-key joins on vectors, and typo correction with them."""
+"""Nearest-key joins on dense vectors, and typo correction with sparse ones."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import nearest
+
 #: Bytes of keys that go to every executor; more are dealt into blocks.
 BLOCK_BYTES = 64_000_000
 _SCHEMA = "query_id {q}, key_id {k}, score double"
@@ -82,21 +84,28 @@ def above(matches: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 class NgramEncoder:
-    """Texts as unit vectors of hashed character n-grams: a local stand-in for a sentence encoder."""
+    """Texts as unit vectors of hashed character n-grams: a local stand-in for a sentence encoder. The vectors are sparse, so the dimension may be large, and n-grams rarely meet."""
 
-    def __init__(self, dimension: int = 256, low: int = 2, high: int = 3) -> None:
+    def __init__(self, dimension: int = 1 << 20, low: int = 2, high: int = 3) -> None:
         self.dimension, self.low, self.high = dimension, low, high
 
-    def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dimension))
-        for k, t in enumerate(texts):
-            t = f"^{t}$"
+    def encode_sparse(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        out = []
+        for t in texts:
+            t, held = f"^{t}$", dict[int, float]()
             for n in range(self.low, self.high + 1):
                 for i in range(len(t) - n + 1):
                     h = int.from_bytes(hashlib.blake2b(t[i : i + n].encode(), digest_size=8).digest(), "little")
-                    out[k, h % self.dimension] += 1.0 if h >> 63 else -1.0
-            length = np.linalg.norm(out[k])
-            out[k] /= length or 1.0
+                    held[h % self.dimension] = held.get(h % self.dimension, 0.0) + (1.0 if h >> 63 else -1.0)
+            features = np.array(sorted(f for f, w in held.items() if w), dtype=np.int64)
+            weights = np.array([held[f] for f in features])
+            out.append((features, weights / (np.sqrt((weights * weights).sum()) or 1.0)))
+        return out
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), self.dimension))
+        for row, (features, weights) in zip(out, self.encode_sparse(texts), strict=True):
+            row[features] = weights
         return out
 
 
@@ -110,7 +119,7 @@ class LetterEncoder:
 
 def encoded(words: DataFrame, column: str, encoder=None) -> DataFrame:
     """id (the text) and embedding of each distinct text."""
-    encoder = encoder or NgramEncoder()
+    encoder = encoder or NgramEncoder(256)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,32 +133,49 @@ def encoded(words: DataFrame, column: str, encoder=None) -> DataFrame:
 def corrected(words: DataFrame, column: str, vocabulary: DataFrame, threshold: float = 0.8, encoder=None, index: DataFrame | None = None) -> DataFrame:
     """word, corrected for each distinct word: its nearest word of the vocabulary if that is near enough, else itself; known misreadings of oil become oil.
 
-    A word of the vocabulary is its own nearest word, so only the others are searched for. index: the vocabulary's vectors, if they are at hand (see encoded).
+    A word of the vocabulary is its own nearest word, so only the others are searched for, by an inverted index. index: the vocabulary's vectors, if they are at hand (see
+    nearest.sparse and refresh.vector_index).
     """
     from ..functions import text
 
+    every = words.select(F.col(column).alias("word")).where("word is not null").distinct()
+    both = every.join(replacements(every, "word", vocabulary, threshold, encoder, index), "word", "left")
+    return both.select("word", text.fix_oil(F.coalesce("nearest", "word")).alias("corrected"))
+
+
+def replacements(words: DataFrame, column: str, vocabulary: DataFrame, threshold: float = 0.8, encoder=None, index: DataFrame | None = None) -> DataFrame:
+    """word, nearest of each distinct word that the vocabulary lacks and that has a word near enough there."""
+    encoder = encoder or NgramEncoder()
     every = words.select(F.col(column).alias("word")).where("word is not null").distinct()
     unknown = every.join(vocabulary.select("word").distinct(), "word", "left_anti")
-    near = above(top1(encoded(unknown, "word", encoder), encoded(vocabulary, "word", encoder) if index is None else index), threshold)
-    both = every.join(near, every["word"] == near["query_id"], "left")
-    return both.select("word", text.fix_oil(F.coalesce("key_id", "word")).alias("corrected"))
+    near = nearest.nearest_above(nearest.sparse(unknown, "word", encoder), nearest.sparse(vocabulary, "word", encoder) if index is None else index, threshold)
+    return near.select(F.col("query_id").alias("word"), F.col("key_id").alias("nearest"))
 
 
 def corrected_texts(docs: DataFrame, vocabulary: DataFrame, key: str, column: str = "text", threshold: float = 0.8, encoder=None, index: DataFrame | None = None) -> DataFrame:
-    """key, column: the texts with each word corrected, joined by single blanks. Each distinct word is corrected once; keys must be unique."""
+    """key, column: the texts with each word corrected, joined by single blanks; an empty text for a null one. Each distinct word is corrected once; keys must be unique.
+
+    Texts are grouped once, by key. Where corrections are few enough for Spark to broadcast, that is the only shuffle of the texts, and
+    what groups by key afterwards needs none.
+    """
     from ..functions import text
 
-    places = docs.select(key, F.posexplode(text.words(F.col(column))).alias("pos", "word"))
-    fixed = corrected(places, "word", vocabulary, threshold, encoder, index).where("word <> corrected")
-    changed = places.join(fixed, "word", "left").select(key, F.struct("pos", F.coalesce("corrected", "word").alias("w")).alias("p"))
-    lists = changed.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["w"]), " ").alias(column))
-    return docs.select(key).join(lists, key, "left").select(key, F.coalesce(column, F.lit("")).alias(column))
+    places = docs.select(key, F.posexplode_outer(text.words(F.col(column))).alias("pos", "word"))
+    fixed = replacements(places, "word", vocabulary, threshold, encoder, index)
+    word = text.fix_oil(F.coalesce("nearest", "word"))
+    changed = places.join(fixed, "word", "left").select(key, F.when(F.col("word").isNotNull(), F.struct("pos", word.alias("w"))).alias("p"))
+    return changed.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["w"]), " ").alias(column))
 
 
-def verified(items: DataFrame, value: str, index: DataFrame, threshold: float = 0.8, encoder=None) -> DataFrame:
-    """The items whose nearest token of the index is near enough, with that token in their place; all others go. An item that is itself a token stays as it is."""
-    near = above(top1(encoded(items, value, encoder), index), threshold).select(F.col("query_id").alias("asked"), F.col("key_id").alias("token"))
-    same = index.select(F.col("id").alias("known"))
-    told = items.select(F.col(value).alias("asked")).distinct().join(near, "asked", "left").join(same, F.col("asked") == F.col("known"), "left")
-    told = told.select("asked", F.coalesce("known", "token").alias("token")).where("token is not null")
-    return items.join(told, items[value] == told["asked"]).select(*(told["token"].alias(value) if c == value else items[c] for c in items.columns))
+def verified(items: DataFrame, value: str, index: DataFrame, threshold: float = 0.8, encoder=None, keep: bool = False) -> DataFrame:
+    """The items whose nearest token of the index (id, features, weights) is near enough, with that token in their place; all others go, or, with keep, stay as nulls.
+
+    An item that is itself a token is its own nearest one, so only the others are searched for.
+    """
+    asked = items.select(F.col(value).alias("asked")).where("asked is not null").distinct()
+    known = index.select(F.col("id").alias("known"))
+    unknown = asked.join(known, F.col("asked") == F.col("known"), "left_anti")
+    near = nearest.nearest_above(nearest.sparse(unknown, "asked", encoder or NgramEncoder()), index, threshold).select(F.col("query_id").alias("asked"), F.col("key_id").alias("token"))
+    told = asked.join(known, F.col("asked") == F.col("known"), "left_semi").withColumn("token", F.col("asked")).unionByName(near)
+    both = items.join(told, items[value] == told["asked"], "left" if keep else "inner")
+    return both.select(*(told["token"].alias(value) if c == value else items[c] for c in items.columns))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grammar, text, vectors
-from ..operators import dictionary, evaluate, images, layout, resolve, segment, vector_join
+from ..operators import dictionary, evaluate, images, layout, nearest, resolve, scan, segment, vector_join
 from ..sources import readers, sinks
 from ..streaming import streams
 
@@ -288,9 +288,27 @@ def segment_longest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.longest(_texts(spark, sf_dir), part_terms(spark, sf_dir))
 
 
-@query(None)
+# how far each place of a text walks along some term, the longest term on the way, and the pieces that a scan from left to right cuts; a text's last row of a seq has the whole piece
+_WALKED = """prefix AS (SELECT left(term, n) AS prefix, max(n = length(term)) AS whole FROM (SELECT term, unnest(range(1, length(term) + 1))::INT AS n FROM terms) GROUP BY 1),
+txt AS (SELECT DISTINCT text AS t FROM d),
+place AS (SELECT t, unnest(range(length(t)))::INT AS spot FROM txt),
+sub AS (SELECT t, spot, n, substr(t, spot + 1, n) AS prefix FROM (SELECT t, spot, unnest(range(1, least(length(t) - spot, (SELECT max(length(term)) FROM terms)) + 1))::INT AS n FROM place)),
+walk AS MATERIALIZED (SELECT t, spot, max(n) AS walked, coalesce(max(n) FILTER (whole), 0) AS term FROM sub JOIN prefix USING (prefix) GROUP BY 1, 2),
+cut(t, step, spot, seq, piece, is_term) AS (SELECT t, 0, 0, -1, '', true FROM txt
+  UNION ALL SELECT t, step + 1,
+    CASE WHEN done AND term = walked THEN length(t) WHEN done THEN spot + 1 WHEN term > 0 THEN spot + length(name) + 1 WHEN NOT is_term THEN spot + length(seen) WHEN head <> '' THEN spot + length(head) ELSE spot + 1 END,
+    CASE WHEN done AND term = walked OR NOT done AND (term > 0 OR is_term AND head <> '') THEN seq + 1 ELSE seq END,
+    CASE WHEN done AND term = walked THEN substr(t, spot + 1) WHEN done THEN piece WHEN term > 0 THEN name WHEN NOT is_term THEN piece || seen WHEN head <> '' THEN head ELSE piece END,
+    CASE WHEN done AND term = walked OR NOT done AND term > 0 THEN true WHEN done OR NOT is_term OR head = '' THEN is_term ELSE false END
+  FROM (SELECT cut.*, coalesce(walked, 0) AS walked, coalesce(term, 0) AS term, cut.spot + coalesce(walked, 0) = length(cut.t) AS done, trim(substr(cut.t, cut.spot + 1, coalesce(term, 0))) AS name,
+      substr(cut.t, cut.spot + 1, coalesce(walked, 0) + 1) AS seen, split_part(trim(substr(cut.t, cut.spot + 1, coalesce(walked, 0) + 1)), ' ', 1) AS head
+    FROM cut LEFT JOIN walk ON walk.t = cut.t AND walk.spot = cut.spot WHERE cut.spot < length(cut.t))),
+pieces AS (SELECT t, seq, arg_max(trim(piece), step) AS piece, arg_max(is_term, step) AS is_term FROM cut WHERE seq >= 0 GROUP BY 1, 2)"""
+
+
+@query(f"WITH RECURSIVE {_SEGMENTED.split('w AS (')[0].rstrip().rstrip(',')}, {_WALKED} SELECT doc_id, seq::INT AS seq, piece, is_term FROM d JOIN pieces ON t = text")
 def segment_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment.by_characters(_texts(spark, sf_dir), part_terms(spark, sf_dir))
+    return scan.by_characters(_texts(spark, sf_dir), part_terms(spark, sf_dir))
 
 
 @query(f"WITH {_ITEMS} SELECT doc_id, item, min(seq)::INT AS seq FROM items GROUP BY 1, 2")
@@ -348,6 +366,24 @@ def resolve_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id").join(lists, "doc_id", "left").select("doc_id", F.coalesce("terms", F.lit("")).alias("terms"))
 
 
+# every third item is one word; the index of tokens has whole names only
+@query(f"""WITH RECURSIVE {_TERMS}, {_ITEMS.replace("p_name AS item", _SHORTENED + " AS item")}, {_SYNONYMS},
+w AS (SELECT doc_id, string_split(string_agg(item, ' ' ORDER BY seq), ' ') AS a FROM items GROUP BY doc_id), {_SCAN},
+vec AS (SELECT word, known, {_LETTERS} AS v FROM (SELECT term AS word, true AS known FROM names UNION SELECT term, false FROM found WHERE term NOT IN (SELECT term FROM names))),
+{_NEAREST.format(threshold=0.6)},
+told AS (SELECT doc_id, seq, coalesce(names.term, fix) AS item FROM found LEFT JOIN names ON names.term = found.term LEFT JOIN fixed ON word = found.term),
+once AS (SELECT doc_id, item, min(seq) AS seq FROM told WHERE item IS NOT NULL GROUP BY 1, 2), {_REDUNDANT.format("once")},
+bad AS (SELECT doc_id, canonical, min(seq) AS seq FROM slim JOIN syn ON item = synonym GROUP BY 1, 2)
+SELECT w.doc_id, coalesce((SELECT string_agg(item, '|' ORDER BY seq) FROM slim s WHERE s.doc_id = w.doc_id), '') AS ingredients,
+  coalesce((SELECT string_agg(canonical, '|' ORDER BY seq) FROM bad b WHERE b.doc_id = w.doc_id), '') AS pollutants FROM w""")
+def resolve_verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    short = F.when(F.col("place.l_partkey") % 3 == 0, F.element_at(F.split("item", " "), 2)).otherwise(F.col("item"))
+    letters = vector_join.LetterEncoder()
+    index = nearest.sparse(dictionary.terms(table(spark, sf_dir, "part"), "p_name"), "term", letters)
+    found = resolve.resolved(listed(spark, sf_dir, short), part_terms(spark, sf_dir), part_synonyms(spark, sf_dir), correct=False, encoder=letters, token_index=index, token_threshold=0.6)
+    return found.select("doc_id", F.array_join("ingredients", "|").alias("ingredients"), F.array_join("pollutants", "|").alias("pollutants"))
+
+
 @query(f"""WITH {_ITEMS} SELECT doc_id, doc_id::VARCHAR AS image_name, string_agg(item, '|' ORDER BY seq) AS ingredients, 1::INT AS n_lists FROM items GROUP BY doc_id""")
 def response_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = listed(spark, sf_dir).select("doc_id", F.col("tokens").alias("ingredients"), F.array().cast("array<string>").alias("pollutants"))

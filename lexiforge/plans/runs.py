@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, fields
 
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import dictionary, evaluate, images, layout, refresh, resolve
+from ..operators import dictionary, evaluate, images, layout, nearest, refresh, resolve, vector_join
 from ..sources import readers, sinks
 
 
@@ -22,6 +23,7 @@ class Settings:
     threshold: int = 80
     simple_grammar: bool = True
     correct_words: bool = True
+    verify_terms: bool = True
     word_threshold: float = 0.8
     token_threshold: float = 0.8
     max_pixels: int = images.MAX_PIXELS
@@ -65,24 +67,28 @@ def tables(spark: SparkSession, dictionary_sheet: str, pollutant_sheet: str, fol
     return dictionary.combined(terms, named).select("term"), synonyms
 
 
-def results(docs: DataFrame, terms: DataFrame, synonyms: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """doc_id, ingredients, pollutants of token lists (doc_id, tokens)."""
+def results(docs: DataFrame, terms: DataFrame, synonyms: DataFrame, settings: Settings | None = None, indexes: str | None = None, encoder=None) -> DataFrame:
+    """doc_id, ingredients, pollutants of token lists (doc_id, tokens). indexes: a folder that keeps the vectors of the terms and their words from run to run; without one they are encoded anew."""
     settings = settings or Settings()
-    return resolve.resolved(docs, terms, None if settings.detection == "ingredients" else synonyms, correct=settings.correct_words, word_threshold=settings.word_threshold, token_threshold=settings.token_threshold)
+    held = resolve.indexes(terms, indexes, encoder) if indexes else {"token_index": nearest.sparse(terms, "term", encoder or vector_join.NgramEncoder())}
+    if not settings.verify_terms:
+        held.pop("token_index")
+    wanted = None if settings.detection == "ingredients" else synonyms
+    return resolve.resolved(docs, terms, wanted, correct=settings.correct_words, word_threshold=settings.word_threshold, token_threshold=settings.token_threshold, encoder=encoder, **held)
 
 
 def from_images(pictures: DataFrame, make: Callable[[], images.Recogniser], terms: DataFrame, synonyms: DataFrame, folder: str, settings: Settings | None = None) -> DataFrame:
     """doc_id, ingredients, pollutants, error: a row for each image (readers.images or readers.decoded_images; each image_id once).
 
-    Recognition is the costly part, so it runs once: what it finds is written below `folder`, and layout and resolving
-    read that. An image with an error has null lists, one without text empty ones.
+    Recognition is the costly part, so it runs once: what it finds is written to a folder of this run's own below `folder`, and layout and resolving
+    read that; vectors of terms are kept there too, for all runs. An image with an error has null lists, one without text empty ones.
     """
     settings = settings or Settings()
-    path = f"{folder}/recognised"
-    images.recognised(pictures, make, dict.fromkeys(settings.steps, True), settings.max_pixels).write.mode("overwrite").parquet(path)
+    path = f"{folder}/recognised/{uuid.uuid4().hex}"
+    images.recognised(pictures, make, dict.fromkeys(settings.steps, True), settings.max_pixels).write.parquet(path)
     rows = pictures.sparkSession.read.parquet(path)
     docs = layout.token_lists(images.exploded(rows)).withColumnRenamed("image_id", "doc_id")
-    found = results(docs, terms, synonyms, settings)
+    found = results(docs, terms, synonyms, settings, f"{folder}/indexes")
     empty = F.array().cast("array<string>")
     lists = [F.when(F.col("error").isNull(), F.coalesce(c, empty)).alias(c) for c in ("ingredients", "pollutants")]
     return rows.select(F.col("image_id").alias("doc_id"), "error").join(found, "doc_id", "left").select("doc_id", *lists, "error")

@@ -51,11 +51,15 @@ def counts_by_window(stream: DataFrame, width: str = "5 minutes", late: str = "1
     return stream.withWatermark("ts", late).groupBy(F.window("ts", width), "value").agg(F.count("*").alias("n"))
 
 
-def resolve_stream(tokens: DataFrame, tables: Callable[[], tuple[DataFrame, DataFrame]], out: str, checkpoint: str) -> StreamingQuery:
-    """Resolves a stream (doc_id, tokens) batch by batch into Parquet. tables: gives the current dictionary and synonym map, and is asked anew for each batch, so a refresh takes effect with the next one."""
+def resolve_stream(tokens: DataFrame, tables: Callable[[], tuple[DataFrame, DataFrame]], out: str, checkpoint: str, indexes: str | None = None, encoder=None) -> StreamingQuery:
+    """Resolves a stream (doc_id, tokens) batch by batch into Parquet. tables: gives the current dictionary and synonym map, and is asked anew for each batch, so a refresh takes effect with the next one.
+
+    indexes: a folder for the vectors of the dictionary's terms and words; a batch encodes only what no batch before it had.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
         dictionary, synonyms = tables()
-        resolve.resolved(rows, dictionary, synonyms).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        held = resolve.indexes(dictionary, indexes, encoder) if indexes else {}
+        resolve.resolved(rows, dictionary, synonyms, encoder=encoder, **held).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return tokens.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

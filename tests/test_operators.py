@@ -2,12 +2,13 @@
 
 import difflib
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiforge.operators import dictionary, evaluate, images, layout, refresh, resolve, segment, vector_join
+from lexiforge.operators import dictionary, evaluate, fuzzy, images, layout, nearest, refresh, resolve, scan, segment, vector_join
 
 TERMS = ["aqua", "glycerin", "sodium", "sodium chloride"]
 
@@ -25,7 +26,30 @@ TERMS = ["aqua", "glycerin", "sodium", "sodium chloride"]
     ],
 )
 def test_scan_by_characters(text, pieces):
-    assert segment.PrefixTree(TERMS).scan(text) == pieces
+    assert plain_scan(TERMS, text) == pieces
+
+
+def plain_scan(names, s):
+    """The scan with every walk tried anew at each place."""
+
+    def walk(at):
+        k = max(k for k in range(len(s) - at + 1) if k == 0 or any(t.startswith(s[at : at + k]) for t in names))
+        return k, max((len(t) for t in names if s.startswith(t, at)), default=0)
+
+    return scan.cut(s, {at: walk(at) for at in range(len(s))})
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_scan_over_prefixes_agrees_with_one_that_tries_all(spark, seed):
+    rnd = random.Random(seed)
+    make = lambda n: "".join(rnd.choice("ab c") for _ in range(n)).strip() or "a"
+    names = sorted({make(rnd.randint(1, 12)) for _ in range(15)} | {"abcab" * 8})
+    texts = [(k, make(rnd.randint(0, 30))) for k in range(40)] + [(40, "x" + "abcab" * 9), (41, None), (42, ""), (43, "abcab" * 8), (44, "abcab" * 8)]
+    got = {}
+    for r in scan.by_characters(spark.createDataFrame(texts, "doc_id int, text string"), terms(spark, names)).orderBy("doc_id", "seq").collect():
+        got.setdefault(r["doc_id"], []).append((r["piece"], r["is_term"]))
+    assert got == {k: plain_scan(names, t) for k, t in texts if t and plain_scan(names, t)}
+    assert scan.by_characters(spark.createDataFrame([(1, "ab")], "doc_id int, text string"), terms(spark, []).where("false")).collect() == [(1, 0, "ab", False)]
 
 
 def terms(spark, names=TERMS):
@@ -34,7 +58,7 @@ def terms(spark, names=TERMS):
 
 def test_by_characters(spark):
     docs = spark.createDataFrame([(1, "aqua glycerin"), (2, None), (3, "")], "doc_id long, text string")
-    rows = sorted(tuple(r) for r in segment.by_characters(docs, terms(spark)).collect())
+    rows = sorted(tuple(r) for r in scan.by_characters(docs, terms(spark)).collect())
     assert rows == [(1, 0, "aqua", True), (1, 1, "glycerin", True)]
 
 
@@ -115,9 +139,26 @@ def test_ratio_is_twice_the_common_subsequence(spark):
             out.append(t[j] + 1 if x == y else max(t[j + 1], out[-1]))
         return out
 
-    got = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string").select("k", evaluate.lcs_length(F.col("a"), F.col("b")).alias("n"), evaluate.ratio(F.col("a"), F.col("b")).alias("r")).orderBy("k").collect()
-    assert [r["n"] for r in got] == [lcs(a, b) for a, b in pairs]
-    assert got[0]["r"] >= round(100 * difflib.SequenceMatcher(None, *pairs[0]).ratio()) - 1
+    rows = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a string, b string")
+    got = {r["k"]: r["score"] for r in fuzzy.scored(rows).collect()}
+    assert got == {k: round(Fraction(200 * lcs(a, b), len(a) + len(b))) if a + b else 100 for k, (a, b) in enumerate(pairs)}
+    assert got[0] >= round(100 * difflib.SequenceMatcher(None, *pairs[0]).ratio()) - 1
+
+
+@pytest.mark.parametrize("least", [1, 60, 80, 100])
+def test_no_fuzzy_match_is_lost_and_few_pairs_are_compared(spark, least):
+    rnd = random.Random(least)
+    word = lambda: "".join(rnd.choice("abcdefgäxyz") for _ in range(rnd.randint(4, 14)))
+    base = [word() for _ in range(40)] + ["", "a", "aaaaaaaa"]
+    noisy = [w[:k] + rnd.choice("abx") + w[k + rnd.randint(0, 2) :] for w in base for k in [rnd.randint(0, len(w))]]
+    left = spark.createDataFrame(sorted({(k % 2, w) for k, w in enumerate(noisy + base)}), "key int, name string")
+    right = spark.createDataFrame(sorted({(k % 2, w) for k, w in enumerate(base)}), "key int, name string")
+    pairs = left.withColumnRenamed("name", "a").join(right.withColumnRenamed("name", "b"), "key")
+    expected = {(r["key"], r["a"], r["b"], r["score"]) for r in fuzzy.scored(pairs).collect() if r["score"] >= least}
+    got = [tuple(r) for r in fuzzy.alike(left, right, least).collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+    if least >= 80:
+        assert fuzzy.candidates(left, right, least).count() < pairs.count() / 4
 
 
 def box(image, k, x, y, w=30, h=10):
@@ -211,16 +252,101 @@ def test_resolving_corrects_words(spark):
     assert found(correct=False) == {1: ["aqua"], 2: []}
 
 
-def test_terms_are_verified(spark):
-    index = vector_join.encoded(spark.createDataFrame([("glycerin",), ("glycerol",)], "t string"), "t")
-    items = spark.createDataFrame([(1, "glycerin"), (2, "glycerins"), (3, "zzz")], "k long, term string")
-    assert sorted(map(tuple, vector_join.verified(items, "term", index, 0.5).collect())) == [(1, "glycerin"), (2, "glycerin")]
+@pytest.mark.parametrize("encoder", [vector_join.NgramEncoder(), vector_join.NgramEncoder(64), vector_join.LetterEncoder()], ids=["wide", "narrow", "letters"])
+@pytest.mark.parametrize("threshold", [0.3, 0.8])
+def test_inverted_index_agrees_with_comparing_all(spark, encoder, threshold):
+    rnd = random.Random(3)
+    words = sorted({"".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(150)})
+    asked = sorted({w[:k] + rnd.choice("abz") + w[k + 1 :] for w in words for k in [rnd.randint(0, len(w))]} | {"", "123", "ä"})
+    frame = lambda x: spark.createDataFrame([(w,) for w in x], "w string")
+    queries, keys = nearest.sparse(frame(asked), "w", encoder), nearest.sparse(frame([*words, "456"]), "w", encoder)
+    got = {r["query_id"]: (r["key_id"], r["score"]) for r in nearest.nearest_above(queries, keys, threshold).collect()}
+    every = [*asked, *words, "456"]
+    if hasattr(encoder, "encode_sparse"):
+        held = {t: dict(zip(f.tolist(), x.tolist(), strict=True)) for t, (f, x) in zip(every, encoder.encode_sparse(every), strict=True)}
+    else:
+        held = {t: dict(enumerate(v)) for t, v in zip(every, encoder.encode(every), strict=True)}
+    product = lambda a, b: sum(held[a].get(f, 0.0) * x for f, x in held[b].items())
+    expected = {}
+    for a in asked:
+        score, b = min((-round(product(a, b), 11), b) for b in [*words, "456"])
+        if -score >= threshold:
+            expected[a] = (b, -score)
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in expected.items()}
+    assert all(abs(v[1] - expected[k][1]) < 1e-9 for k, v in got.items()) and got
+    if threshold == 0.8 and getattr(encoder, "dimension", 0) > 1000:
+        assert nearest.candidates(queries, keys, threshold).count() < len(asked) * len(words) / 20
+
+
+def test_vectors_longer_than_one_are_an_error(spark):
+    long = spark.createDataFrame([("a", [1], [2.0])], nearest.VECTORS)
+    with pytest.raises(Exception, match="longer than one"):
+        nearest.nearest_above(long, long).collect()
+    with pytest.raises(ValueError, match="above 0"):
+        nearest.nearest_above(long, long, 0.0)
 
 
-def test_vector_index_is_kept_by_content(spark, tmp_path):
-    tokens = spark.createDataFrame([("aqua",), ("aqua",), (None,)], "t string")
-    build = lambda t: refresh.vector_index(t, "t", str(tmp_path), "words")
-    assert [r["id"] for r in build(tokens).collect()] == ["aqua"]
-    build(tokens)
-    assert len(list((tmp_path / "words-default").iterdir())) == 1
-    assert build(tokens.union(spark.createDataFrame([("oil",)], "t string"))).count() == 2
+def test_terms_are_verified(spark):
+    index = nearest.sparse(spark.createDataFrame([("glycerin",), ("glycerol",)], "t string"), "t", vector_join.NgramEncoder())
+    items = spark.createDataFrame([(1, "glycerin"), (2, "glycerins"), (3, "zzz"), (4, None)], "k long, term string")
+    assert sorted(map(tuple, vector_join.verified(items, "term", index, 0.5).collect())) == [(1, "glycerin"), (2, "glycerin")]
+    kept = {r["k"]: r["term"] for r in vector_join.verified(items, "term", index, 0.5, keep=True).collect()}
+    assert kept == {1: "glycerin", 2: "glycerin", 3: None, 4: None}
+
+
+class Noting(vector_join.NgramEncoder):
+    """Notes in a file what it encodes."""
+
+    def __init__(self, path, dimension=1 << 20):
+        super().__init__(dimension)
+        self.path = path
+
+    def encode_sparse(self, texts):
+        with open(self.path, "a") as f:
+            f.write("".join(t + "\n" for t in texts))
+        return super().encode_sparse(texts)
+
+
+def test_vector_index_encodes_only_what_is_new(spark, tmp_path):
+    noted = tmp_path / "noted"
+    noted.touch()
+    encoder = Noting(str(noted))
+    have = lambda *x: {r["id"] for r in refresh.vector_index(spark.createDataFrame([(t,) for t in x], "t string"), "t", str(tmp_path / "index"), "words", encoder, merge_after=3).collect()}
+    taken = lambda: sorted(noted.read_text().split())
+    assert have("aqua", "aqua", None, "oil") == {"aqua", "oil"} and taken() == ["aqua", "oil"]
+    assert have("oil", "aqua") == {"aqua", "oil"} and taken() == ["aqua", "oil"]
+    assert have("oil", "wax") == {"oil", "wax"} and taken() == ["aqua", "oil", "wax"]
+    assert have("oil", "aqua", "wax") == {"oil", "aqua", "wax"} and taken() == ["aqua", "aqua", "oil", "wax"]  # a token that was removed
+    assert have("gel") == {"gel"}  # merged: one version without parts
+    assert have("gel", "oil") == {"gel", "oil"}
+    folder = next((tmp_path / "index").iterdir())
+    assert len(list(folder.iterdir())) == 5
+    other = refresh.vector_index(spark.createDataFrame([("gel",)], "t string"), "t", str(tmp_path / "index"), "words", Noting(str(noted), 64))
+    assert max(other.first()["features"]) < 64 and len(list((tmp_path / "index").iterdir())) == 2
+
+
+def test_a_stream_encodes_the_dictionary_once(spark, tmp_path):
+    from lexiforge.streaming import streams
+
+    noted = tmp_path / "noted"
+    noted.touch()
+    encoder = Noting(str(noted))
+    held = {"terms": ["glycerin", "sodium chloride"]}
+    synonyms = spark.createDataFrame([("glycerin", "Polyol")], "synonym string, canonical string")
+    rows = "doc_id string, tokens array<string>"
+
+    def arrive(*lists):
+        spark.createDataFrame([(k, t) for k, t in lists], rows).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows).json(str(tmp_path / "in"))
+        tables = lambda: (spark.createDataFrame([(t,) for t in held["terms"]], "term string"), synonyms)
+        streams.resolve_stream(stream, tables, str(tmp_path / "out"), str(tmp_path / "check"), str(tmp_path / "index"), encoder).awaitTermination()
+        return {r["doc_id"]: (r["ingredients"], r["pollutants"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    assert arrive(("a", ["Glycerin,", "sodium", "chloride"]), ("b", None)) == {"a": (["glycerin", "sodium chloride"], ["Polyol"]), "b": ([], [])}
+    once = ["chloride", "glycerin", "glycerin", "sodium", "sodium chloride"]  # words and terms
+    assert sorted(noted.read_text().splitlines()) == once
+    assert arrive(("c", ["glycerin"]))["c"] == (["glycerin"], ["Polyol"])
+    assert sorted(noted.read_text().splitlines()) == once
+    held["terms"] += ["wax"]
+    assert arrive(("d", ["wax"]))["d"] == (["wax"], [])
+    assert sorted(noted.read_text().splitlines()) == sorted([*once, "wax", "wax"])
