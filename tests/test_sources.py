@@ -1,5 +1,8 @@
+import datetime
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexiforge.sources import readers, sinks
@@ -67,6 +70,45 @@ def test_stream_drops_repeats(spark, tmp_path):
     assert [r["value"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("ts").collect()] == ["a", "b", "a"]
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_stream_in_order_equals_the_batch_window(spark, tmp_path, seed):
+    rnd = random.Random(seed)
+    second = datetime.timedelta(seconds=1)
+    begin = datetime.datetime(2024, 1, 1)
+    rows = [(rnd.choice(["a", "b", None]), begin + second * rnd.randint(0, 600), rnd.choice(["x", "y", None])) for _ in range(300)]
+    rows.sort(key=lambda r: r[1])
+    held = list(rows)
+    for k in range(0, len(rows) - 20, 20):  # out of order, but never by more than what a watermark of ten minutes lets in
+        part = rows[k : k + 40]
+        rnd.shuffle(part)
+        rows[k : k + 40] = part
+    end = [("z", begin + second * 5000, "end"), ("z", begin + second * 9000, "end")]
+    late, none = [("a", begin - second * 9000, "late")], [("a", None, "no time")]
+    schema = "key string, ts timestamp, value string"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    out = streams.stream_without_repeats_in_order(stream, "10 minutes")
+    for batch in (rows[:100], rows[100:220] + none, rows[220:], end[:1], late + end[1:]):
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    expected = streams.without_repeats(spark.createDataFrame(held, schema), "key", ["ts", "value"], "value").collect()
+    told = lambda frame: sorted(((r["key"], r["ts"], r["value"]) for r in frame), key=repr)
+    assert told(r for r in spark.read.parquet(str(tmp_path / "out")).collect() if r["key"] != "z") == told(expected)
+
+
+def test_stream_forgets_idle_keys(spark, tmp_path):
+    second, begin = datetime.timedelta(seconds=1), datetime.datetime(2024, 1, 1)
+    schema = "key string, ts timestamp, value string"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    out = streams.stream_without_repeats_in_order(stream, "1 second", forget_after_seconds=100)
+    for k, batch in enumerate([[("a", 0, "x"), ("a", 3, "x")], [("z", 50, "q")], [("a", 60, "x")], [("z", 1000, "r")], [("a", 1001, "x"), ("z", 1001, "r")], [("z", 2000, "s")]]):
+        spark.createDataFrame([(a, begin + second * t, v) for a, t, v in batch], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["ts"] - begin).seconds for r in spark.read.parquet(str(tmp_path / "out")).where("key = 'a'").collect())
+    assert got == [0, 1001]  # 3 and 60 repeat 0; by 1001 the key was forgotten
+
+
 def test_resolve_stream(spark, tmp_path):
     spark.createDataFrame([("a", ["Aqua"])], "doc_id string, tokens array<string>").write.parquet(str(tmp_path / "in"))
     tokens = spark.readStream.schema("doc_id string, tokens array<string>").parquet(str(tmp_path / "in"))
