@@ -39,10 +39,33 @@ def test_empty_table(nothing, operator):
     assert operator(nothing).count() == 0
 
 
-@pytest.mark.parametrize("operator", [quality_lm.judged, ppm_lang.predicted, packing.packed, line_runs.digest, superminhash.grouped, mixing.placed, pii_votes.spans, passages.repeated])
-def test_nulls_and_repeated_rows(spark, operator):
+_EMPTY, _ABC, _SAME = (hashlib.sha256(x).hexdigest() for x in (b"", b"a b c", b"same text"))
+
+
+@pytest.mark.parametrize(
+    ("operator", "columns", "none", "abc", "same"),
+    [
+        (quality_lm.judged, ["n_words", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"], (0, 0, 0, 0, True, False), (3, 0, 0, 0, True, False), (2, 0, 0, 0, True, False)),
+        (ppm_lang.predicted, ["held_out", "lang_pred", "score"], (False, "und", 0.0), (False, "en", 1.0), (False, "en", 1.0)),
+        (packing.packed, ["piece", "start", "length"], (0, 0, 1), (0, 0, 4), (0, 0, 3)),
+        (line_runs.digest, ["n_lines", "n_dropped", "kept_sha256"], (1, 0, _EMPTY), (1, 0, _ABC), (1, 0, _SAME)),
+        (superminhash.grouped, ["n_shingles", "kept"], (0, True), (1, True), (1, True)),
+        (pii_votes.spans, ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"], (0, 0, 0, 0, _EMPTY, ""), (0, 0, 0, 0, _EMPTY, ""), (0, 0, 0, 0, _EMPTY, "")),
+    ],
+    ids=lambda x: getattr(x, "__name__", ""),
+)
+def test_nulls_and_repeated_rows(spark, operator, columns, none, abc, same):
+    rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "a b c", None, None, None), (None, None, "en", "s", 1), (2, "same text", "en", "s", 1), (2, "same text", "en", "s", 1)]
+    got = sorted(((r["doc_id"], *(r[c] for c in columns)) for r in operator(frame(spark, rows)).collect()), key=repr)
+    assert got == sorted([(1, *none), (1, *none), (None, *abc), (None, *none), (2, *same), (2, *same)], key=repr)
+
+
+@pytest.mark.parametrize(("operator", "kept"), [(quality_lm.keep_good, 0), (line_runs.keep_first_lines, 6), (superminhash.keep_first, 6), (mixing.mixed, 6), (passages.repeated, 0)], ids=lambda x: getattr(x, "__name__", ""))
+def test_stages_on_nulls_and_repeated_rows(spark, operator, kept):
     rows = [(1, None, None, None, None), (1, None, None, None, None), (None, "a b c", None, None, None), (None, None, "en", "s", 1), (2, "same text", "en", "s", 1), (2, "same text", "en", "s", 1)]
-    assert operator(frame(spark, rows)).collect() is not None
+    docs = frame(spark, rows)
+    got = sorted((tuple(r)[:2] for r in operator(docs).collect()), key=repr)
+    assert got == (sorted((r[:2] for r in rows), key=repr) if kept else [])
 
 
 def repeats(w):

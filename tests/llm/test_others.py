@@ -141,7 +141,7 @@ def test_canonical_json(value, text):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert QUERIES.keys() <= __spark_entry__.queries().keys() and ORACLE_SQL.keys() <= __spark_entry__.oracle_sql().keys()
     assert "pipeline" in __spark_entry__.queries()
 
