@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grammar, text, vectors
-from ..operators import dictionary, evaluate, images, layout, nearest, resolve, scan, segment, vector_join
+from ..operators import dictionary, evaluate, images, layout, nearest, pixels, resolve, scan, segment, vector_join
 from ..sources import readers, sinks
 from ..streaming import streams
 
@@ -602,6 +602,25 @@ def downscale_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber", h.alias("h"), w.alias("w")).agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_BOXES} SELECT image_id, box_id, nth::INT AS at, other_id, round(d, 6) AS distance FROM rnk WHERE nth <= 5")
+def box_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.neighbours(boxes(spark, sf_dir)).withColumn("distance", F.round("distance", 6))
+
+
+_LEVELS = "levels AS (SELECT l_partkey AS image_id, ((l_orderkey * 7 + l_quantity::INT * 3) % 256)::INT AS level, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL)"
+
+
+@query(f"""WITH {_LEVELS}, sums AS (SELECT image_id, level, sum(n) OVER upto AS b, sum(n * level) OVER upto AS m, sum(n) OVER every AS n, sum(n * level) OVER every AS a
+  FROM levels WINDOW upto AS (PARTITION BY image_id ORDER BY level), every AS (PARTITION BY image_id)),
+parted AS (SELECT image_id, level, CASE WHEN n > b THEN b * (n - b) * ((m / b - (a - m) / (n - b)) * (m / b - (a - m) / (n - b))) ELSE 0 END AS v FROM sums),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY v DESC, level) AS nth FROM parted)
+SELECT image_id, CASE WHEN v > 0 THEN level ELSE 0 END::INT AS threshold FROM ranked WHERE nth = 1""")
+def pixel_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = ((F.col("l_orderkey") * 7 + F.col("l_quantity").cast("int") * 3) % 256).cast("int")
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("image_id"), level.alias("level")).agg(F.count("*").alias("n"))
+    return pixels.otsu_levels(counts)
+
+
 @query("""SELECT p_partkey, w || ' ' || a || ' x, ' || w || ' ' || b || ' x' AS names
 FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS w, split_part(p_name, ' ', 2) AS a, lower(p_brand) AS b FROM part)""")
 def entry_inside(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiforge.operators import dictionary, evaluate, fuzzy, images, layout, nearest, refresh, resolve, scan, segment, vector_join
+from lexiforge.operators import dictionary, evaluate, fuzzy, images, layout, nearest, pixels, refresh, resolve, scan, segment, vector_join
 
 TERMS = ["aqua", "glycerin", "sodium", "sodium chloride"]
 
@@ -350,3 +350,58 @@ def test_a_stream_encodes_the_dictionary_once(spark, tmp_path):
     held["terms"] += ["wax"]
     assert arrive(("d", ["wax"]))["d"] == (["wax"], [])
     assert sorted(noted.read_text().splitlines()) == sorted([*once, "wax", "wax"])
+
+
+def _placed(spark, places):
+    corner = lambda x, y: {"x": float(x), "y": float(y)}
+    rows = [(i, b, None if x is None else [corner(x, y), corner(x + w, y), corner(x + w, y + 10), corner(x, y + 10)], "t", None) for i, b, x, y, w in places]
+    return spark.createDataFrame(rows, "image_id string, box_id int, polygon array<struct<x:double,y:double>>, text string, level double")
+
+
+def test_neighbours_equal_all_pairs(spark):
+    rnd = random.Random(3)
+    places = [("few", b, rnd.randint(0, 90), rnd.randint(0, 90), 20) for b in range(40)]
+    places += [("many", b, rnd.randint(0, 900), rnd.randint(0, 900), rnd.randint(5, 60)) for b in range(700)]
+    places += [("column", b, 30, 12 * rnd.randint(0, 60), 25) for b in range(300)]
+    places += [("far", b, rnd.randint(0, 50) + (b == 7) * 10**6, rnd.randint(0, 50), 25) for b in range(200)]
+    places += [("same", b, 5, 5, 25) for b in range(90)]
+    places += [("none", b, None, None, 0) for b in range(3)] + [("many", 10**6, None, None, 0)]
+    rnd.shuffle(places)
+    got = {}
+    for r in layout.neighbours(_placed(spark, places)).collect():
+        got.setdefault((r["image_id"], r["box_id"]), []).append((r["at"], r["distance"], r["other_id"]))
+    expected = {}
+    for i, b, x, y, w in places:
+        if x is not None:
+            near = sorted((((x + w - u) ** 2 + (y - v) ** 2) ** 0.5, c) for j, c, u, v, _ in places if j == i and u is not None)[:5]
+            expected[i, b] = [(n + 1, d, c) for n, (d, c) in enumerate(near)]
+    assert {k: sorted(v) for k, v in got.items()} == expected
+
+
+def test_order_and_edges_of_boxes_without_a_place(spark):
+    rows = _placed(spark, [("a", 1, 40, 0, 20), ("a", 2, 0, 0, 35), ("a", 3, None, None, 0), ("b", 1, None, None, 0)])
+    order = {(r["image_id"], r["position"]): (r["box_id"], r["line_id"]) for r in layout.reading_order(rows).collect()}
+    assert order[("a", 2)] == (3, 3) and order[("b", 0)] == (1, 1)
+    assert {(r["image_id"], r["box_id"], r["other_id"]) for r in layout.edges(rows).collect()} <= {("a", 1, 1), ("a", 1, 2), ("a", 2, 1), ("a", 2, 2)}
+    assert layout.reading_order(rows.limit(0)).count() == layout.neighbours(rows.limit(0)).count() == 0
+
+
+def test_bands_equal_whole_images(spark):
+    rnd = np.random.default_rng(5)
+    shapes = {"colour": (61, 47, 3), "gray": (40, 90, 1), "small": (5, 4, 3), "one": (30, 30, 1), "line": (1, 200, 1)}
+    made = {k: (rnd.integers(0, 256, s) if k != "one" else np.full(s, 9)).astype(np.uint8) for k, s in shapes.items()}
+    rows = [(k, *x.shape, bytearray(x.tobytes())) for k, x in made.items()] + [("broken", -1, -1, -1, None), ("empty", 0, 0, 1, bytearray())]
+    pictures = spark.createDataFrame(rows, "image_id string, height int, width int, channels int, pixels binary")
+    parts = pixels.bands(pictures, max_pixels=900, band_pixels=300)
+    assert parts.where("image_id = 'colour'").count() > 3
+    small = pixels.downscaled(parts, to_gray=True)
+    counts = {(r["image_id"], r["level"]): r["n"] for r in pixels.levels(small).collect()}
+    done = {r["image_id"]: np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"]) for r in pixels.assembled(pixels.black_and_white(small)).collect()}
+    plain = {r["image_id"]: np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"], -1) for r in pixels.assembled(pixels.downscaled(parts)).collect()}
+    assert set(done) == set(plain) == set(made)
+    for k, x in made.items():
+        whole = images.downscale(x, 900)
+        assert (plain[k] == whole).all()
+        level = images.gray(whole if x.shape[2] == 3 else whole[..., 0])
+        assert (done[k] == images.otsu(level)).all()
+        assert {a: n for (i, a), n in counts.items() if i == k} == {a: n for a, n in enumerate(np.bincount(level.reshape(-1))) if n}
