@@ -46,17 +46,19 @@ def metrics(predicted: DataFrame, truth: DataFrame, method: str = "exact", key:
     A missed label counts by exact comparison, for the fuzzy method too; tp_rate may exceed 1, as predictions count
     with their doubles.
     """
+    made = predicted.where(F.col(key).isNotNull()).groupBy(key, value).agg(F.count("*").alias("made"))
+    wanted = truth.groupBy(key, value).agg(F.count("*").alias("wanted"))
+    both = wanted.join(made, [key, value], "full")  # either list is read and shuffled once
     if method == "exact":
-        good = truth.select(key, value).distinct()
+        hit = F.col("wanted").isNotNull()
     elif method == "levenshtein":
-        good = fuzzy_best(predicted, truth, key, value, score, least=threshold).select(key, value)
+        good = fuzzy_best(predicted, truth, key, value, score, least=threshold).select(key, value, F.lit(True).alias("hit"))
+        both, hit = both.join(good, [key, value], "left"), F.col("hit").isNotNull()
     else:
         raise ValueError(f"no such method: {method}")
-    hit = predicted.join(good.withColumn("hit", F.lit(1)), [key, value], "left")
-    made = hit.groupBy(key).agg(F.count("hit").alias("tp"), F.count_if(F.col("hit").isNull()).alias("fp"))
-    missed = truth.join(predicted.select(key, value).distinct().withColumn("found", F.lit(1)), [key, value], "left")
-    wanted = missed.groupBy(key).agg(F.count_if(F.col("found").isNull()).alias("fn"), F.count("*").alias("wanted"))
-    return with_rates(wanted.join(made, key, "left").na.fill(0, ["tp", "fp"])).drop("wanted")
+    some = lambda c, when: F.coalesce(F.sum(F.when(when, F.col(c))), F.lit(0)).alias
+    counts = both.groupBy(key).agg(some("made", hit)("tp"), some("made", ~hit)("fp"), some("wanted", F.col("made").isNull())("fn"), F.sum("wanted").alias("wanted"))
+    return with_rates(counts.where("wanted is not null").select(key, "fn", "wanted", "tp", "fp")).drop("wanted")
 
 
 def with_rates(counts: DataFrame) -> DataFrame:

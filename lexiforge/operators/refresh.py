@@ -19,13 +19,17 @@ def content_key(df: DataFrame) -> str:
     return f"{got['n']}-{got['s']}-{got['x'] & (1 << 64) - 1:x}".replace("--", "-m")
 
 
+def finished(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def ensured(source: DataFrame, build: Callable[[DataFrame], DataFrame], folder: str, *also: DataFrame) -> DataFrame:
     """build(source), from the snapshot of equal content if there is one. also: other tables that build reads. Snapshots are never overwritten, so readers keep theirs."""
     spark = source.sparkSession
     path = f"{folder.rstrip('/')}/{'_'.join(content_key(x) for x in (source, *also))}"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+    if not finished(spark, path):
         build(source).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

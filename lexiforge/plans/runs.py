@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text
 from ..operators import dictionary, evaluate, images, layout, nearest, refresh, resolve, vector_join
@@ -77,23 +78,53 @@ def results(docs: DataFrame, terms: DataFrame, synonyms: DataFrame, settings: Se
     return resolve.resolved(docs, terms, wanted, correct=settings.correct_words, word_threshold=settings.word_threshold, token_threshold=settings.token_threshold, encoder=encoder, **held)
 
 
-def from_images(pictures: DataFrame, make: Callable[[], images.Recogniser], terms: DataFrame, synonyms: DataFrame, folder: str, settings: Settings | None = None) -> DataFrame:
+def from_images(pictures: DataFrame, make: Callable[[], images.Recogniser], terms: DataFrame, synonyms: DataFrame, folder: str, settings: Settings | None = None, run: str | None = None, seen: Observation | None = None, encoder=None) -> DataFrame:
     """doc_id, ingredients, pollutants, error: a row for each image (readers.images or readers.decoded_images; each image_id once).
 
     Recognition is the costly part, so it runs once: what it finds is written to a folder of this run's own below `folder`, and layout and resolving
     read that; vectors of terms are kept there too, for all runs. An image with an error has null lists, one without text empty ones.
+    run: a name for the run's folder; a run of that name that has finished recognition isn't recognised again. seen: gets the numbers of images, failed and boxes from the pass that writes them
+    (with a recognised run there is no such pass, and it gets nothing).
     """
     settings = settings or Settings()
-    path = f"{folder}/recognised/{uuid.uuid4().hex}"
-    images.recognised(pictures, make, dict.fromkeys(settings.steps, True), settings.max_pixels).write.parquet(path)
+    path = f"{folder}/recognised/{run or uuid.uuid4().hex}"
+    if not (run and refresh.finished(pictures.sparkSession, path)):
+        rows = images.recognised(pictures, make, dict.fromkeys(settings.steps, True), settings.max_pixels)
+        if seen:
+            sizes = F.coalesce(F.sum(F.when(F.col("error").isNull(), F.size("boxes"))), F.lit(0))
+            rows = rows.observe(seen, F.count("*").alias("images"), F.count("error").alias("failed"), sizes.alias("boxes"))
+        rows.write.mode("overwrite").parquet(path)
     rows = pictures.sparkSession.read.parquet(path)
     docs = layout.token_lists(images.exploded(rows)).withColumnRenamed("image_id", "doc_id")
-    found = results(docs, terms, synonyms, settings, f"{folder}/indexes")
+    found = results(docs, terms, synonyms, settings, f"{folder}/indexes", encoder)
     empty = F.array().cast("array<string>")
     lists = [F.when(F.col("error").isNull(), F.coalesce(c, empty)).alias(c) for c in ("ingredients", "pollutants")]
     return rows.select(F.col("image_id").alias("doc_id"), "error").join(found, "doc_id", "left").select("doc_id", *lists, "error")
 
 
+def upload_stream(
+    uploads: DataFrame, make: Callable[[], images.Recogniser], tables: Callable[[], tuple[DataFrame, DataFrame]], folder: str, settings: Settings | None = None, encoder=None
+) -> StreamingQuery:
+    """Recognises and resolves a stream of uploaded images (readers.uploads) batch by batch; results(doc_id, ingredients, pollutants, error, batch) are read by uploaded_results.
+
+    A batch that is cut off runs again under its number and over the same files: its results are there whole or not at all, and it takes what it had recognised, so no image is lost or
+    counted twice. An image that can't be read or recognised is a row with an error, and so doesn't stop the stream. tables: asked anew for each batch, as for resolve_stream.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        terms, synonyms = tables()
+        found = from_images(rows, make, terms, synonyms, folder, settings, run=f"batch={number}", encoder=encoder)
+        sinks.committed({f"batch={number}": found}, f"{folder}/results/part={number}")
+
+    return uploads.writeStream.foreachBatch(batch).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+
+
+def uploaded_results(spark: SparkSession, folder: str) -> DataFrame:
+    """What upload_stream has written so far."""
+    kinds = "doc_id string, ingredients array<string>, pollutants array<string>, error string, batch long"
+    return spark.read.schema(kinds).option("basePath", f"{folder}/results").parquet(f"{folder}/results/part=*")
+
+
 def scores(found: DataFrame, truth: DataFrame, settings: Settings | None = None) -> DataFrame:
     """Metrics of each labelled product (id, inci_list) against the results of the same name. Products without a result count as found empty; results without a product are left out."""
     settings = settings or Settings()
@@ -104,11 +135,12 @@ def scores(found: DataFrame, truth: DataFrame, settings: Settings | None = None)
 
 
 def evaluated(spark: SparkSession, found: DataFrame, truth_folder: str, out: str, settings: Settings | None = None) -> tuple[float | None, float | None]:
-    """Scores results against a folder of labels, writes the scores and the run's description below `out`, and returns accuracy and F1."""
+    """Scores results against a folder of labels, writes the scores and the run's description below `out`, and returns accuracy and F1. Both means are observed in the pass that writes the scores."""
     settings = settings or Settings()
-    run = sinks.run_id(spark)
-    path = f"{out}/scores/{run.replace(':', '-')}"
-    scores(found, readers.ground_truth(spark, truth_folder), settings).write.mode("overwrite").parquet(path)
-    mean = evaluate.macro(spark.read.parquet(path)).first()
-    sinks.run_info(spark, f"{out}/runs", run, settings.method, mean["accuracy"], mean["f1_score"], {k: str(v) for k, v in asdict(settings).items()})
-    return mean["accuracy"], mean["f1_score"]
+    run, mean = sinks.run_id(spark), Observation("macro")
+    rows = scores(found, readers.ground_truth(spark, truth_folder), settings)
+    means = (F.bround(F.avg("tp_rate"), 2).alias("accuracy"), F.bround(F.avg("f1"), 2).alias("f1_score"))
+    rows.observe(mean, *means).write.mode("overwrite").parquet(f"{out}/scores/{run.replace(':', '-')}")
+    got = mean.get
+    sinks.run_info(spark, f"{out}/runs", run, settings.method, got["accuracy"], got["f1_score"], {k: str(v) for k, v in asdict(settings).items()})
+    return got["accuracy"], got["f1_score"]

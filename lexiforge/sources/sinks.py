@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +18,53 @@ def dictionary(terms: DataFrame, path: str) -> None:
     terms.select("term").orderBy("term").write.mode("overwrite").json(path)
 
 
+def committed(tables: dict[str, DataFrame], path: str) -> None:
+    """Writes the tables as Parquet in folders of their names below `path`, all or none of them.
+
+    They are written to a hidden folder beside it, which takes its place by a rename when the last is done, so nobody reads a part of a run, and a run that fails leaves
+    nothing. What was at `path` stays until then.
+    """
+    _replace(next(iter(tables.values())).sparkSession, path, lambda at: [frame.write.parquet(f"{at}/{name}") for name, frame in tables.items()])
+
+
+def _replace(spark: SparkSession, path: str, write, pick=lambda files, at: at) -> None:
+    """Lets write(folder) fill a hidden folder, and renames what pick(files, folder) names in it to `path`."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    end = place(path)
+    files = end.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    aside = place(end.getParent(), f".{end.getName()}-{uuid.uuid4().hex}")
+    try:
+        write(aside.toString())
+        made = pick(files, aside)
+        files.delete(end, True)
+        if not files.rename(made, end):
+            raise OSError(f"cannot rename {made.toString()} to {path}")
+    finally:
+        files.delete(aside, True)
+
+
+def _array_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = None  # a line waits for the next one, which decides on its comma
+    yield pa.record_batch({"value": ["["]})
+    for batch in batches:
+        for term in batch.column(0).drop_null().to_pylist():
+            if held is not None:
+                yield pa.record_batch({"value": [f"{held},"]})
+            held = json.dumps(term, ensure_ascii=False)
+    yield pa.record_batch({"value": ["]"] if held is None else [held, "]"]})
+
+
+def json_array(terms: DataFrame, path: str) -> None:
+    """Distinct terms in order of their characters as one file that holds one JSON array, the form that readers.json_list takes. The file is there whole or not at all.
+
+    One file is written by one task, which sorts with spilling and holds a line; dictionary() writes in parallel. Null terms are left out.
+    """
+    none = terms.sparkSession.range(1).select(F.lit(None).cast("string").alias("term"))  # so that there is a task for an empty table too
+    lines = terms.select("term").union(none).distinct().repartition(1).sortWithinPartitions("term").mapInArrow(_array_lines, "value string")
+    part = lambda files, at: next(x.getPath() for x in files.listStatus(at) if x.getPath().getName().startswith("part-"))
+    _replace(terms.sparkSession, path, lambda at: lines.write.text(at), part)
+
+
 def synonyms(synonym_map: DataFrame, path: str, refresh: bool = False) -> None:
     """The synonym map; an existing one stays unless refresh."""
     synonym_map.write.mode("overwrite" if refresh else "ignore").parquet(path)

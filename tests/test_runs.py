@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import pytest
+from pyspark.sql import Observation
 
 from lexiforge.plans import runs
 
@@ -100,3 +101,75 @@ def test_from_images_to_results(spark, tmp_path):
 def test_steps_are_checked():
     with pytest.raises(ValueError, match="rotate"):
         runs.Settings(steps=("gray", "rotate"))
+
+
+def test_uploads_survive_a_restart(spark, tmp_path):
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    told = str(asked)  # a recogniser in a worker leaves a file for each image that it was asked about
+
+    class Reads:
+        def recognise(self, image):
+            import os
+            import uuid
+
+            text = image.decode()
+            open(os.path.join(told, f"{text.replace(' ', '_')}-{uuid.uuid4().hex}"), "w").close()
+            if not text.strip():
+                raise RuntimeError("blank")
+            return [([(0, 0), (9, 0), (9, 9), (0, 9)], text, None)]
+
+    put = lambda name, content: ((tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True), (tmp_path / "in" / name).write_bytes(content))
+    terms = spark.createDataFrame([("aqua",), ("nylon 12",)], "term string")
+    synonyms = spark.createDataFrame([("nylon 12", "Polyamid")], "synonym string, canonical string")
+    calls = []
+
+    def tables():
+        calls.append(1)
+        return terms, (synonyms if len(calls) > 1 else synonyms.selectExpr("synonym", "raise_error('cut off') as canonical"))
+
+    def run():
+        runs.upload_stream(runs.readers.uploads(spark, str(tmp_path / "in")), Reads, tables, str(tmp_path / "out")).awaitTermination()
+
+    got = lambda: sorted((r["doc_id"].rsplit("/in/")[-1], r["ingredients"], r["error"]) for r in runs.uploaded_results(spark, str(tmp_path / "out")).collect())
+    put("x/a.png", b"Aqua")
+    put("y/a.png", b"Nylon 12")
+    put("b.jpg", b" ")
+    put("f.png", b"")  # Spark's file sources leave out files of no bytes
+    put("c.png", b"\xff\xfe")
+    put("d.txt", b"Aqua")
+    with pytest.raises(Exception, match="cut off"):
+        run()
+    run()
+    first = got()
+    assert [(n, i) for n, i, _ in first] == [("b.jpg", None), ("c.png", None), ("x/a.png", ["aqua"]), ("y/a.png", ["nylon 12"])]
+    assert first[0][2] == "RuntimeError: blank" and first[1][2].startswith("UnicodeDecodeError")
+    assert len(list(asked.iterdir())) == 3  # recognised once, though the batch ran twice
+    run()
+    assert got() == first
+    put("e.png", b"Aqua")
+    put("x/a.png", b"other")  # a path that was read
+    run()
+    assert got() == sorted([*first, ("e.png", ["aqua"], None)], key=lambda r: r[0])
+
+
+def test_images_are_counted_as_they_are_written(spark, tmp_path):
+    class Reads:
+        def recognise(self, image):
+            return [([(0, 0), (9, 0), (9, 9), (0, 9)], x, None) for x in image.decode().split()]
+
+    pictures = spark.createDataFrame([("a", b"x y"), ("b", b""), ("c", b"\xff")], "image_id string, content binary")
+    terms, synonyms = spark.createDataFrame([("aqua",)], "term string"), spark.createDataFrame([], "synonym string, canonical string")
+    seen = Observation("images")
+    runs.from_images(pictures, Reads, terms, synonyms, str(tmp_path), run="one", seen=seen)
+    assert seen.get == {"images": 3, "failed": 1, "boxes": 2}
+
+
+def test_scores_read_their_input_once(spark):
+    predicted = spark.createDataFrame([("a", "x"), ("a", "x"), ("a", "y"), ("a", None), (None, "x"), ("z", "x")], "image_id string, item string")
+    truth = spark.createDataFrame([("a", "x"), ("a", "q"), ("a", "q"), ("a", None), ("b", "x"), (None, "x")], "image_id string, item string")
+    found = runs.evaluate.metrics(predicted, truth)
+    got = {r["image_id"]: (r["tp"], r["fp"], r["fn"], r["tp_rate"]) for r in found.collect()}
+    assert got == {"a": (2, 2, 3, 0.5), "b": (0, 0, 1, 0.0), None: (0, 0, 1, 0.0)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 2

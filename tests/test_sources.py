@@ -1,6 +1,7 @@
 import datetime
 import json
 import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -124,3 +125,80 @@ def test_barcodes(spark, tmp_path):
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "codes")).collect()) == ["0083", "4012"]
     sinks.barcodes(rows.limit(0), "code", str(tmp_path / "codes"))
     assert spark.read.text(str(tmp_path / "codes")).count() == 0
+
+
+def _workbook(path, rows):
+    """A workbook of one sheet: text through the shared strings, or in place where it begins with an i; numbers and blank cells."""
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    shared, lines = [], []
+    for n, row in rows.items():
+        cells = ""
+        for c, v in enumerate(row):
+            at = f'r="{"ABCDE"[c]}{n}"'
+            if isinstance(v, str) and v.startswith("i"):
+                cells += f'<c {at} t="inlineStr"><is><t>{v}</t></is></c>'
+            elif isinstance(v, str):
+                cells += f'<c {at} t="s"><v>{len(shared)}</v></c>'
+                shared.append(f"<si><r><t>{v[:1]}</t></r><r><t>{v[1:]}</t></r></si>")
+            elif v is not None:
+                cells += f"<c {at}><v>{v}</v></c>"
+        lines.append(f'<row r="{n}">{cells}</row>')
+    with zipfile.ZipFile(path, "w") as book:
+        book.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{rel}"><sheets><sheet name="x" sheetId="1" r:id="rId7"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId7" Target="worksheets/sheet3.xml"/></Relationships>')
+        book.writestr("xl/worksheets/sheet3.xml", f"<worksheet {main}><sheetData>{''.join(lines)}</sheetData></worksheet>")
+        if shared:
+            book.writestr("xl/sharedStrings.xml", f"<sst {main}>{''.join(shared)}</sst>")
+
+
+def test_workbooks(spark, tmp_path):
+    _workbook(tmp_path / "a.xlsx", {1: ["n", "name", "also"], 2: [1, "Aqua", "x"], 4: [2.5, None, "nylon 6\nnylon 12"], 5: [3, "in place"], 6: [4, 7]})
+    _workbook(tmp_path / "b.xlsx", {1: ["n", "name"]})
+    _workbook(tmp_path / "c.xlsx", {})
+    _workbook(tmp_path / "d.xlsx", {1: ["n", "name"], 2: [1.5, 2.5]})
+    many = readers.dictionary_sheet(spark, str(tmp_path / "*.xlsx"))
+    assert [(r["row"], r["name"]) for r in many.orderBy("row").collect()] == [(0, "Aqua"), (1, None), (2, None), (3, "in place"), (4, "7"), (5, "2.5")]
+    assert many.select("name").rdd.getNumPartitions() >= 1
+    one = readers.pollutant_sheet(spark, str(tmp_path / "a.xlsx")).orderBy("row").collect()
+    assert [(r["canonical"], r["synonyms"]) for r in one][:3] == [("Aqua", "x"), (None, None), (None, "nylon 6\nnylon 12")]
+    (tmp_path / "broken.xlsx").write_bytes(b"PK no")
+    with pytest.raises(Exception, match="not a workbook: .*broken.xlsx"):
+        readers.dictionary_sheet(spark, str(tmp_path / "*.xlsx")).collect()
+
+
+def test_yaml_maps(spark, tmp_path):
+    (tmp_path / "a.yml").write_text("a: x\nb:\na: y\n")
+    (tmp_path / "b.yml").write_text("# nothing\n")
+    assert {tuple(r) for r in readers.yaml_map(spark, str(tmp_path)).collect()} == {("a", "y"), ("b", None)}
+    for text in ("- a\n- b\n", "a: [\n"):
+        (tmp_path / "c.yml").write_text(text)
+        with pytest.raises(Exception, match="not a YAML mapping: .*c.yml"):
+            readers.yaml_map(spark, str(tmp_path)).collect()
+
+
+def test_json_array_is_one_file(spark, tmp_path):
+    path = tmp_path / "terms.json"
+    terms = spark.createDataFrame([("b",), ('say "ü"',), ("a",), (None,), ("a",)], "term string")
+    sinks.json_array(terms, str(path))
+    assert json.loads(path.read_text()) == ["a", "b", 'say "ü"']
+    assert [r["term"] for r in readers.json_terms(spark, str(path)).collect()] == ["a", "b", 'say "ü"']
+    sinks.json_array(terms.limit(0), str(path))
+    assert json.loads(path.read_text()) == []
+    with pytest.raises(Exception, match="no more"):
+        sinks.json_array(terms.selectExpr("if(term = 'b', raise_error('no more'), term) as term"), str(path))
+    assert json.loads(path.read_text()) == [] and [p.name for p in tmp_path.iterdir() if "terms.json-" in p.name] == []
+
+
+def test_a_failed_task_leaves_no_partial_run(spark, tmp_path):
+    good = spark.range(100)
+    bad = spark.range(100).selectExpr("if(id = 70, raise_error('lost'), id) as id")
+    at = str(tmp_path / "run")
+    with pytest.raises(Exception, match="lost"):
+        sinks.committed({"a": good, "b": bad}, at)
+    assert list(tmp_path.iterdir()) == []
+    sinks.committed({"a": good, "b": good}, at)
+    with pytest.raises(Exception, match="lost"):
+        sinks.committed({"a": good.limit(1), "b": bad}, at)
+    assert spark.read.parquet(f"{at}/a").count() == spark.read.parquet(f"{at}/b").count() == 100
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["run"]
