@@ -17,7 +17,7 @@ from ..sources import readers, sinks
 
 @dataclass(frozen=True)
 class Settings:
-    """What a run can be told. detection: pollutants and dictionary terms (both), or dictionary terms alone (ingredients). steps: of preparing images, by name."""
+    """What a run can be told. detection: pollutants and dictionary terms (both), or dictionary terms alone (ingredients). layout_factor: how near boxes of a line are, against the mean and deviation of a box's nearest ones. steps: of preparing images, by name."""
 
     detection: str = "both"
     method: str = "levenshtein"
@@ -28,6 +28,7 @@ class Settings:
     word_threshold: float = 0.8
     token_threshold: float = 0.8
     max_pixels: int = images.MAX_PIXELS
+    layout_factor: float = layout.FACTOR
     steps: tuple[str, ...] = ()
 
     def __post_init__(self) -> None:
@@ -95,7 +96,7 @@ def from_images(pictures: DataFrame, make: Callable[[], images.Recogniser], term
             rows = rows.observe(seen, F.count("*").alias("images"), F.count("error").alias("failed"), sizes.alias("boxes"))
         rows.write.mode("overwrite").parquet(path)
     rows = pictures.sparkSession.read.parquet(path)
-    docs = layout.token_lists(images.exploded(rows)).withColumnRenamed("image_id", "doc_id")
+    docs = layout.token_lists(images.exploded(rows), settings.layout_factor).withColumnRenamed("image_id", "doc_id")
     found = results(docs, terms, synonyms, settings, f"{folder}/indexes", encoder)
     empty = F.array().cast("array<string>")
     lists = [F.when(F.col("error").isNull(), F.coalesce(c, empty)).alias(c) for c in ("ingredients", "pollutants")]

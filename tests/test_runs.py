@@ -173,3 +173,18 @@ def test_scores_read_their_input_once(spark):
     assert got == {"a": (2, 2, 3, 0.5), "b": (0, 0, 1, 0.0), None: (0, 0, 1, 0.0)}
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") == 2
+
+
+def test_the_layout_factor_is_a_setting(spark, tmp_path):
+    class Reads:
+        def recognise(self, image):
+            box = lambda x, y: [(x, y), (x + 10, y), (x + 10, y + 10), (x, y + 10)]
+            return [(box(0, 2), "Sodium", None), (box(12, 0), "chloride", None)]
+
+    pictures = spark.createDataFrame([("a", b"x")], "image_id string, content binary")
+    terms, synonyms = spark.createDataFrame([("sodium chloride",)], "term string"), spark.createDataFrame([], "synonym string, canonical string")
+    (tmp_path / "apart.yml").write_text("layout_factor: 0.0\n")
+    found = {}
+    for name, settings in (("joined", None), ("apart", runs.Settings.read(str(tmp_path / "apart.yml")))):
+        found[name] = runs.from_images(pictures, Reads, terms, synonyms, str(tmp_path / "out"), settings).first()["ingredients"]
+    assert found == {"joined": ["sodium chloride"], "apart": []}
