@@ -47,6 +47,16 @@ def test_neighbours_recall(spark):
         assert len(pairs) == 20 and all(abs(s - x[q] @ x[v]) < 1e-9 for v, s in pairs) and q not in dict(pairs)
 
 
+def test_recall_for_queries_unlike_the_rows(spark):
+    rng = np.random.default_rng(2)
+    ids = np.arange(4000)
+    x = rng.normal(size=(80, 32))[rng.integers(0, 80, 4000)] + 0.3 * rng.normal(size=(4000, 32))
+    x[::20] = rng.normal(size=(200, 32))
+    got, true = found(posting_ann.neighbours(vectors(spark, ids, x))), exact(ids, x)
+    hits = sum(len({v for v, _ in got[q]} & {v for v, _ in true[q]}) for q in true)
+    assert hits / sum(map(len, true.values())) >= 0.9
+
+
 def test_copies_and_ties(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8))
