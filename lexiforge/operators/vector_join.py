@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from . import nearest
 
 #: Bytes of keys that go to every executor; more are dealt into blocks.
-BLOCK_BYTES = 64_000_000
+BLOCK_BYTES = 32_000_000
+#: Queries, and keys, whose products are in memory at a time.
+TILE = 1024
 _SCHEMA = "query_id {q}, key_id {k}, score double"
 
 
@@ -24,11 +26,15 @@ def _matrix(column) -> np.ndarray:
 
 def _best(q: np.ndarray, keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each query the key of the largest inner product, ties to the smaller id; ids ascend."""
-    at, score = np.zeros(len(q), dtype=np.int64), np.zeros(len(q))
-    for k in range(0, len(q), 1024):
-        s = np.round(q[k : k + 1024] @ keys.T, 11)
-        at[k : k + 1024] = s.argmax(axis=1)
-        score[k : k + 1024] = s.max(axis=1)
+    at, score = np.zeros(len(q), dtype=np.int64), np.full(len(q), -np.inf)
+    for k in range(0, len(q), TILE):
+        rows = np.arange(k, min(k + TILE, len(q)))
+        for j in range(0, len(keys), TILE):
+            s = np.round(q[k : k + TILE] @ keys[j : j + TILE].T, 11)
+            best = s.argmax(axis=1)
+            value = s[np.arange(len(s)), best]
+            over = (value > score[rows]) | (j == 0)
+            at[rows[over]], score[rows[over]] = j + best[over], value[over]
     return ids[at], score
 
 

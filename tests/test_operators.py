@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
@@ -187,6 +188,19 @@ def test_top1_broadcast_and_blocks_agree(spark, monkeypatch):
     assert vector_join.top1(queries, keys.where("id < 0")).count() == 0
 
 
+def test_top1_holds_few_products_at_a_time():
+    rng = np.random.default_rng(1)
+    q, keys = rng.integers(-9, 10, (2100, 4)).astype(float), rng.integers(-9, 10, (40_000, 4)).astype(float)
+    tracemalloc.start()
+    ids, score = vector_join._best(q, keys, np.arange(len(keys)) * 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    for k in (0, 1023, 1024, 2099):
+        s = keys @ q[k]
+        assert (ids[k], score[k]) == (2 * s.argmax(), s.max())
+
+
 def test_typo_correction(spark):
     words = spark.createDataFrame([("glycerin",), ("sodium",), ("aqua",), ("oil",)], "word string")
     seen = spark.createDataFrame([("glycerni",), ("0il",), ("zzzz",), (None,)], "seen string")
