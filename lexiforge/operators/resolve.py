@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -23,6 +23,17 @@ def without_redundant(items: DataFrame, key: str, value: str, order: str = "seq"
     return items.withColumn("drop_item", F.coalesce(drop, F.lit(False))).where("not drop_item").drop("drop_item")
 
 
+def _not_redundant(values: str) -> Column:
+    """What without_redundant() leaves of an array (a column's name) without nulls."""
+    a = F.col(values)
+
+    def stays(v: Column, i: Column) -> Column:
+        before = F.split(text.strip(F.get(a, i - 1)), r"(?U)\s+")
+        return F.coalesce((i == 0) | (i == F.size(a) - 1) | (F.size(before) < 2) | ~F.array_contains(before, v), F.lit(True))
+
+    return F.filter(a, stays)
+
+
 def canonicals(items: DataFrame, synonym_map: DataFrame, key: str, value: str, order: str = "seq") -> DataFrame:
     """key, canonical, seq: the substances that the items name, each once a group, in order of first mention."""
     known = synonym_map.select(F.col("synonym").alias("named"), "canonical")
@@ -44,10 +55,14 @@ def resolved(docs: DataFrame, dictionary: DataFrame, synonym_map: DataFrame | No
     clean = docs.select(key, text.clean_tokens(F.col(tokens)).alias("text"))
     if correct:
         clean = vector_join.corrected_texts(clean, dictionaries.vocabulary(dictionary), key, "text", word_threshold, encoder, word_index)
-    found = segment.term_lists(clean, dictionary, key, "text", most_words).select(key, F.posexplode_outer("terms").alias("seq", "term"))
+    found = segment.term_lists(clean, dictionary, key, "text", most_words)
     if token_index is not None:
-        found = vector_join.verified(found, "term", token_index, token_threshold, encoder, keep=True)
-    items = without_redundant(ordered_distinct(found, key, "term"), key, "term")
+        each = found.select(key, F.posexplode_outer("terms").alias("seq", "term"))
+        each = vector_join.verified(each, "term", token_index, token_threshold, encoder, keep=True)
+        some = F.when(F.col("term").isNotNull(), F.struct("seq", "term"))
+        found = each.groupBy(key).agg(F.array_sort(F.collect_list(some)).alias("x")).select(key, F.col("x.term").alias("terms"))
+    once = found.select(key, F.array_distinct("terms").alias("terms"))
+    items = once.select(key, F.posexplode_outer(_not_redundant("terms")).alias("seq", "term"))
     if synonym_map is None:
         named = items.withColumn("canonical", F.lit(None).cast("string"))
     else:

@@ -361,9 +361,7 @@ def resolve_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = part_terms(spark, sf_dir)
     clean = listed(spark, sf_dir, lossy).select("doc_id", text.clean_tokens(F.col("tokens")).alias("text"))
     fixed = vector_join.corrected_texts(clean, dictionary.vocabulary(terms), "doc_id", encoder=vector_join.LetterEncoder())
-    found = resolve.ordered_distinct(segment.longest(fixed, terms), "doc_id", "term")
-    lists = found.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "term"))), lambda x: x["term"]), "|").alias("terms"))
-    return clean.select("doc_id").join(lists, "doc_id", "left").select("doc_id", F.coalesce("terms", F.lit("")).alias("terms"))
+    return segment.term_lists(fixed, terms).select("doc_id", F.array_join(F.array_distinct("terms"), "|").alias("terms"))
 
 
 # every third item is one word; the index of tokens has whole names only
