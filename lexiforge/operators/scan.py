@@ -3,7 +3,8 @@
 From each place of a text the walk goes on as long as what it has read begins some term. What matters of it are how far it goes and the longest term on
 the way. Both come from equi-joins of the text's substrings with the prefixes, a few lengths at a time: only places whose walk has gone
 through all lengths so far are joined with the next ones, so most places are joined with the first few lengths only. One pass over a text's places
-from left to right then cuts it. The dictionary may be of any size; it is joined, not shipped.
+from left to right then cuts it. So the dictionary may be of any size. The prefixes of one of at most SHIPPED characters go to the tasks instead, and
+only places at which a piece may begin are walked from.
 """
 
 from __future__ import annotations
@@ -13,9 +14,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters joined in the first step; each later one goes as far again as all before it.
 STRIDE = 4
+#: Characters of all terms together, and so at most prefixes, up to which these go to the tasks.
+SHIPPED = 200_000
 
 
 def prefixes(dictionary: DataFrame) -> DataFrame:
@@ -25,6 +29,7 @@ def prefixes(dictionary: DataFrame) -> DataFrame:
     return each.groupBy(F.left("term", F.col("n")).alias("prefix")).agg(F.max(F.col("n") == F.length("term")).alias("is_term"))
 
 
+_PIECES = pa.list_(pa.struct([("piece", pa.string()), ("is_term", pa.bool_())]))
 _TEXT = ["h", "i"]  # 128 bits of a text's hash stand for it in the joins
 
 
@@ -51,7 +56,7 @@ def walks(texts: DataFrame, known: DataFrame, longest: int) -> DataFrame:
     return every
 
 
-def cut(s: str, walk: dict[int, tuple[int, int]]) -> list[tuple[str, bool]]:
+def cut(s: str, walk: dict[int, tuple[int, int]] | Walk) -> list[tuple[str, bool]]:
     """The pieces of s and whether each is a term. walk: characters walked and the longest term's length, by place.
 
     A term takes the one character after it along. A walk that meets the end of the text short of a term gives nothing and goes on at the
@@ -84,6 +89,23 @@ def cut(s: str, walk: dict[int, tuple[int, int]]) -> list[tuple[str, bool]]:
     return [("".join(p).strip(), t) for p, t in out]
 
 
+class Walk:
+    """walks() of one text, from the places asked for. known: each prefix of a term, and whether it is one."""
+
+    def __init__(self, s: str, known: dict[str, bool]) -> None:
+        self.s, self.known = s, known
+
+    def get(self, at: int, default: tuple[int, int]) -> tuple[int, int]:
+        walked, term = default
+        for end in range(at + 1, len(self.s) + 1):
+            is_term = self.known.get(self.s[at:end])
+            if is_term is None:
+                break
+            walked = end - at
+            term = walked if is_term else term
+        return walked, term
+
+
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, found = batch.column("t").to_pylist(), []
@@ -93,12 +115,24 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 known = far.get(x["at"], (0, 0))
                 far[x["at"]] = max(known[0], x["walked"]), max(known[1], x["term"])
             found.append(cut(t, far))
-        pieces = pa.array([[{"piece": p, "is_term": k} for p, k in f] for f in found], pa.list_(pa.struct([("piece", pa.string()), ("is_term", pa.bool_())])))
+        pieces = pa.array([[{"piece": p, "is_term": k} for p, k in f] for f in found], _PIECES)
         yield pa.record_batch([batch.column("h"), batch.column("i"), pieces], names=["h", "i", "p"])
 
 
 def by_characters(docs: DataFrame, dictionary: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """key, seq, piece, is_term: the pieces of each text, character by character (see cut). Equal texts are cut once; a null or empty text has no pieces."""
+    """key, seq, piece, is_term: the pieces of each text, character by character (see cut). A null or empty text has no pieces. Where the dictionary is joined, equal texts are cut once."""
+    terms = dictionary.select("term").where(F.length("term") > 0).distinct()
+    if (terms.agg(F.sum(F.length("term"))).first()[0] or 0) <= SHIPPED:
+        held = docs.sparkSession.sparkContext.broadcast({r["prefix"]: r["is_term"] for r in prefixes(dictionary).collect()})
+
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [[{"piece": p, "is_term": k} for p, k in cut(t, Walk(t, held.value))] for t in (x or "" for x in batch.column(1).to_pylist())]
+                yield pa.record_batch([batch.column(0), pa.array(found, _PIECES)], names=[key, "p"])
+
+        kind = T.StructType([docs.schema[key], T.StructField("p", T.ArrayType(T.StructType([T.StructField("piece", T.StringType()), T.StructField("is_term", T.BooleanType())])))])
+        cut_up = docs.select(key, column).mapInArrow(pieces, kind)
+        return cut_up.select(key, F.posexplode("p").alias("seq", "p")).select(key, "seq", "p.piece", "p.is_term")
     longest = dictionary.agg(F.max(F.length("term"))).first()[0] or 0  # how many steps the plan has
     asked = docs.select(key, F.col(column).alias("t")).where(F.length("t") > 0).withColumns({"h": F.xxhash64(F.lit(1), "t"), "i": F.xxhash64(F.lit(2), "t")})
     texts = asked.groupBy(*_TEXT).agg(F.first("t").alias("t"))

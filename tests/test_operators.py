@@ -175,6 +175,37 @@ def test_reading_order(spark):
     assert got == {"a": ["w1", "w3", "w2", "w4", "w0", "w5"], "b": ["w0"]}
 
 
+def _joins(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Join")
+
+
+def test_small_dictionaries_are_not_joined_with_texts(spark, monkeypatch):
+    rnd = random.Random(3)
+    terms = spark.createDataFrame([("a b",), ("b c d",), ("d",), ("ab",), ("abc",), ("c  d",), (None,), ("",)], "term string")
+    texts = [" ".join(rnd.choice(["a", "b", "c", "d", "ab", "abc", "\x1c", "x"]) for _ in range(rnd.randint(0, 9))) for _ in range(60)] + [None, "", " \u00a0a\u2003b\td "]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ways = [segment.longest, segment.term_lists, scan.by_characters]
+    small = [f(docs, terms) for f in ways]
+    assert [_joins(x) for x in small] == [0, 0, 0]
+    monkeypatch.setattr(segment, "SHIPPED", 0)
+    monkeypatch.setattr(scan, "SHIPPED", 0)
+    for a, f in zip(small, ways, strict=True):
+        b = f(docs, terms)
+        assert _joins(b) > 0 and a.dtypes == b.dtypes and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_redundant_words_in_arrays(spark):
+    rnd = random.Random(4)
+    lists = [[rnd.choice(["a", "b", "a b", "b c", "c", "a  b"]) for _ in range(rnd.randint(0, 7))] for _ in range(80)]
+    rows = spark.createDataFrame([(k, list(dict.fromkeys(x))) for k, x in enumerate(lists)], "doc_id long, terms array<string>")
+    got = {r[0]: r[1] for r in rows.select("doc_id", resolve._not_redundant("terms")).collect()}
+    apart = resolve.without_redundant(rows.select("doc_id", F.posexplode("terms").alias("seq", "term")), "doc_id", "term").orderBy("doc_id", "seq").collect()
+    want = {k: [] for k in range(80)}
+    for r in apart:
+        want[r["doc_id"]].append(r["term"])
+    assert got == want
+
+
 def test_top1_broadcast_and_blocks_agree(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(60, 8))
