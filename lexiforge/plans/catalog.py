@@ -447,6 +447,15 @@ def typo_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- evaluation ---------------------------------------------------------------------------------------------------------
 
 
+#: Order lines of a task.
+_LINES_A_TASK = 250_000
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> int:
+    """Into how many parts order lines are dealt: their number is known from the files' ends."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-table(spark, sf_dir, "lineitem").count() // _LINES_A_TASK))
+
+
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Items returned against items filled, as predictions and truth of the order."""
     rows = items(spark, sf_dir).select(F.col("doc_id").alias("image_id"), "item", "l_returnflag", "l_linestatus")
@@ -469,17 +478,17 @@ def exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_METRICS} SELECT image_id, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn FROM m")
 def fp_fn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.metrics(*_lists(spark, sf_dir)).select("image_id", "tp", "fp", "fn")
+    return evaluate.metrics(*_lists(spark, sf_dir), parts=_parts(spark, sf_dir)).select("image_id", "tp", "fp", "fn")
 
 
 @query(f"WITH {_METRICS} SELECT image_id, round(pr, 6) AS \"precision\", round(re, 6) AS recall, round(f1, 6) AS f1, round(tp_rate, 6) AS tp_rate FROM m")
 def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.metrics(*_lists(spark, sf_dir)).select("image_id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "tp_rate")))
+    return evaluate.metrics(*_lists(spark, sf_dir), parts=_parts(spark, sf_dir)).select("image_id", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "tp_rate")))
 
 
 @query(f"WITH {_METRICS} SELECT round_even(avg(tp_rate), 2) AS accuracy, round_even(avg(f1), 2) AS f1_score FROM m")
 def eval_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.macro(evaluate.metrics(*_lists(spark, sf_dir)))
+    return evaluate.macro(evaluate.metrics(*_lists(spark, sf_dir), parts=_parts(spark, sf_dir)))
 
 
 _EDIT_SQL = "round_even(100 * (1 - levenshtein({0}, {1}) / greatest(length({0}), length({1}), 1)), 0)::INT"
@@ -492,7 +501,7 @@ def _edit_score(a, b):
 @query(f"""WITH {_LISTS}, s AS (SELECT DISTINCT p.image_id, p.item, t.item AS best, {_EDIT_SQL.format("p.item", "t.item")} AS score FROM pred p JOIN truth t USING (image_id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY image_id, item ORDER BY score DESC, best) AS nth FROM s) SELECT image_id, item, best, score FROM r WHERE nth = 1""")
 def fuzzy_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.fuzzy_best(*_lists(spark, sf_dir), score=_edit_score)
+    return evaluate.fuzzy_best(*_lists(spark, sf_dir), score=_edit_score, parts=_parts(spark, sf_dir))
 
 
 # longest common subsequences of pairs (item, best), a character of item at a time: a bit of v is 0 where the subsequence grows
@@ -518,7 +527,7 @@ pairs AS (SELECT DISTINCT item, best FROM every), {_LCS}, good AS (SELECT DISTIN
 {_COUNTED.replace("SELECT DISTINCT * FROM truth", "SELECT * FROM good")}
 SELECT image_id, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, round(pr, 6) AS "precision", round(re, 6) AS recall, round(f1, 6) AS f1, round(tp_rate, 6) AS tp_rate FROM m""")
 def eval_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = evaluate.metrics(*_lists(spark, sf_dir), method="levenshtein")
+    told = evaluate.metrics(*_lists(spark, sf_dir), method="levenshtein", parts=_parts(spark, sf_dir))
     return told.select("image_id", "tp", "fp", "fn", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1", "tp_rate")))
 
 

@@ -194,6 +194,17 @@ def test_small_dictionaries_are_not_joined_with_texts(spark, monkeypatch):
         assert _joins(b) > 0 and a.dtypes == b.dtypes and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
+def test_scores_are_dealt_by_key_and_alike_for_few_and_many_labels(spark, monkeypatch):
+    rnd = random.Random(5)
+    name = lambda: rnd.choice(["red ring", "red rings", "rad ring", "bolt", "bolts", "", None])
+    p, t = (spark.createDataFrame([(rnd.choice(["i", "j", "k", None]), name()) for _ in range(60)], "image_id string, item string") for _ in range(2))
+    exact = evaluate.metrics(p, t, parts=3)
+    assert _joins(exact) == 0 and sorted(map(str, exact.collect())) == sorted(map(str, evaluate.metrics(p, t).collect()))
+    direct = [sorted(map(str, f.collect())) for f in (evaluate.metrics(p, t, "levenshtein", parts=3), evaluate.fuzzy_best(p, t, least=80, parts=3))]
+    monkeypatch.setattr(evaluate, "DIRECT", 0)
+    assert direct == [sorted(map(str, f.collect())) for f in (evaluate.metrics(p, t, "levenshtein"), evaluate.fuzzy_best(p, t, least=80))]
+
+
 def test_redundant_words_in_arrays(spark):
     rnd = random.Random(4)
     lists = [[rnd.choice(["a", "b", "a b", "b c", "c", "a  b"]) for _ in range(rnd.randint(0, 7))] for _ in range(80)]
