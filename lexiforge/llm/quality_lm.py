@@ -39,7 +39,7 @@ STEP = 0.002
 
 def _classes() -> np.ndarray:
     """The class of each byte value: small letters each alone, capitals together, kinds of signs, kinds of UTF-8 bytes."""
-    out = np.zeros(256, dtype=np.int64)
+    out = np.zeros(256, dtype=np.int32)  # numbers of 4-grams fit as well
     for c in range(26):
         out[97 + c] = 1 + c
     out[65:91] = 27
@@ -216,6 +216,8 @@ def _counter(held):
                 yield from _counts(tally)
                 tally = {}
         yield from _counts(tally)
+        del scorer, tally
+        _text.release()  # the tables' memory too
 
     return run
 
@@ -240,6 +242,8 @@ def train(counts: DataFrame) -> dict[str, dict[str, np.ndarray]]:
     def one(table: pa.Table) -> pa.Table:
         model = fit(table.column("gram").to_numpy(), table.column("n").to_numpy())
         packed = {k: [model[k].astype(np.float32 if k[:4] in ("logp", "back") else np.uint32).tobytes()] for k in _ARRAYS}
+        del model
+        _text.release()
         return pa.table({"lg": table.column("lg").slice(0, 1).cast(pa.string()), **{k: pa.array(v, pa.binary()) for k, v in packed.items()}})
 
     schema = "lg string, " + ", ".join(f"{k} binary" for k in _ARRAYS)
@@ -258,6 +262,8 @@ def _scored(held, counts: bool):
             logppl = pa.array(scorer.log_perplexities(texts, batch.column("lg").to_pylist()), from_pandas=True)
             stats = {k: pa.array(v, pa.int64()) for k, v in base_stats(texts).items()} if counts else {}
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "lg": batch.column("lg"), **{k: stats[k] for k in _STATS if counts}, "n_bytes": size, "logppl": logppl})
+        del scorer
+        _text.release()  # the tables' memory too
 
     return run
 

@@ -440,6 +440,11 @@ def test_labelers_reliabilities():
     assert sum((post[v] > 0.5) == y for v, y in truth) / len(truth) > 0.95
 
 
+def test_ngrams_take_four_bytes_each():
+    key, _ = quality_lm.ngrams([b"\xff\xfe" * 50, b"abc"])
+    assert key.itemsize == 4 and key.max() == sum(43 * 44**k for k in range(4))
+
+
 def test_passages(docs, rows):
     got = defaultdict(set)
     for r in passages.repeated(docs).collect():
