@@ -11,9 +11,17 @@ key by which texts find each other.
 Texts of a key are compared with the key's first text: the match is extended word for word around the anchor
 and, where it isn't long enough, over gaps to the next common run on both sides; every stretch of these runs whose similarity is at least 0.8
 is a passage. What of the windows no word-for-word match covers is hashed whole, 50 words at a time, and grouped exactly, so no
-repeat of 50 equal words is lost. Members of a key that the first text doesn't match at their anchor are then compared with the
-first of themselves. Near passages that neither comparison meets are not found: comparing all members would take the square of
-a key's texts (635 million pairs of anchors in 0.1 GB).
+repeat of 50 equal words is lost. A token that overlaps its next occurrence lies in a periodic stretch, of which only the first and
+the last occurrence, at the ends of the stretch, are anchors.
+
+Members of a key that the first text doesn't match at their anchor are compared with each other, each with the
+AROUND shingles on both sides of its anchor. These hold a passage if the whole texts do: one of at least 92 common shingles can
+be halved, and one of the halves, without the gap between them, is at least as similar; the shorter ones are at most 115 shingles long. A pair
+is compared in full only if its surroundings have RUN shingles in a row in common at the anchors and LEAST in all, and if that run has LEAST itself or
+another common shingle lies within REACH of one of its ends. Each
+member is told one of those it matches, by the most common shingles, and that pair's whole texts are compared. Keys of many
+members are dealt to tasks as pairs of blocks; the comparisons of a key are the square of its unmatched members, the rows kept grow with
+the members.
 
 A passage is a run of at least WORDS words. Repeats within one text alone don't count.
 
@@ -42,6 +50,10 @@ STEPS = RUN - TOKEN + 1
 #: Shingles of both texts together that a gap between two common runs may have in any case; more if the runs so far are longer.
 GAP = 20
 PERCENT = 80
+#: Shingles that similar passages have in common, shingles told on both sides of an unmatched anchor, and members in a block.
+LEAST, AROUND, BLOCK = 41, 128, 128
+#: A gap of a passage of fewer than 92 common shingles has at most 22 of both texts together.
+REACH = 23
 #: A rank's low bits: a place among the shingles of a text, of which 2 ** 31 bytes hold fewer than 2 ** 30.
 _PLACE = np.uint64((1 << 32) - 1)
 _SEED = np.uint64(0xA24BAED4963EE407)
@@ -114,32 +126,43 @@ def _run_hashes(gram: np.ndarray, n: int) -> np.ndarray:
 
 
 def keyed_windows(gram: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
-    """key, doc, c, l, r of the compact windows: the place of the smallest token and the first and last shingle, from the text's beginning."""
-    none = np.zeros(0, dtype=np.int64)
+    """key, doc, c, c2, l, r of the compact windows: the place of the smallest token (of overlapping equal ones that of the first and the last) and the first and last shingle, from the text's beginning."""
+    none = dict.fromkeys(("key", "doc", "c", "c2", "l", "r"), np.zeros(0, dtype=np.int64))
     if len(gram) < SPAN:
-        return dict.fromkeys(("key", "doc", "c", "l", "r"), none)
+        return none
     sizes = np.diff(first)
     doc = np.repeat(np.arange(len(first) - 1), sizes)
     valid = (doc[: len(gram) - RUN + 1] == doc[RUN - 1 :]) & (sizes >= SPAN)[doc[: len(gram) - RUN + 1]]
     if not valid.any():
-        return dict.fromkeys(("key", "doc", "c", "l", "r"), none)
+        return none
     h = _text.mix(_run_hashes(gram, TOKEN) ^ _SEED)
     rank = (h >> np.uint64(1)) & ~_PLACE | np.arange(len(h), dtype=np.uint64) & _PLACE
     _, (c, lo, hi), _ = compact_windows(rank, sliding_least(rank, STEPS), valid, first)
-    base, own = first[doc[c]], doc[c]
-    return {"key": h[c].view(np.int64), "doc": own, "c": c - base, "l": lo - base, "r": np.minimum(hi + TOKEN - 1, first[own + 1] - 1) - base}
+    order = np.lexsort((c, h[c], doc[c]))
+    c, lo, hi = c[order], lo[order], hi[order]
+    key, own = h[c].view(np.int64), doc[c]
+    at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (own[1:] != own[:-1]) | (c[1:] - c[:-1] > TOKEN)]))
+    last = np.concatenate([at[1:], [len(c)]]) - 1
+    lo, hi, key, own = np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), key[at], own[at]
+    base, head, tail = first[own], c[at], c[last]
+    for g in np.flatnonzero(head < tail).tolist():  # to the ends of the periodic stretch, which don't depend on what is beside it
+        begin, end = int(first[own[g]]), int(first[own[g] + 1])
+        x, y, p, q = int(head[g]), int(tail[g]), int(c[at[g] + 1] - c[at[g]]), int(c[last[g]] - c[last[g] - 1])
+        head[g] -= _alike(gram[begin:x][::-1], gram[begin : x + p][::-1]) // p * p
+        tail[g] += _alike(gram[y + TOKEN : end], gram[y + TOKEN - q : end]) // q * q
+    return {"key": key, "doc": own, "c": head - base, "c2": tail - base, "l": lo - base, "r": np.minimum(hi + TOKEN - 1, first[own + 1] - 1) - base}
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch, texts in _text.chunks(batches):
         found = keyed_windows(*_tokens(texts))
         ids, marks = batch.column("doc_id").to_numpy(), batch.column("mark").to_numpy()
-        yield pa.record_batch({"key": pa.array(found["key"]), "doc_id": pa.array(ids[found["doc"]]), "mark": pa.array(marks[found["doc"]]), **{k: pa.array(found[k], pa.int32()) for k in ("c", "l", "r")}})
+        yield pa.record_batch({"key": pa.array(found["key"]), "doc_id": pa.array(ids[found["doc"]]), "mark": pa.array(marks[found["doc"]]), **{k: pa.array(found[k], pa.int32()) for k in ("c", "c2", "l", "r")}})
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """key, doc_id, mark, c, l, r of all compact windows."""
-    return docs.mapInArrow(_find, "key long, doc_id long, mark long, c int, l int, r int")
+    """key, doc_id, mark, c, c2, l, r of all compact windows."""
+    return docs.mapInArrow(_find, "key long, doc_id long, mark long, c int, c2 int, l int, r int")
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> int:
@@ -239,13 +262,12 @@ def stretches(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) ->
     return out
 
 
-def match(a: np.ndarray, b: np.ndarray, anchors: list[dict]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int]]]:
-    """Word-for-word passages around the anchors, and near ones: start and end in a, start and end in b, of shingles."""
+def match(a: np.ndarray, b: np.ndarray, anchors: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int]]]:
+    """Word-for-word passages around the anchors (a place in a, one in b), and near ones: start and end in a, start and end in b, of shingles."""
     near: list[tuple[int, int, int, int]] = []
     known: dict[int, list[tuple[int, int]]] = {}
     exact: dict[int, list[tuple[int, int]]] = {}
-    for w in sorted(anchors, key=lambda w: (w["c"], w["pc"])):
-        i, j = w["c"], w["pc"]
+    for i, j in sorted(anchors):
         if any(s <= i < e for s, e in known.get(i - j, ())):
             continue
         back = _alike(a[:i][::-1], b[:j][::-1])
@@ -266,66 +288,196 @@ def match(a: np.ndarray, b: np.ndarray, anchors: list[dict]) -> tuple[list[tuple
     return whole, sorted(set(near) - set(whole))
 
 
-def unmatched(n: int, anchors: list[dict], exact: list[tuple[int, int, int, int]]) -> np.ndarray:
+def unmatched(n: int, anchors: list[dict], exact: list[tuple[int, int]]) -> np.ndarray:
     """Starts of all spans within the anchors' windows and around the anchors that no word-for-word passage covers. n: shingles of the text."""
     edge = np.zeros(n + 2, dtype=np.int64)
     for w in anchors:
-        first, last = max(w["l"], w["c"] + TOKEN - SPAN, 0), min(w["c"], w["r"] - SPAN + 1, n - SPAN)
+        first, last = max(w["l"], w["c"] + TOKEN - SPAN, 0), min(w["c2"], w["r"] - SPAN + 1, n - SPAN)
         if first <= last:
             edge[first] += 1
             edge[last + 1] -= 1
     near = np.cumsum(edge) > 0
-    for s, e, _, _ in exact:
+    for s, e in exact:
         near[s : max(s, e - SPAN + 1)] = False
     return np.flatnonzero(near)
 
 
-_FOUND = [("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("other", pa.int64()), ("span", pa.int64()), ("key", pa.int64())]
-_TOLD = "doc_id long, mark long, start int, stop int, other long, span long, key long"
+_FOUND = [("doc_id", pa.int64()), ("mark", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("other", pa.int64()), ("span", pa.int64()), ("key", pa.int64()), ("around", pa.binary())]
+_TOLD = "doc_id long, mark long, start int, stop int, other long, span long, key long, around binary"
+
+
+def _told(n: int, columns: dict) -> pa.RecordBatch:
+    return pa.record_batch({k: pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in _FOUND})
+
+
+def _joined(at: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Overlapping stretches as one."""
+    out: list[tuple[int, int]] = []
+    for s, e in sorted(at):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
+
+
+def _surroundings(gram: np.ndarray, c: int) -> bytes:
+    """The shingles around an anchor, AROUND on both sides if there are so many."""
+    return gram[max(0, c - AROUND) : c + TOKEN + AROUND].astype(np.uint32).tobytes()
+
+
+def _equal_spans(a: np.ndarray, b: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """What of both texts 50-word spans that the other one holds too cover, in shingles, wherever they stand: periodic stretches have them at many places."""
+    x, y = _run_hashes(a, SPAN), _run_hashes(b, SPAN)
+    at = (np.flatnonzero(np.isin(x, y)), np.flatnonzero(np.isin(y, x)))
+    edges = [np.flatnonzero(np.diff(p, prepend=-2, append=(p[-1] if len(p) else 0) + 2) > 1) for p in at]
+    one, two = ([(int(p[i]), int(p[j - 1]) + SPAN) for i, j in zip(e[:-1], e[1:], strict=True)] for p, e in zip(at, edges, strict=True))
+    return one, two
 
 
 def _verify(rest: bool):
-    """Passages of both documents of each pair (span and key null). If rest: of their windows each 50 words that no word-for-word passage covers by their hash (span), and the anchors that no passage covers (key, and start, the anchor's place)."""
+    """Passages of both documents of each pair (span and key null). If rest: of their windows each 50 words that no word-for-word passage covers by their hash (span), and the anchors that no passage covers (key, start, the anchor's place, and the shingles around it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 rows: list[tuple] = []
+                alone: list[tuple] = []
                 spans: list[tuple[int, int, np.ndarray, np.ndarray]] = []
-                tokens: list = []
-                for name in ("text_a", "text_b"):
-                    texts = [x or b"" for x in part.column(name).cast(pa.large_binary()).to_pylist()]
-                    distinct = {t: k for k, t in enumerate(dict.fromkeys(texts))}
-                    gram, first = _tokens(list(distinct))
-                    tokens.append([gram[first[distinct[t]] : first[distinct[t] + 1]] for t in texts])
+                texts = [[x or b"" for x in part.column(name).cast(pa.large_binary()).to_pylist()] for name in ("text_a", "text_b")]
+                distinct = {t: k for k, t in enumerate(dict.fromkeys(texts[0] + texts[1]))}
+                gram, first = _tokens(list(distinct))
+                tokens = [[gram[first[distinct[t]] : first[distinct[t] + 1]] for t in x] for x in texts]
                 told = (part.column(k).to_pylist() for k in ("doc_id", "mark", "pivot", "pivot_mark", "anchors"))
                 for doc, mark, pivot, pivot_mark, anchors, a, b in zip(*told, *tokens, strict=True):
-                    exact, near = match(a, b, anchors) if doc != pivot else ([], [])
-                    for s, e, t, u in exact + near:
-                        rows += [(doc, mark, s, e + WIDTH - 1, pivot, None, None), (pivot, pivot_mark, t, u + WIDTH - 1, doc, None, None)]
+                    places = {x for w in anchors for x in ((w["c"], w["pc"]), (w["c2"], w["pc2"]))}
+                    exact, near = match(a, b, places) if doc != pivot else ([], [])
+                    equal, other = _equal_spans(a, b) if doc != pivot and any(w["c"] < w["c2"] or w["pc"] < w["pc2"] for w in anchors) else ([], [])
+                    here, there = [x[:2] for x in exact + near] + equal, [x[2:] for x in exact + near] + other
+                    rows += [(doc, mark, s, e, pivot) for s, e in _joined([(s, e + WIDTH - 1) for s, e in here])]
+                    rows += [(pivot, pivot_mark, s, e, doc) for s, e in _joined([(s, e + WIDTH - 1) for s, e in there])]
                     if not rest:
                         continue
-                    starts = unmatched(len(a), anchors, exact)
+                    starts = unmatched(len(a), anchors, [x[:2] for x in exact] + equal)
                     if len(starts):
                         spans.append((doc, mark, starts, _run_hashes(a, SPAN).view(np.int64)[starts]))
                     if doc != pivot:
                         edge = np.zeros(len(a) + 1, dtype=np.int64)
-                        for s, e, _, _ in exact + near:
+                        for s, e in here:
                             edge[s] += 1
                             edge[max(s, e - TOKEN + 1)] -= 1
-                        free = np.cumsum(edge) == 0
-                        rows += [(doc, mark, c, None, None, None, key) for key, c in {(w["key"], w["c"]) for w in anchors} if free[c]]
-                yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(_FOUND)], names=[n for n, _ in _FOUND])
+                        free = (np.cumsum(edge) == 0).tolist()
+                        alone += [(doc, mark, c, w["key"], _surroundings(a, c)) for w in anchors for c in {w["c"], w["c2"]} if free[c]]
+                yield _told(len(rows), dict(zip(("doc_id", "mark", "start", "stop", "other"), zip(*rows, strict=True), strict=True)) if rows else {})
+                if alone:
+                    yield _told(len(alone), dict(zip(("doc_id", "mark", "start", "key", "around"), zip(*alone, strict=True), strict=True)))
                 if spans:
                     n = [len(x[2]) for x in spans]
                     start = np.concatenate([x[2] for x in spans])
-                    columns = {"doc_id": np.repeat([x[0] for x in spans], n), "mark": np.repeat([x[1] for x in spans], n), "start": start, "stop": start + WORDS, "span": np.concatenate([x[3] for x in spans])}
-                    yield pa.record_batch([pa.array(columns[k], t) if k in columns else pa.nulls(len(start), t) for k, t in _FOUND], names=[n for n, _ in _FOUND])
+                    yield _told(len(start), {"doc_id": np.repeat([x[0] for x in spans], n), "mark": np.repeat([x[1] for x in spans], n), "start": start, "stop": start + WORDS, "span": np.concatenate([x[3] for x in spans])})
 
     return run
 
 
+def in_common(around: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the surroundings have in common, a repeated one as often as both hold it."""
+    sizes = [len(x) for x in around]
+    row, value = np.repeat(np.arange(len(around)), sizes), np.concatenate(around)
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order]
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (value[1:] != value[:-1])])
+    nth = np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0))
+    _, item, count = np.unique(value.astype(np.uint64) << np.uint64(32) | nth.astype(np.uint64), return_inverse=True, return_counts=True)
+    shared = count > 1
+    keep = shared[item]
+    held = np.zeros((len(around), int(shared.sum())), dtype=np.float32)
+    held[row[keep], (np.cumsum(shared) - 1)[item[keep]]] = 1
+    return held @ held.T
+
+
+def in_a_row(around: list[np.ndarray], at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles in a row, up to LEAST on each side, the surroundings of each two anchors have in common from where the anchors lie on, and before."""
+    n = len(around)
+    out = []
+    for parts in ([x[c : c + LEAST] for x, c in zip(around, at, strict=True)], [x[:c][::-1][:LEAST] for x, c in zip(around, at, strict=True)]):
+        side = np.empty((n, LEAST), dtype=np.uint64)
+        for k, part in enumerate(parts):
+            side[k, : len(part)] = part
+            side[k, len(part) :] = (k + 1) << 32  # like no other's
+        total, same = np.zeros((n, n), dtype=np.int16), np.ones((n, n), dtype=bool)
+        for k in range(LEAST):
+            same &= side[:, k, None] == side[None, :, k]
+            if not same.any():
+                break
+            total += same
+        out.append(total)
+    return out[0], out[1]
+
+
+def goes_on(around: list[np.ndarray], ends: list[np.ndarray], pairs: tuple[np.ndarray, np.ndarray], step: int) -> np.ndarray:
+    """Whether both of each pair hold some shingle among the REACH next ones after (step 1) or before (step -1) the places where their common run ends."""
+    size = max(map(len, around))
+    wide = np.empty((len(around), size + 2 * REACH), dtype=np.uint64)
+    wide[:] = (np.arange(1, len(around) + 1, dtype=np.uint64) << np.uint64(32))[:, None]  # like no other's
+    for k, x in enumerate(around):
+        wide[k, REACH : REACH + len(x)] = x
+    found = np.zeros(len(pairs[0]), dtype=bool)
+    for at in range(0, len(found), 4096):
+        x, y = (wide[p[at : at + 4096, None], REACH + e[at : at + 4096, None] + step * np.arange(REACH) - (step < 0)] for p, e in zip(pairs, ends, strict=True))
+        found[at : at + 4096] = (x[:, :, None] == y[:, None, :]).any(axis=(1, 2))
+    return found
+
+
+def _partners(key: tuple, table: pa.Table) -> pa.Table:
+    """Of the members of a pair of blocks, those that match another one, with the one of the most common shingles."""
+    i, j = key[1].as_py(), key[2].as_py()
+    who = list(zip(*(table.column(k).to_pylist() for k in ("doc_id", "mark", "c")), strict=True))
+    around = [np.frombuffer(x, dtype=np.uint32) for x in table.column("around").to_pylist()]
+    at = [min(w[2], AROUND) for w in who]
+    doc, block = np.array([w[0] for w in who]), table.column("block").to_numpy()
+    meet = np.triu(doc[:, None] != doc[None, :])
+    if i != j:
+        meet &= block[:, None] != block[None, :]
+    out: dict[int, tuple] = {}
+    if meet.any():
+        ahead, back = in_a_row(around, at)
+        meet &= ahead + back >= RUN
+    if meet.any():
+        common = in_common(around)
+        p, q = np.nonzero(meet & (common >= LEAST))
+        place, up, down = np.array(at), ahead[p, q].astype(np.int64), back[p, q].astype(np.int64)
+        more = (up + down >= LEAST) | goes_on(around, [place[p] + up, place[q] + up], (p, q), 1) | goes_on(around, [place[p] - down, place[q] - down], (p, q), -1)
+        p, q = p[more], q[more]
+        order = np.argsort(-common[p, q], kind="stable")
+        for x, y in zip(p[order].tolist(), q[order].tolist(), strict=True):
+            if x in out and y in out:
+                continue
+            if any(s <= at[x] and at[x] + TOKEN <= e for found in match(around[x], around[y], [(at[x], at[y])]) for s, e, _, _ in found):
+                for m, o in ((x, y), (y, x)):
+                    out.setdefault(m, (*who[m], *who[o], int(common[x, y])))
+    return pa.Table.from_pylist([dict(zip(_PARTNER.names, r, strict=True)) for r in out.values()], _PARTNER)
+
+
+_PARTNER = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("c", pa.int32()), ("pivot", pa.int64()), ("pivot_mark", pa.int64()), ("pc", pa.int32()), ("common", pa.int32())])
+
+
+def partners(alone: DataFrame) -> DataFrame:
+    """doc_id, mark, pivot, pivot_mark, anchors: for each anchor (key, doc_id, mark, c, around) one of its key's other documents that holds a passage like that around it, if any does."""
+    sizes = alone.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")
+    dealt = alone.join(sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "key")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "mark"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("facing", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("key", F.least("block", "facing").alias("i"), F.greatest("block", "facing").alias("j"), "block", "doc_id", "mark", "c", "around")
+    ddl = "doc_id long, mark long, c int, pivot long, pivot_mark long, pc int, common int"
+    found = dealt.groupBy("key", "i", "j").applyInArrow(_partners, ddl)
+    found = found.groupBy("doc_id", "mark", "c").agg(F.max(F.struct("common", "pivot", "pivot_mark", "pc")).alias("p"))
+    here, there = F.struct("doc_id", "mark", "c"), F.struct(F.col("p.pivot").alias("doc_id"), F.col("p.pivot_mark").alias("mark"), F.col("p.pc").alias("c"))
+    both = found.select(F.greatest(here, there).alias("x"), F.least(here, there).alias("y"))
+    both = both.select("x.doc_id", "x.mark", F.col("y.doc_id").alias("pivot"), F.col("y.mark").alias("pivot_mark"), F.struct(F.col("x.c").alias("c"), F.col("x.c").alias("c2"), F.col("y.c").alias("pc"), F.col("y.c").alias("pc2")).alias("w"))
+    return both.groupBy("doc_id", "mark", "pivot", "pivot_mark").agg(F.collect_set("w").alias("anchors"))
+
+
 def _texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs with the texts of both documents."""
     pivots = docs.select(F.col("doc_id").alias("pivot"), F.col("mark").alias("pivot_mark"), F.col("text").alias("text_b"))
@@ -347,20 +499,21 @@ def repeated(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     docs = _marked(docs.where(F.length("text") >= 2 * WORDS - 1))
     found, windows_path = _io.stored(windows(docs), "passage-windows")
-    keyed = found.groupBy("key").agg(F.min(F.struct("doc_id", "mark", "c")).alias("p"), F.max("doc_id").alias("last")).where("p.doc_id <> last")
-    keyed, _ = _io.stored(keyed.select("key", F.col("p.doc_id").alias("pivot"), F.col("p.mark").alias("pivot_mark"), F.col("p.c").alias("pc")), "passage-keys")
-    members = found.join(keyed, "key").where("doc_id <> pivot or mark <> pivot_mark or c <> pc")
-    pairs = members.groupBy("doc_id", "mark", "pivot", "pivot_mark").agg(F.collect_set(F.struct("key", "c", "l", "r", "pc")).alias("anchors"))
+    keyed = found.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("key", F.col("lo").alias("pivot"))
+    members, members_path = _io.stored(found.join(keyed, "key"), "passage-members")
+    heads = members.where("doc_id = pivot").groupBy("key").agg(F.min(F.struct("mark", "c", "c2")).alias("p"))
+    heads = heads.select("key", F.col("p.mark").alias("pivot_mark"), F.col("p.c").alias("pc"), F.col("p.c2").alias("pc2"))
+    members = members.join(heads, "key").where("doc_id <> pivot or mark <> pivot_mark or c <> pc")
+    pairs = members.groupBy("doc_id", "mark", "pivot", "pivot_mark").agg(F.collect_set(F.struct("key", "c", "c2", "l", "r", "pc", "pc2")).alias("anchors"))
     pairs, _ = _io.stored(pairs, "passage-pairs")
+    _io.drop(docs.sparkSession, members_path)
     _io.drop(docs.sparkSession, windows_path)
     needed = docs.join(pairs.select("doc_id", "mark").union(pairs.select("pivot", "pivot_mark")).distinct(), ["doc_id", "mark"], "left_semi")
     needed, _ = _io.stored(needed, "passage-texts")
     told, _ = _io.stored(_texts(pairs, needed).mapInArrow(_verify(True), _TOLD), "passages")
-    # members that their key's first text doesn't match meet the first of themselves
-    alone = told.where("key is not null").select("key", "doc_id", "mark", F.col("start").alias("c")).distinct()
-    first = alone.groupBy("key").agg(F.min(F.struct("doc_id", "mark", "c")).alias("p"), F.max("doc_id").alias("last")).where("p.doc_id <> last")
-    met = alone.join(first.select("key", "p"), "key").where("doc_id <> p.doc_id")
-    met = met.groupBy("doc_id", "mark", F.col("p.doc_id").alias("pivot"), F.col("p.mark").alias("pivot_mark")).agg(F.collect_set(F.struct("c", F.col("p.c").alias("pc"))).alias("anchors"))
+    # members that their key's first text doesn't match meet each other
+    alone = told.where("key is not null").groupBy("key", "doc_id", "mark", F.col("start").alias("c")).agg(F.first("around").alias("around"))
+    met, _ = _io.stored(partners(alone), "passage-partners")
     more = _texts(met, needed).mapInArrow(_verify(False), _TOLD)
     rest = told.where("span is not null").select("doc_id", "mark", "start", "stop", "span").distinct()
     held = rest.groupBy("span").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi")

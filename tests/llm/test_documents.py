@@ -579,3 +579,38 @@ def test_passages_of_rows_that_share_a_doc_id(spark):
     rows = [(1, w[0], "en", "s", 0), (1, w[1], "en", "s", 0), (1, w[1], "en", "s", 0), (1, w[1] + " more", "en", "s", 0), (2, "x y " + w[0], "en", "s", 0), (3, w[2], "en", "s", 0), (3, w[2] + " z", "en", "s", 0)]
     got = sorted((r["doc_id"], r["start_word"], r["end_word"], r["other_doc"]) for r in passages.repeated(frame(spark, rows)).collect())
     assert got == [(1, 0, 60, 2), (2, 2, 62, 1)]
+
+
+def test_near_passages_among_many_unlike_texts(spark):
+    """All hold one line; the first and many others are like none, the others like one other each. The members fill several blocks."""
+    line, rows = [f"l{x}" for x in range(30)], []
+    for d in range(3 * passages.BLOCK):
+        own = [f"p{d // 2}x{x}" for x in range(20)] if d >= passages.BLOCK else [f"q{d}x{x}" for x in range(20)]
+        rows.append((d, " ".join([*(f"a{d}x{x}" for x in range(30)), *own, f"u{d}", *line, *(f"z{d}x{x}" for x in range(30))]), "en", "s", 0))
+    got = covered(passages.repeated(frame(spark, rows)))
+    assert [d for d in range(3 * passages.BLOCK) if set(range(30, 81)) <= got[d]] == list(range(passages.BLOCK, 3 * passages.BLOCK))
+    assert not any(got[d] for d in range(passages.BLOCK))
+
+
+def test_repeats_within_words_said_again_and_again(spark):
+    say = {1: [("of", 90)], 2: [("on", 30), ("of", 400), ("at", 200)], 3: [("at", 70), ("of", 20)], 4: [("in", 200)], 5: [("by", 49), ("to", 49)]}
+    rows = [(d, " ".join(w for w, n in runs for _ in range(n)), "en", "s", 0) for d, runs in say.items()]
+    got = covered(passages.repeated(frame(spark, rows)))
+    assert set(range(90)) <= got[1] and set(range(30, 630)) <= got[2] and set(range(70)) <= got[3] and not got[4] and not got[5]
+
+
+def test_shingles_in_common_and_in_a_row():
+    rng = np.random.default_rng(8)
+    around = [rng.integers(0, 9, rng.integers(1, 60)).astype(np.uint32) for _ in range(12)]
+    around += [x[5:] for x in around if len(x) > 30]
+    at = [int(rng.integers(0, len(x))) for x in around]
+    common, (ahead, back) = passages.in_common(around), passages.in_a_row(around, at)
+    for x, (a, i) in enumerate(zip(around, at, strict=True)):
+        for y, (b, j) in enumerate(zip(around, at, strict=True)):
+            if x != y:
+                assert common[x, y] == sum(min((a == v).sum(), (b == v).sum()) for v in range(9))
+                n = passages.LEAST
+                assert (ahead[x, y], back[x, y]) == (passages._alike(a[i : i + n], b[j : j + n]), passages._alike(a[:i][::-1][:n], b[:j][::-1][:n]))
+                ends = [np.array([i]), np.array([j])]
+                assert passages.goes_on(around, ends, (np.array([x]), np.array([y])), 1)[0] == bool(set(a[i : i + 23].tolist()) & set(b[j : j + 23].tolist()))
+                assert passages.goes_on(around, ends, (np.array([x]), np.array([y])), -1)[0] == bool(set(a[max(0, i - 23) : i].tolist()) & set(b[max(0, j - 23) : j].tolist()))
