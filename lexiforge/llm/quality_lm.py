@@ -7,6 +7,10 @@ whose log perplexity lies within TRIM spreads of the language's median. From the
 model each language gets a lower and an upper band of perplexity, and texts outside it are rejected. Median and spread
 (from the deviation that SHARE of the texts stay within) aren't moved by junk or by a third of the texts being copies.
 
+The classes see neither the order of words nor what most letters outside ASCII are. So whole words and pairs of them are counted as well, in tables
+that grow with the corpus and are joined with the texts (see word_pairs). Two more bands, each on one side, reject texts of words that other texts
+don't hold and texts whose words' order gains too little.
+
 A language's model has a proven bound: N_CLASSES ** 4 (3.7 million) entries of 8 bytes, whatever the corpus holds; real
 text fills a few hundredths of it. Every language has its own; workers expand the models of TABLES languages at a time.
 
@@ -24,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import _io, _text
+from . import _io, _text, word_pairs
 
 ORDER = 4
 #: Models that a worker holds expanded, 15 MB each.
 TABLES = 8
 #: Half width of the band in spreads; of the texts that the second model is estimated from; and what share of normally distributed texts lies within how many spreads.
 WIDTH, TRIM, SHARE, WITHIN = 8.0, 3.0, 0.8, 1.2816
+#: Widths of the one-sided bands of words and of their order.
+WORD_WIDTH, ORDER_WIDTH = 8.0, 4.0
 #: A spread is at least so large. Deviations of texts of fewer than FULL_LENGTH bytes count by the root of their share of it.
 LEAST_SPREAD, FULL_LENGTH = 0.01, 800.0
 #: Log perplexities are tallied in steps of this size to find their median and spread.
@@ -254,15 +260,25 @@ def train(counts: DataFrame) -> dict[str, dict[str, np.ndarray]]:
 _STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+def _described(held, counts: bool):
+    """A function that tells doc_id, lg, counts of the base rule (if asked for), n_bytes and log perplexity of texts."""
+    scorer = Scorer(held.value)
+
+    def tell(batch: pa.RecordBatch, texts: list[bytes]) -> dict[str, pa.Array]:
+        size = pa.array([len(t) for t in texts], pa.int64())
+        logppl = pa.array(scorer.log_perplexities(texts, batch.column("lg").to_pylist()), from_pandas=True)
+        stats = {k: pa.array(v, pa.int64()) for k, v in base_stats(texts).items()} if counts else {}
+        return {"doc_id": batch.column("doc_id"), "lg": batch.column("lg"), **{k: stats[k] for k in _STATS if counts}, "n_bytes": size, "logppl": logppl}
+
+    return tell
+
+
 def _scored(held, counts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(held.value)
+        tell = _described(held, counts)
         for batch, texts in _text.chunks(batches):
-            size = pa.array([len(t) for t in texts], pa.int64())
-            logppl = pa.array(scorer.log_perplexities(texts, batch.column("lg").to_pylist()), from_pandas=True)
-            stats = {k: pa.array(v, pa.int64()) for k, v in base_stats(texts).items()} if counts else {}
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "lg": batch.column("lg"), **{k: stats[k] for k in _STATS if counts}, "n_bytes": size, "logppl": logppl})
-        del scorer
+            yield pa.record_batch(tell(batch, texts))
+        del tell
         _text.release()  # the tables' memory too
 
     return run
@@ -287,9 +303,9 @@ def _quantile(tally: dict[int, int], share: float) -> float:
     return float((bins[np.searchsorted(upto, share * upto[-1])] + 0.5) * STEP)
 
 
-def _by_language(scored: DataFrame, value: Column) -> dict[str, dict[int, int]]:
-    """How often each step of the value occurs in each language: at most a few thousand steps each."""
-    rows = scored.where("logppl is not null").groupBy("lg", F.floor(value / STEP).alias("bin")).agg(F.count("*").alias("n")).collect()
+def _by_language(scored: DataFrame, name: str, value: Column) -> dict[str, dict[int, int]]:
+    """How often each step of the value occurs in each language, where the named score isn't null: at most a few thousand steps each."""
+    rows = scored.where(F.col(name).isNotNull()).groupBy("lg", F.floor(value / STEP).alias("bin")).agg(F.count("*").alias("n")).collect()
     out: dict[str, dict[int, int]] = {}
     for r in rows:
         out.setdefault(r["lg"], {})[r["bin"]] = r["n"]
@@ -300,35 +316,53 @@ def _nearness() -> Column:
     return F.sqrt(F.greatest(F.lit(1.0), F.lit(FULL_LENGTH) / F.greatest(F.col("n_bytes"), F.lit(1))))
 
 
-def bands(scored: DataFrame) -> dict[str, tuple[float, float]]:
-    """Centre and spread of each language's log perplexities."""
-    centre = {g: _quantile(t, 0.5) for g, t in _by_language(scored, F.col("logppl")).items()}
+def bands(scored: DataFrame, name: str = "logppl", side: int = 0) -> dict[str, tuple[float, float]]:
+    """Centre and spread of each language's log perplexities, or of another score. side: 1 or -1 for the spread above or below the centre."""
+    centre = {g: _quantile(t, 0.5) for g, t in _by_language(scored, name, F.col(name)).items()}
     known = F.broadcast(scored.sparkSession.createDataFrame(sorted(centre.items()), "lg string, centre double"))
-    away = _by_language(scored.join(known, "lg"), F.abs(F.col("logppl") - F.col("centre")) / _nearness())
-    return {g: (c, max(LEAST_SPREAD, _quantile(away[g], SHARE) / WITHIN)) for g, c in centre.items()}
+    asked = scored.join(known, "lg").where(F.lit(side) * (F.col(name) - F.col("centre")) >= 0)
+    away = _by_language(asked, name, F.abs(F.col(name) - F.col("centre")) / _nearness())
+    return {g: (c, max(LEAST_SPREAD, _quantile(away.get(g, {0: 1}), SHARE) / WITHIN)) for g, c in centre.items()}
 
 
-def models_of(docs: DataFrame) -> dict[str, dict[str, np.ndarray]]:
-    """Each language's model, estimated from all its texts and then again from those near the middle."""
+def models_of(docs: DataFrame) -> tuple[dict[str, dict[str, np.ndarray]], dict[str, int]]:
+    """Each language's model, estimated from all its texts and then again from those near the middle; and the bytes of its texts."""
     first = train(count_ngrams(docs))
     scored, path = _io.stored(score(docs, first, counts=False), "perplexities")
     limits = bands(scored)
+    sizes = {r["lg"]: r["n"] for r in scored.groupBy("lg").agg(F.sum("n_bytes").alias("n")).collect()}
     _io.drop(docs.sparkSession, path)
-    return first | train(count_ngrams(docs, docs.sparkSession.sparkContext.broadcast((first, limits))))
+    return first | train(count_ngrams(docs, docs.sparkSession.sparkContext.broadcast((first, limits)))), sizes
+
+
+#: The side on which a score tells of junk, or 0 for both, and the width of its band: copies of a text have words and an order that are known, which is no fault of theirs.
+_SCORES = {"logppl": (0, WIDTH), "word_logppl": (1, WORD_WIDTH), "gain": (-1, ORDER_WIDTH)}
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """One row for each document: the counts, base_failed, perplexity, its language's lower and upper limits, and kept."""
-    scored, _ = _io.stored(score(docs, models_of(docs)), "quality")
-    rows = [(g, *x) for g, x in sorted(bands(scored.where(~failed())).items())]  # a row a language
-    limits = F.broadcast(docs.sparkSession.createDataFrame(rows, "lg string, centre double, spread double"))
-    scored = scored.join(limits, "lg", "left")
-    centre, width = F.col("centre"), WIDTH * F.col("spread") * _nearness()
-    inside = F.coalesce(F.abs(F.col("logppl") - centre) <= width, F.lit(True))  # no band: no text of the language passes the base rule
+    """One row for each document: the counts, base_failed, perplexity, its language's lower and upper limits, and kept; then the perplexity of its words and what their order gains."""
+    spark = docs.sparkSession
+    models, sizes = models_of(docs)
+    held = spark.sparkContext.broadcast(models)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _language().alias("lg"), "text")
+    ddl = "doc_id long, lg string, " + "".join(f"{k} long, " for k in _STATS) + "n_bytes long, logppl double"
+    scored, _ = word_pairs.scored(texts, sizes, lambda: _described(held, True), ["doc_id", "lg", *_STATS, "n_bytes", "logppl"], ddl)
+    good = scored.where(~failed())
+    inside = F.lit(True)
+    for name, (side, most) in _SCORES.items():
+        rows = [(g, *x) for g, x in sorted(bands(good, name, side).items())]  # a row a language
+        limits = spark.createDataFrame(rows, f"lg string, {name}_centre double, {name}_spread double")
+        scored = scored.join(F.broadcast(limits), "lg", "left")
+        # no band: no text of the language passes the base rule
+        away = F.col(name) - F.col(f"{name}_centre")
+        away = F.lit(side) * away if side else F.abs(away)
+        inside &= F.coalesce(away <= most * F.col(f"{name}_spread") * _nearness(), F.lit(True))
+    centre, width = F.col("logppl_centre"), WIDTH * F.col("logppl_spread") * _nearness()
     return scored.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed().alias("base_failed"), F.exp("logppl").alias("perplexity"),
         F.exp(centre - width).alias("low_limit"), F.exp(centre + width).alias("high_limit"), (~failed() & inside).alias("kept"),
+        F.exp("word_logppl").alias("word_perplexity"), F.col("gain").alias("order_gain"),
     )
 
 

@@ -4,14 +4,15 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
+from itertools import pairwise
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiforge.llm import line_runs, mixing, packing, passages, pii_votes, ppm_lang, quality_lm, superminhash
+from lexiforge.llm import line_runs, mixing, packing, passages, pii_votes, ppm_lang, quality_lm, superminhash, word_pairs
 
 from .helpers import DOCS, WORD, corpus, frame, prose, union_find, words
 
@@ -614,3 +615,40 @@ def test_shingles_in_common_and_in_a_row():
                 ends = [np.array([i]), np.array([j])]
                 assert passages.goes_on(around, ends, (np.array([x]), np.array([y])), 1)[0] == bool(set(a[i : i + 23].tolist()) & set(b[j : j + 23].tolist()))
                 assert passages.goes_on(around, ends, (np.array([x]), np.array([y])), -1)[0] == bool(set(a[max(0, i - 23) : i].tolist()) & set(b[max(0, j - 23) : j].tolist()))
+
+
+def test_word_scores_against_plain_counts(spark):
+    """Counts of all other texts of the language, whatever tasks and groups they are dealt to."""
+    rows = [(k, t, lang, "s", 0) for k, t, lang, *_ in corpus(5, 25)]
+    got = {r["doc_id"]: r for r in quality_lm.judged(frame(spark, rows).repartition(5)).collect()}
+    assert len(got) == len(rows)
+    for doc_id, text, lang, *_ in rows:
+        others = [WORD.findall(t or "") for d, t, g, *_ in rows if g == lang and d != doc_id]
+        single, double = Counter(w for x in others for w in x), Counter(p for x in others for p in pairwise(x))
+        own = WORD.findall(text or "")
+        distinct = len(single.keys() | set(own))
+        p = [(single[w] + 1) / (single.total() + distinct + 1) for w in own]
+        after = [(double[v, w] + word_pairs.PRIOR * q) / (single[v] + word_pairs.PRIOR) for (v, w), q in zip(pairwise(own), p[1:], strict=True)]
+        if own:
+            assert abs(np.log(got[doc_id]["word_perplexity"]) + np.log(p[:1] + after).sum() / len(own)) < 1e-6
+        if len(own) > 1:
+            assert abs(got[doc_id]["order_gain"] - np.log(np.array(after) / p[1:]).mean()) < 1e-6
+        assert (got[doc_id]["word_perplexity"] is None, got[doc_id]["order_gain"] is None) == (not own, len(own) < 2)
+
+
+@pytest.mark.parametrize("letters", ["abcdefgh", "абвгдежз"])
+def test_words_without_order_are_rejected(spark, letters):
+    """Each word has four that may follow it; junk holds a good text's words in another order."""
+    rnd = random.Random(11)
+    vocabulary = ["".join(rnd.choices(letters, k=rnd.randint(3, 7))) for _ in range(300)]
+    follow = {w: rnd.sample(vocabulary, 4) for w in vocabulary}
+    rows = []
+    for k in range(150):
+        w = [rnd.choice(vocabulary)]
+        while len(w) < 150:
+            w.append(rnd.choice(follow[w[-1]]))
+        rows.append((k, " ".join(w), "en", "s", 0))
+    junk = [(1000 + k, " ".join(rnd.sample(rows[k][1].split(), 150)), "en", "s", 0) for k in range(10)]
+    got = quality_lm.judged(frame(spark, rows + junk)).where("not base_failed").collect()
+    assert len([r for r in got if r["doc_id"] >= 1000]) == 10
+    assert [r["doc_id"] for r in got if r["kept"] != (r["doc_id"] < 1000)] == []
