@@ -9,6 +9,7 @@ from itertools import pairwise
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -652,3 +653,36 @@ def test_words_without_order_are_rejected(spark, letters):
     got = quality_lm.judged(frame(spark, rows + junk)).where("not base_failed").collect()
     assert len([r for r in got if r["doc_id"] >= 1000]) == 10
     assert [r["doc_id"] for r in got if r["kept"] != (r["doc_id"] < 1000)] == []
+
+
+def test_run_hashes_and_anchors_against_plain_ones():
+    rng = np.random.default_rng(3)
+    gram = rng.integers(0, 1 << 63, 90).astype(np.uint64)
+    for n in (1, 2, 12, 21, 46, 90):
+        plain = [sum(int(g) * pow(0xD6E8FEB86659FD93, n - 1 - k, 1 << 64) for k, g in enumerate(gram[i : i + n])) % (1 << 64) for i in range(len(gram) - n + 1)]
+        assert (passages._run_hashes(gram, n) == passages._text.mix(np.array(plain, dtype=np.uint64))).all()
+    values = [[{"c": 1, "pc": 2}], [], [{"c": 3, "pc": 4}, {"c": 5, "pc": 6}], [{"c": 7, "pc": 8}]]
+    assert [passages._anchors(pa.array(values).slice(k)) for k in range(4)] == [values[k:] for k in range(4)]
+
+
+def test_stretches_and_similarity_against_plain_ones():
+    """Stretches by a search through all ends; similarity of short and long texts."""
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        runs, i, j = [], 0, 0
+        for _ in range(int(rng.integers(2, 9))):
+            i, j = i + int(rng.integers(0, 9)), j + int(rng.integers(0, 9))
+            runs.append((i, j, int(rng.integers(1, 60))))
+            i, j = i + runs[-1][2], j + runs[-1][2]
+        a, b = np.arange(i, dtype=np.uint64) + np.uint64(1000), np.arange(j, dtype=np.uint64) + np.uint64(10**6)
+        for s, t, n in runs:
+            b[t : t + n] = a[s : s + n]
+        for s, e, t, u in passages.stretches(a, b, runs):
+            x, y = set(a[s:e].tolist()), set(b[t:u].tolist())
+            assert min(e - s, u - t) >= passages.SPAN and 100 * len(x & y) >= 80 * len(x | y)
+    for n in (50, 3000):
+        for share, like in ((8, True), (9, False)):  # n - n / share equal ones of n + n / share in all: just below and above 0.8
+            a = np.arange(n, dtype=np.uint64)
+            b = a + np.uint64(n // share if like else n // share + n // 50)
+            x, y = set(a.tolist()), set(b.tolist())
+            assert passages._similar(a, b) == (100 * len(x & y) >= 80 * len(x | y))
