@@ -327,12 +327,14 @@ def bands(scored: DataFrame, name: str = "logppl", side: int = 0) -> dict[str, t
 
 def models_of(docs: DataFrame) -> tuple[dict[str, dict[str, np.ndarray]], dict[str, int]]:
     """Each language's model, estimated from all its texts and then again from those near the middle; and the bytes of its texts."""
-    first = train(count_ngrams(docs))
+    with _io.short_lived_shuffles(docs.sparkSession):
+        first = train(count_ngrams(docs))
     scored, path = _io.stored(score(docs, first, counts=False), "perplexities")
     limits = bands(scored)
     sizes = {r["lg"]: r["n"] for r in scored.groupBy("lg").agg(F.sum("n_bytes").alias("n")).collect()}
     _io.drop(docs.sparkSession, path)
-    return first | train(count_ngrams(docs, docs.sparkSession.sparkContext.broadcast((first, limits)))), sizes
+    with _io.short_lived_shuffles(docs.sparkSession):
+        return first | train(count_ngrams(docs, docs.sparkSession.sparkContext.broadcast((first, limits)))), sizes
 
 
 #: The side on which a score tells of junk, or 0 for both, and the width of its band: copies of a text have words and an order that are known, which is no fault of theirs.

@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import pairwise
@@ -637,6 +639,76 @@ def test_word_scores_against_plain_counts(spark):
         assert (got[doc_id]["word_perplexity"] is None, got[doc_id]["order_gain"] is None) == (not own, len(own) < 2)
 
 
+def test_sums_of_keys_against_plain_ones(monkeypatch):
+    """Counts beyond what is sorted with the keys, none at all, and groups that are summed in several ranges."""
+    rng = np.random.default_rng(6)
+    keys = [np.unique(rng.integers(0, 1 << 40, 500) // 3**k).astype(np.uint64) for k in (0, 20, 22, 24)]
+    counts = [rng.integers(1, 9, len(k)).astype(np.uint32) for k in keys]
+    counts[1][0] = counts[2][0] = (1 << 31) + 5
+    plain = Counter()
+    for k, c in zip(keys, counts, strict=True):
+        plain.update(dict(zip(k.tolist(), c.tolist(), strict=True)))
+    key, total = word_pairs._sums(keys, counts)
+    assert dict(zip(key.tolist(), total.tolist(), strict=True)) == plain and key.tolist() == sorted(plain)
+    assert [len(x) for x in word_pairs._sums([], [])] == [0, 0]
+    monkeypatch.setattr(word_pairs, "PART", 100)
+    told = word_pairs._answer(asked(keys, counts)).to_pylist()
+    assert [word_pairs._unpacked(r["others"], 5).tolist() for r in told] == [[plain[x] - n for x, n in zip(k.tolist(), c.tolist(), strict=True)] for k, c in zip(keys, counts, strict=True)]
+    even = [n for x, n in plain.items() if x % 2 == 0]
+    assert (sum(r["n_distinct"] for r in told), sum(r["n_words"] for r in told)) == (len(even), sum(even))
+
+
+def asked(keys, counts):
+    steps = [word_pairs._packed(word_pairs._steps(k), 5) for k in keys]
+    packed = [word_pairs._packed(c, 4) for c in counts]
+    return pa.table({"lg": [":en"] * len(keys), "shard": pa.array([0] * len(keys), pa.int32()), "chunk": list(range(len(keys))), "keys": pa.array(steps, pa.binary()), "counts": pa.array(packed, pa.binary())})
+
+
+def test_a_group_of_counts_takes_little_memory():
+    """Below 40 bytes a key; all arrays of a group at once took 73."""
+    rng = np.random.default_rng(7)
+    keys = [np.unique(rng.integers(0, 1 << 40, 1_000_000).astype(np.uint64)) for _ in range(8)]
+    table = asked(keys, [np.ones(len(k), np.uint32) for k in keys])
+    n = sum(map(len, keys))
+    del keys
+    tracemalloc.start()
+    try:
+        word_pairs._answer(table)
+        assert tracemalloc.get_traced_memory()[1] < 40 * n
+    finally:
+        tracemalloc.stop()
+
+
+def test_quality_deletes_what_it_has_shuffled(spark, monkeypatch):
+    """The large shuffles, those of counts and texts, are deleted as their results are stored, whether or not the driver collects its garbage; the caller's setting stays."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen, stored = spark.conf.get(name), {}, word_pairs._io.stored
+    monkeypatch.setattr(word_pairs._io, "stored", lambda df, to, *more: (seen.update({to: spark.conf.get(name)}), stored(df, to, *more))[1])
+    rnd = random.Random(3)
+    assert quality_lm.judged(frame(spark, [(k, prose(rnd, 200), "en", "s", 0) for k in range(20)])).count() == 20
+    assert (seen["word-counts"], seen["quality"]) == ("true", "true")
+    assert spark.conf.get(name) == before == "false"
+
+
+def test_short_lived_shuffles(spark, tmp_path):
+    """A query's shuffle files go with it."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = manager.getAllFiles()
+        return {files.apply(k).getPath() for k in range(files.size()) if files.apply(k).getName().startswith("shuffle_")}
+
+    with word_pairs._io.short_lived_shuffles(spark):
+        before = shuffled()
+        spark.range(100_000).groupBy((F.col("id") % 9999).alias("k")).count().write.parquet(str(tmp_path / "counts"))
+        for _ in range(20):  # a little later
+            if not shuffled() - before:
+                break
+            time.sleep(0.2)
+        assert not shuffled() - before
+    assert spark.read.parquet(str(tmp_path / "counts")).count() == 9999
+
+
 @pytest.mark.parametrize("letters", ["abcdefgh", "абвгдежз"])
 def test_words_without_order_are_rejected(spark, letters):
     """Each word has four that may follow it; junk holds a good text's words in another order."""
